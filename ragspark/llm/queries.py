@@ -1,12 +1,18 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
-from ragspark.llm import licenses, sharding
+from ragspark.llm import decontaminate, langid, licenses, neighbours, packing, secrets, sharding, simhash
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_nearest_neighbours": neighbours.op2_nearest_neighbours,
+    "op3_simhash": simhash.op3_simhash,
+    "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_secret_scans": secrets.op5_secret_scans,
+    "op6_language_id": langid.op6_language_id,
     "op8_license_scans": licenses.op8_license_scans,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLES = {
