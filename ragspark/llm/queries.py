@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragspark.llm import decontaminate, langid, licenses, neighbours, packing, secrets, sharding, simhash
+from ragspark.llm import decontaminate, langid, licenses, lines, neighbours, packing, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_secret_scans": secrets.op5_secret_scans,
     "op6_language_id": langid.op6_language_id,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_license_scans": licenses.op8_license_scans,
     "op9_packing": packing.op9_packing,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 ORACLES = {

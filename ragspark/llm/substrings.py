@@ -51,13 +51,15 @@ def unpack(payload: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def deal(bucket: np.ndarray, n_buckets: int, batch: int, marks: np.ndarray, *hashes: np.ndarray) -> Iterator[tuple[int, int, int, bytes]]:
-    """Rows of PACKED for the entries of one batch; an entry's position is its place in the batch."""
+def deal(
+    bucket: np.ndarray, n_buckets: int, batch: int, marks: np.ndarray, *hashes: np.ndarray, places: np.ndarray | None = None
+) -> Iterator[tuple[int, int, int, bytes]]:
+    """Rows of PACKED for the entries of one batch; an entry's position is its place in the batch, or in ascending ``places``."""
     by = np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
     begins = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
     for b in np.flatnonzero(np.diff(begins)):
         at = by[begins[b] : begins[b + 1]]
-        yield int(b), batch, len(at), pack(at, marks[at], *(h[at] for h in hashes))
+        yield int(b), batch, len(at), pack(at if places is None else places[at], marks[at], *(h[at] for h in hashes))
 
 
 def batch_number(n: int) -> int:
