@@ -130,18 +130,45 @@ def find_items(
     most ``at_once``, in as many passes as that takes.
     """
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, key), (items, item_key)))
-    usable = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_t")).dropna()
-    n_blocks = max(1, -(-usable.count() // max(1, at_once // 2)))
     texts = docs.select(key, F.col(text).alias("_text"))
+    schema = f"`{key}` {kind}, `{item_key}` {item_kind}, distance long, end long, n_chars long"
     out = None
-    for block in range(n_blocks):
-        rows = usable.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(n_blocks)) == block).collect() if n_blocks > 1 else usable.collect()
-        held = tuple(sorted((r["_i"], n) for r in rows if len(n := normalised(r["_t"])) >= min_chars))
-        one = texts.mapInPandas(_seeker(held, rate, key, item_key), f"`{key}` {kind}, `{item_key}` {item_kind}, distance long, end long, n_chars long")
+    for held in item_blocks(items, item_key, item_text, min_chars, at_once):
+        one = texts.mapInPandas(_seeker(held, rate, key, item_key), schema)
         out = one if out is None else out.union(one)
     return out
 
 
+def item_blocks(items: DataFrame, item_key: str, item_text: str, min_chars: int, at_once: int) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The items' keys and normalised texts, in blocks of about half of ``at_once``; one block at least."""
+    usable = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_t")).dropna()
+    n = max(1, -(-usable.count() // max(1, at_once // 2)))
+    for block in range(n):
+        rows = usable.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(n)) == block) if n > 1 else usable
+        yield tuple(sorted((r["_i"], t) for r in rows.collect() if len(t := normalised(r["_t"])) >= min_chars))
+
+
+def drop_contaminated(
+    docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, at_once: int = ITEMS_AT_ONCE,
+) -> DataFrame:
+    """The rows of ``docs`` that match no item, by the rules of ``find_items``; no row is shuffled."""
+    for held in item_blocks(items, item_key, item_text, min_chars, at_once):
+        docs = docs.mapInPandas(_cleaner(held, rate, text), docs.schema)
+    return docs
+
+
+def _cleaner(held: tuple[tuple[int, str], ...], rate: float, text: str):
+    token = uuid.uuid4().hex
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = _matcher(token, held, rate)
+        for batch in batches:
+            yield batch[[not (t and matcher.find(normalised(t))) for t in batch[text]]]
+
+    return clean
+
+
 def _seeker(held: tuple[tuple[int, str], ...], rate: float, key: str, item_key: str):
     token, sizes = uuid.uuid4().hex, {k: len(t) for k, t in held}
 

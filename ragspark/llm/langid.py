@@ -153,15 +153,18 @@ def proportions(texts: list[str], model: np.ndarray, penalty: float = PENALTY) -
     return out
 
 
-def identify(docs: DataFrame, names: list[str], model: np.ndarray, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``lang_pred``, ``score`` and ``mixture`` (language to proportion) of each row.
+def identify(
+    docs: DataFrame, names: list[str], model: np.ndarray, key: str = "doc_id", text: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """``key`` and the columns ``keep``, ``lang_pred``, ``score`` and ``mixture`` (language to proportion) of each row.
 
     ``lang_pred`` has the largest proportion (ties: the first by name), ``score``
     is that proportion. A text that is null or has no letter gets ``und``, 0 and
     an empty mixture. Texts are read whole and rows handled one by one: repeated
-    or null keys give a row each, other columns do not matter.
+    or null keys give a row each. Other columns do not matter.
     """
-    kind = docs.schema[key].dataType.simpleString()
+    kept = list(dict.fromkeys([key, *(keep or [])]))
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -171,15 +174,15 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, key: str = "d
                 parts = proportions([texts[i] for i in at], model) if names else np.zeros((len(at), 1))
                 known = parts.sum(axis=1) > 0
                 best = parts.argmax(axis=1)
-                yield pd.DataFrame({
-                    key: batch[key].iloc[at].array,
+                found = pd.DataFrame({
                     "lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)],
                     "score": np.minimum(parts.max(axis=1), 1.0),
                     "mixture": [{n: float(p) for n, p in zip(names, row, strict=False) if p > 0} for row in parts],
                 })
+                yield pd.concat([batch[kept].iloc[at].reset_index(drop=True), found], axis=1)
 
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(
-        predict, f"`{key}` {kind}, lang_pred string, score double, mixture map<string,double>"
+    return docs.select(*kept, F.col(text).alias("_text")).mapInPandas(
+        predict, f"{fields}, lang_pred string, score double, mixture map<string,double>"
     )
 
 
