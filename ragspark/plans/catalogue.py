@@ -1,2 +1,6 @@
-QUERIES = {}
-ORACLES = {}
+"""All queries of the engine's own operators."""
+
+from ragspark.plans import answer_queries, ingest_queries, ranking_queries, retrieval_queries, text_queries  # noqa: F401
+from ragspark.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
