@@ -13,10 +13,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import table
+from ragspark.llm.shared import carried, table
 
 #: Edits allowed, as a share of an item's characters, rounded down.
 ERROR_RATE = 0.08
@@ -130,13 +131,13 @@ def find_items(
     most ``at_once``, in as many passes as that takes.
     """
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, key), (items, item_key)))
-    texts = docs.select(key, F.col(text).alias("_text"))
-    schema = f"`{key}` {kind}, `{item_key}` {item_kind}, distance long, end long, n_chars long"
+    texts = docs.select(carried(key), F.col(text).alias("_text"))
+    schema = f"`{key}` string, `{item_key}` {item_kind}, distance long, end long, n_chars long"
     out = None
     for held in item_blocks(items, item_key, item_text, min_chars, at_once):
         one = texts.mapInPandas(_seeker(held, rate, key, item_key), schema)
         out = one if out is None else out.union(one)
-    return out
+    return out.withColumn(key, F.col(key).cast(kind))
 
 
 def item_blocks(items: DataFrame, item_key: str, item_text: str, min_chars: int, at_once: int) -> Iterator[tuple[tuple[int, str], ...]]:
@@ -154,17 +155,17 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that match no item, by the rules of ``find_items``; no row is shuffled."""
     for held in item_blocks(items, item_key, item_text, min_chars, at_once):
-        docs = docs.mapInPandas(_cleaner(held, rate, text), docs.schema)
+        docs = docs.mapInArrow(_cleaner(held, rate, docs.columns.index(text)), docs.schema)
     return docs
 
 
-def _cleaner(held: tuple[tuple[int, str], ...], rate: float, text: str):
+def _cleaner(held: tuple[tuple[int, str], ...], rate: float, text: int):
     token = uuid.uuid4().hex
 
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(token, held, rate)
         for batch in batches:
-            yield batch[[not (t and matcher.find(normalised(t))) for t in batch[text]]]
+            yield batch.filter(pa.array([not (t and matcher.find(normalised(t))) for t in batch.column(text).to_pylist()], pa.bool_()))
 
     return clean
 

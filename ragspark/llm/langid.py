@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,27 +162,29 @@ def identify(
     ``lang_pred`` has the largest proportion (ties: the first by name), ``score``
     is that proportion. A text that is null or has no letter gets ``und``, 0 and
     an empty mixture. Texts are read whole and rows handled one by one: repeated
-    or null keys give a row each. Other columns do not matter.
+    or null keys give a row each. A kept column with the name of an added one gives way.
     """
-    kept = list(dict.fromkeys([key, *(keep or [])]))
+    added = {"lang_pred": pa.string(), "score": pa.float64(), "mixture": pa.map_(pa.string(), pa.float64())}
+    kept = [c for c in dict.fromkeys([key, *(keep or [])]) if c not in added]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch["_text"]]
-            ends = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
-            for _, at in pd.Series(np.arange(len(texts))).groupby(ends):
-                parts = proportions([texts[i] for i in at], model) if names else np.zeros((len(at), 1))
-                known = parts.sum(axis=1) > 0
-                best = parts.argmax(axis=1)
-                found = pd.DataFrame({
-                    "lang_pred": [names[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)],
-                    "score": np.minimum(parts.max(axis=1), 1.0),
-                    "mixture": [{n: float(p) for n, p in zip(names, row, strict=False) if p > 0} for row in parts],
-                })
-                yield pd.concat([batch[kept].iloc[at].reset_index(drop=True), found], axis=1)
-
-    return docs.select(*kept, F.col(text).alias("_text")).mapInPandas(
+            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
+            part = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                parts = proportions(texts[a:b], model) if names else np.zeros((b - a, 1))
+                best, known = parts.argmax(axis=1).tolist(), (parts.sum(axis=1) > 0).tolist()
+                found = (
+                    [names[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)],
+                    np.minimum(parts.max(axis=1), 1.0),
+                    [[(n, float(p)) for n, p in zip(names, row, strict=False) if p > 0] for row in parts],
+                )
+                own = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found, added.values())], names=[*kept, *added])
+
+    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(
         predict, f"{fields}, lang_pred string, score double, mixture map<string,double>"
     )
 

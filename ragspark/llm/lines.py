@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import buckets_for, materialise, table, text_or_empty, tiled
+from ragspark.llm.shared import buckets_for, fresh, materialise, table, text_or_empty, tiled
 from ragspark.llm.substrings import PACKED, batch_number, by_document, deal, unpack
 from ragspark.llm.words import in_chunks, mix, word_hashes, word_spans
 
@@ -305,9 +306,11 @@ def remove_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     place; ``key`` must be a whole number, a null one comes first. Lines without
     words stay. A null text has no lines and stays null. Rows equal in key and
     text are one document, given as often; their lines are not later than each
-    other's. Texts are read whole. Extra columns are kept, whatever their names,
-    unless they are among the four added.
+    other's. Texts are read whole. Extra columns are kept; one with the name of
+    an added column gives way.
     """
+    added = ("kept", "n_lines", "n_removed", "removed")
+    docs = docs.drop(*added)
     n_buckets = buckets_for(docs)
     body = text_or_empty(text)
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
@@ -327,26 +330,32 @@ def remove_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     cells = tiled(sent, ["word"], "_row", CELL).withColumn("bucket", F.pmod(F.xxhash64("word", "_lo", "_hi"), F.lit(n_buckets)))
     similar = cells.groupBy("bucket").applyInPandas(_verify(threshold), "_row long, _hash long, line int")
     similar = materialise(similar.groupBy("_row", "_hash").agg(F.collect_set("line").alias("similar")), "similar-lines")
-    own = docs.withColumns({"_row": F.xxhash64(order, F.lit("row")), "_hash": F.xxhash64(body)})
-    marked = own.join(equal, ["_row", "_hash"], "left").join(similar, ["_row", "_hash"], "left").drop("_row", "_hash")
+    row, own_hash, at_, more_ = (fresh(n, docs.columns) for n in ("_row", "_hash", "_at", "_similar"))
+    own = docs.withColumns({row: F.xxhash64(order, F.lit("row")), own_hash: F.xxhash64(body)})
+    marked = own.join(equal.toDF(row, own_hash, at_), [row, own_hash], "left").join(similar.toDF(row, own_hash, more_), [row, own_hash], "left")
+    names = docs.columns
+    place = names.index(text)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for one, at, more in zip(batch[text], batch["at"], batch["similar"], strict=True):
-                lines = [] if one is None else one.split("\n")
-                if at is None and more is None:
-                    out.append((one, len(lines), 0, []))
-                    continue
-                gone = {*(() if at is None else np.frombuffer(at, dtype="<u4").tolist()), *(() if more is None else map(int, more))}
-                worded = [i for i, line in enumerate(lines) if line.encode("utf-8", "surrogatepass").split()]
-                drop = {worded[i] for i in gone}
-                out.append(("\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop), sorted(drop)))
-            added = pd.DataFrame(out, columns=["kept", "n_lines", "n_removed", "removed"], index=batch.index)
-            yield pd.concat([batch.drop(columns=["at", "similar"]), added], axis=1)
+            *columns, ats, mores = batch.columns
+            found = [_kept(*x) for x in zip(columns[place].to_pylist(), ats.to_pylist(), mores.to_pylist(), strict=True)]
+            new = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays([*columns, *new], names=[*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return marked.mapInPandas(keep, f"{schema}, kept string, n_lines long, n_removed long, removed array<int>")
+    return marked.select(*docs.columns, at_, more_).mapInArrow(keep, f"{schema}, kept string, n_lines long, n_removed long, removed array<int>")
+
+
+def _kept(text: str | None, equal: bytes | None, similar: list[int] | None) -> tuple[str | None, int, int, list[int]]:
+    """A text without the removed lines, its lines, how many went and which; the removed are counted over lines with words."""
+    lines = [] if text is None else text.split("\n")
+    gone = {*(np.frombuffer(equal, dtype="<u4").tolist() if equal else ()), *(similar or ())}
+    if not gone:
+        return text, len(lines), 0, []
+    worded = [i for i, line in enumerate(lines) if line.encode("utf-8", "surrogatepass").split()]
+    drop = {worded[i] for i in gone}
+    return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(lines), len(drop), sorted(drop)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

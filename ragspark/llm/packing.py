@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import materialise, table
+from ragspark.llm.shared import carried, materialise, table
 
 SEQUENCE = 2048
 #: Id that ends every document.
@@ -130,7 +130,8 @@ def tokenised(docs: DataFrame, path: str, key: str, text: str) -> DataFrame:
             curve = [curve_key(np.frombuffer(i, dtype=words.wide)) for i in ids]
             yield pd.DataFrame({key: batch[key], "ids": ids, "wide": words.wide.itemsize, "curve": curve})
 
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(each, f"`{key}` {kind}, ids binary, wide int, curve long")
+    found = docs.select(carried(key), F.col(text).alias("_text")).mapInPandas(each, f"`{key}` string, ids binary, wide int, curve long")
+    return found.withColumn(key, F.col(key).cast(kind))
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -171,9 +172,10 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         yield pd.DataFrame(_powers(open_rows), columns=columns)
 
     columns = [key, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-    return ranged.withColumn("_part", F.spark_partition_id()).drop("tie", "curve").mapInPandas(
-        fill, f"`{key}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    pieces = ranged.select(carried(key), "ids", "wide", F.spark_partition_id().alias("_part")).mapInPandas(
+        fill, f"`{key}` string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
+    return pieces.withColumn(key, F.col(key).cast(kind))
 
 
 def _powers(rows: list[tuple]) -> list[tuple]:

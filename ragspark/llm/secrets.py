@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import table
+from ragspark.llm.shared import carried, table
 
 #: The patterns of the contract; letters of the first in either case (ASCII).
 ASSIGN = re.compile(
@@ -143,9 +143,10 @@ def scan_secrets(
             ]
             yield pd.DataFrame({key: batch[key], "spans": found})
 
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(
-        scan, f"`{key}` {kind}, spans array<struct<kind:string,start:long,end:long>>"
+    found = docs.select(carried(key), F.col(text).alias("_text")).mapInPandas(
+        scan, f"`{key}` string, spans array<struct<kind:string,start:long,end:long>>"
     )
+    return found.withColumn(key, F.col(key).cast(kind))
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

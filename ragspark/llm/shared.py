@@ -65,6 +65,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(key: str) -> Column:
+    """A key as text: pandas would turn whole numbers into floats where one is null."""
+    return F.col(key).cast("string").alias(key)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or the first like it that is not taken (names are compared without case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import materialise, table, tiled
+from ragspark.llm.shared import carried, materialise, table, tiled
 
 BITS = 64
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFram
             found = np.array([fingerprint(t, shingle) for t in batch["_text"]], dtype=np.uint64)
             yield pd.DataFrame({key: batch[key], "fp": found.view(np.int64)})
 
-    return docs.select(key, F.col(text).alias("_text")).mapInPandas(each, f"`{key}` {kind}, fp long")
+    return docs.select(carried(key), F.col(text).alias("_text")).mapInPandas(each, f"`{key}` string, fp long").withColumn(key, F.col(key).cast(kind))
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import buckets_for, materialise, table, text_or_empty
+from ragspark.llm.shared import buckets_for, carried, materialise, table, text_or_empty
 from ragspark.llm.words import hashed_text, in_chunks, window_hashes
 
 WINDOW = 35
@@ -222,7 +222,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 rows.append((one, n, n - len(words), b" ".join(words).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=[key, "n_words", "n_removed", "kept"])
 
-    return marked.select(key, "_text", "at", "again").mapInPandas(keep, f"`{key}` {kind}, n_words long, n_removed long, kept string")
+    found = marked.select(carried(key), "_text", "at", "again").mapInPandas(keep, f"`{key}` string, n_words long, n_removed long, kept string")
+    return found.withColumn(key, F.col(key).cast(kind))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
