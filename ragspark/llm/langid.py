@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import table
+from ragspark.llm.shared import fresh, table
 
 #: Trigram buckets of a model.
 BUCKETS = 1 << 15
@@ -184,7 +184,7 @@ def identify(
                 own = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found, added.values())], names=[*kept, *added])
 
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(
+    return docs.select(*kept, F.col(text).alias(fresh("_text", kept))).mapInArrow(
         predict, f"{fields}, lang_pred string, score double, mixture map<string,double>"
     )
 
@@ -196,7 +196,7 @@ def held_out(key: Column) -> Column:
 
 def training_rows(docs: DataFrame, key: str = "doc_id", label: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
     """The labelled rows that may train, thinned to about ``per_language`` of each language by a hash of the key."""
-    able = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out(F.col(key)))
+    able = docs.select(key, label, "text").filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out(F.col(key)))
     sizes = able.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     share = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return able.join(F.broadcast(sizes), label).filter(share * F.col("_n") < per_language).drop("_n")
