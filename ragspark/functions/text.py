@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Accented letters and the letters left when their marks go.
@@ -27,6 +29,17 @@ NO_END = (
     r"(?i)(?:(?<![\p{L}\p{N}_])(?:arts?|art[ií]culos?|n[oº°]|núm|num|nums|inc|incs|lit|lits|par|parág|ord|cfr|ss|sr|sra|dr|dra"
     r"|ibíd|ibid|op|cit|pág|págs|pp|vol|cap|tít|dcto|decr|res|sent|mag|al)|(?<![\p{L}\p{N}_])[A-ZÁÉÍÓÚ])\.$"
 )
+#: Phrases that speak of the evidence, and what replaces each.
+META_PHRASES = (
+    (r"(?iU)\b(?:seg[uú]n|de acuerdo con|conforme a|con base en|a partir de)\s+(?:la|las|los|el)\s+(?:evidencia|pasajes?|fragmentos?|textos?|documentos?)"
+     r"(?:\s+(?:recuperad|proporcionad|entregad|disponib|suministrad|presentad|citad)\w*)?\s*,?\s*", " "),
+    (r"(?iU)\s*,?\s*(?:como|tal como)\s+(?:se\s+)?(?:menciona|indica|señala|establece|observa|aparece|muestra)\w*\s+en\s+(?:la|el|los)\s+"
+     r"(?:evidencia|pasajes?|encabezado|fragmentos?)(?:\s*\[?\d+\]?)?(?:\s+de\s+la\s+evidencia)?", ""),
+    (r"(?i)\s*\((?:pasajes?|evidencia|fragmentos?)\s*\[?\d+(?:\s*[,y]\s*\d+)*\]?\)", ""),
+    (r"\s*\[\d+(?:\s*[,-]\s*\d+)*\]", ""),
+    (r"\s+([,.;:])", "$1"),
+    (r"\s{2,}", " "),
+)
 #: Months of Spanish long dates.
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 
@@ -98,6 +111,13 @@ def expand_abbreviations(c: Column) -> Column:
     return reduce(lambda x, rule: F.regexp_replace(x, rule[0], rule[1]), ABBREVIATIONS, c)
 
 
+def without_meta_phrases(c: Column) -> Column:
+    """A text without talk of its evidence, sentences beginning with a capital again."""
+    bare = F.trim(reduce(lambda x, rule: F.regexp_replace(x, rule[0], rule[1]), META_PHRASES, c))
+    parts = F.split(bare, r"(?<=[.!?]\s)")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
+
+
 def slug(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip_accents(c)), "[^a-z0-9]+", "_"), F.lit("_"))
 
@@ -117,3 +137,79 @@ def strip_scripts(html: Column) -> Column:
 
 def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)
+
+
+#: Spanish endings of the published Snowball algorithm, by step.
+_VOWELS = "aeiouáéíóúü"
+_PRONOUN = re.compile(r"(.*?)(iéndo|ándo|ár|ér|ír|ando|iendo|ar|er|ir|yendo)(selas|selos|sela|selo|las|les|los|nos|me|se|la|le|lo)$")
+_STANDARD = (
+    (("amientos", "imientos", "amiento", "imiento", "anzas", "ismos", "ables", "ibles", "istas", "anza", "icos", "icas", "ismo", "able", "ible", "ista", "osos", "osas", "ico", "ica", "oso", "osa"), ""),
+    (("adoras", "adores", "aciones", "adora", "ador", "ación", "antes", "ancias", "ante", "ancia"), ""),
+    (("logías", "logía"), "log"), (("uciones", "ución"), "u"), (("encias", "encia"), "ente"), (("idades", "idad", "ivas", "ivos", "iva", "ivo"), ""),
+)
+_VERBS = tuple(sorted(
+    "arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré irían irías irán irás iríais iría iréis "
+    "iríamos iremos irá iré aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas "
+    "idas ías aras ieras ases ieses ís áis abais íais arais ierais aseis ieseis asteis isteis ados idos amos ábamos íamos imos áramos iéramos iésemos ásemos".split(), key=len, reverse=True))
+
+
+def _regions(word: str) -> tuple[int, int, int]:
+    """Where RV, R1 and R2 begin."""
+    def after(start: int) -> int:
+        for i in range(start + 1, len(word)):
+            if word[i] not in _VOWELS and word[i - 1] in _VOWELS:
+                return i + 1
+        return len(word)
+
+    r1 = after(0)
+    r2 = after(r1)
+    if len(word) < 3:
+        return len(word), r1, r2
+    if word[1] not in _VOWELS:
+        rv = next((i + 1 for i in range(2, len(word)) if word[i] in _VOWELS), len(word))
+    elif word[0] in _VOWELS:
+        rv = next((i + 1 for i in range(2, len(word)) if word[i] not in _VOWELS), len(word))
+    else:
+        rv = 3
+    return rv, r1, r2
+
+
+def stem(word: str) -> str:
+    """Spanish stem of a lower-case word by the published suffix rules; words with other than letters stay."""
+    if not word.isalpha():
+        return word
+    rv, _, r2 = _regions(word)
+    found = _PRONOUN.match(word)
+    if found and len(found[1]) >= rv:
+        word = found[1] + found[2].translate(str.maketrans("áéíóú", "aeiou"))
+    done = False
+    for endings, new in _STANDARD:
+        end = next((e for e in endings if word.endswith(e) and len(word) - len(e) >= r2), None)
+        if end:
+            word, done = word[: -len(end)] + new, True
+            break
+    if not done:
+        end = next((e for e in _VERBS if word.endswith(e) and len(word) - len(e) >= rv), None)
+        if end:
+            word, done = word[: -len(end)], True
+        else:
+            end = next((e for e in ("en", "es", "éis", "emos") if word.endswith(e) and len(word) - len(e) >= rv), None)
+            if end:
+                word = word[: -len(end)]
+                word = word[:-1] if word.endswith("gu") else word
+    for e in ("os", "a", "o", "á", "í", "ó", "e", "é"):
+        if word.endswith(e) and len(word) - len(e) >= rv:
+            word = word[: -len(e)]
+            break
+    return word.translate(str.maketrans("áéíóú", "aeiou"))
+
+
+def stemmed(terms: DataFrame, term: str) -> DataFrame:
+    """``terms`` with ``stem``: each distinct term is stemmed once and joined back."""
+    vocabulary = terms.select(term).distinct()
+    stems = vocabulary.withColumn("stem", F.pandas_udf(_stem_all, "string")(F.col(term)))
+    return terms.join(stems, term, "left")
+
+
+def _stem_all(words: pd.Series) -> pd.Series:
+    return words.map(lambda w: None if w is None else stem(w))
