@@ -9,7 +9,9 @@ their tokens are cut into sequences one after the other.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,7 +59,10 @@ class Words(dict):
         if len(self.parts) >= CACHE_WORDS:
             self.parts.clear()
         mapped = part if part.isascii() else "".join(map(self.chars.__getitem__, part.encode()))
-        out = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype=self.wide).tobytes()
+        ids = array("H" if self.wide.itemsize == 2 else "I", [t.id for t in self.tokenizer.model.tokenize(mapped)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        out = self.parts[part] = ids.tobytes()
         return out
 
     def encode(self, text: str) -> bytes:
@@ -65,13 +70,10 @@ class Words(dict):
         if PLAIN.search(text):
             ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.wide).tobytes()
         else:
-            ids = b"".join(map(self.__getitem__, text.translate(_SPACES).split(" ")))
+            ids = b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
         return ids + np.array([END_ID], dtype=self.wide).tobytes()
 
 
-_SPACES = {9: " ", 10: " ", 13: " "}
-
-
 @lru_cache(maxsize=2)
 def words_of(path: str) -> Words:
     return Words(path)
