@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ragspark.operators import models as M
 from ragspark.operators import ranking as R
 from ragspark.operators import retrieval as V
 from ragspark.plans.registry import query, table
+from ragspark.plans.text_queries import TOKENS_SQL
 
 WORDS = r"([a-z0-9_]+)"
 BM25_SQL = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),
@@ -176,3 +178,25 @@ def leak_check(spark, d):
     posted = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(runs).alias("head"))
     pairs = posted.join(items.select("item_id", head.alias("head")), "head").select("doc_id", "item_id").distinct()
     return pairs.join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
+
+
+@query(f"""WITH {BM25_SQL}, c AS (SELECT qid, doc_id FROM sc WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, doc_id) <= 20),
+q AS (SELECT item_id AS qid, list_distinct({{q}}) AS t FROM benchmark), p AS (SELECT doc_id, {{p}} AS t FROM documents),
+r AS (SELECT qid, doc_id, round(len(list_intersect(q.t, p.t)) / len(q.t), 6) AS score FROM c JOIN q USING (qid) JOIN p USING (doc_id))
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS pos, doc_id, score FROM r""".replace("{q}", TOKENS_SQL).replace("{p}", TOKENS_SQL))
+def rerank_stand_in(spark, d):
+    """The reranker's plug with its lexical stand-in."""
+    c = bm25(spark, d, 20).select("qid", "doc_id", "chunk_id")
+    c = c.join(table(spark, d, "documents").select("doc_id", F.col("text").alias("texto")), "doc_id")
+    return listed(M.reranked(c, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")))
+
+
+@query("""WITH p AS (SELECT item_id AS qid, lower(text) AS q, 0 AS ord, 'first ' || item_id AS s FROM benchmark UNION ALL SELECT item_id, lower(text), 1, 'FIRST ' || item_id FROM benchmark
+UNION ALL SELECT item_id, lower(text), 2, 'second' FROM benchmark UNION ALL SELECT item_id, lower(text), 3, ' ' FROM benchmark)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY ord) AS pos, s AS sub FROM p WHERE ord IN (0, 2)""")
+def subquery_cleanup(spark, d):
+    """T21, M02."""
+    b = table(spark, d, "benchmark")
+    first = F.concat(F.lit("first "), F.col("item_id").cast("string"))
+    proposals = F.array(first, F.concat(F.lit("FIRST "), F.col("item_id").cast("string")), F.lit("second"), F.lit(" "), F.col("text"))
+    return M.subqueries(b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"), proposals.alias("proposals")), 2)
