@@ -6,9 +6,10 @@ and then position, is removed. Matches are judged on the input.
 
 Words are ordered by rarity over all lines. Lines that match share a word of
 their prefixes, the first |x| - ceil(0.8 |x|) + 1 words in that order, so only
-prefixes are posted. A posting also has its place, the line's size and a 64-bit
+prefixes are posted. A posting also has its place, the line's size and a 128-bit
 bitmap of the set: the positional, length and bitmap filters drop pairs that
-cannot reach the overlap. What is left is verified on the whole sets. Equal
+cannot reach the overlap. (The words that only one of two sets has are no fewer
+than the bits in which their bitmaps of odd counts differ.) What is left is verified on the whole sets. Equal
 sets are found apart, by a 128-bit hash of the set.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.llm.shared import buckets_for, fresh, materialise, table, text_or_empty, tiled
-from ragspark.llm.substrings import PACKED, batch_number, by_document, deal, unpack
+from ragspark.llm.substrings import PACKED, batch_number, deal, listing, unpack
 from ragspark.llm.words import in_chunks, mix, word_hashes, word_spans
 
 THRESHOLD = 0.8
@@ -113,12 +114,13 @@ def rarity_of(texts: DataFrame) -> np.ndarray:
     return np.floor(8 * np.log2(1 + total)).astype(np.uint16)
 
 
-def _set_hashes(sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set, two order-free hashes and the bitmap."""
+def _set_hashes(sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set, two order-free hashes and the bitmap: of each of 128 bits, whether an odd number of words fall on it."""
     a = np.add.reduceat(mix(sets.words ^ np.uint64(0x5851F42D4C957F2D)), sets.begins)
     b = np.add.reduceat(mix(sets.words ^ np.uint64(0x14057B7EF767814F)), sets.begins)
-    bits = np.bitwise_or.reduceat(np.uint64(1) << (sets.words & np.uint64(63)), sets.begins)
-    return a, b, bits
+    one, place = np.uint64(1) << (sets.words & np.uint64(63)), sets.words & np.uint64(64)
+    low, high = (np.bitwise_xor.reduceat(np.where((place > 0) == half, one, np.uint64(0)), sets.begins) for half in (False, True))
+    return a, b, low, high
 
 
 def _prefixes(sets: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,50 +131,46 @@ def _prefixes(sets: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray, np.
     return owner, place, sets.words[sets.begins[owner] + place]
 
 
-#: What a packed posting and a packed line hold after position and mark.
-POSTING = ("<u4", "u1", "<u8", "<u4", "<u4", "<u2")
+#: What a packed posting and a packed line hold after the line's place in its batch and a mark.
+POSTING = ("<u4", "u1", "<u8", "<u8", "<u4", "<u4", "<u2")
 LINE = ("<u8", "<u8", "<i8", "<i8", "<u4")
 
 
 def _post(rarity: np.ndarray, n_buckets: int, threshold: float):
-    """Packed prefix postings (even batches) and lines (odd batches), and which are whose."""
+    """Packed prefix postings, packed lines and each batch's list of documents; lines without words are not counted."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, batch in enumerate(in_chunks(batches, "_size", BATCH_BYTES)):
-            number, first = 2 * batch_number(number), 0
-            lines, postings, n_lines, n_postings = [], [], [], []
+            number, first = batch_number(number), 0
+            lines, postings, n_lines = [], [], []
             for text, order, text_hash in zip(batch["_text"], batch["_order"], batch["_hash"], strict=True):
-                seen = posted = 0
+                seen = 0
                 for part in segments(text.encode("utf-8", "surrogatepass")):
                     sets = Sets(part, rarity)
                     if not len(sets.begins):
                         continue
-                    a, b, bits = _set_hashes(sets)
+                    a, b, low, high = _set_hashes(sets)
                     owner, place, word = _prefixes(sets, threshold)
                     lines.append((a, b, np.full(len(a), order), np.full(len(a), text_hash), np.arange(seen, seen + len(a))))
-                    postings.append((word, bits[owner], a[owner], sets.sizes[owner], place, owner + first))
-                    seen, posted, first = seen + len(a), posted + len(owner), first + len(a)
+                    postings.append((word, low[owner], high[owner], a[owner], sets.sizes[owner], place, owner + first))
+                    seen, first = seen + len(a), first + len(a)
                 n_lines.append(seen)
-                n_postings.append(posted)
-            rows = []
+            rows = [listing(batch, n_lines, number, 2 * n_buckets)]
             if lines:
                 a, b, order, text_hash, at = (np.concatenate(x) for x in zip(*lines, strict=True))
                 bucket = (a % np.uint64(n_buckets)).astype(np.int64)
-                packed = deal(bucket, n_buckets, number + 1, np.ones(len(a), bool), a, b, order.astype("<i8"), text_hash.astype("<i8"), at.astype("<u4"))
+                packed = deal(bucket, n_buckets, number, np.ones(len(a), bool), a, b, order.astype("<i8"), text_hash.astype("<i8"), at.astype("<u4"))
                 rows += [(n_buckets + k, *rest) for k, *rest in packed]
                 # A set that the batch has already posted is not posted again.
                 fresh = np.zeros(len(a), bool)
                 fresh[np.unique(a, return_index=True)[1]] = True
-                post = np.flatnonzero(fresh[np.concatenate([x[5] for x in postings])])
-                word, bits, own, size, place = (np.concatenate(x)[post] for x in list(zip(*postings, strict=True))[:5])
+                post = np.flatnonzero(fresh[np.concatenate([x[6] for x in postings])])
+                word, low, high, own, size, place, owner = (np.concatenate(x)[post] for x in zip(*postings, strict=True))
                 rows += deal(
                     (word % np.uint64(n_buckets)).astype(np.int64), n_buckets, number, np.ones(len(post), bool),
-                    (word >> np.uint64(24)).astype("<u4"), (word >> np.uint64(56)).astype("u1"), bits, own.astype("<u4"),
-                    size.astype("<u4"), np.minimum(place, 0xFFFF).astype("<u2"), places=post,
+                    (word >> np.uint64(24)).astype("<u4"), (word >> np.uint64(56)).astype("u1"), low, high, own.astype("<u4"),
+                    size.astype("<u4"), np.minimum(place, 0xFFFF).astype("<u2"), places=owner,
                 )
-            for kind, counts in ((0, n_postings), (1, n_lines)):
-                body = batch["_row"].to_numpy("<i8").tobytes() + batch["_hash"].to_numpy("<i8").tobytes() + np.array(counts, dtype="<i8").tobytes()
-                rows.append((2 * n_buckets + (number >> 1) % n_buckets, number + kind, len(counts), body))
             yield pd.DataFrame(rows, columns=["bucket", "batch", "n", "payload"])
 
     return emit
@@ -189,14 +187,16 @@ def later_copies(a: np.ndarray, b: np.ndarray, *order: np.ndarray) -> np.ndarray
     return later
 
 
-def active_postings(word: np.ndarray, bits: np.ndarray, own: np.ndarray, size: np.ndarray, place: np.ndarray, threshold: float) -> np.ndarray:
+def active_postings(
+    word: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, size: np.ndarray, place: np.ndarray, threshold: float
+) -> np.ndarray:
     """Which postings share their word with another set's that the filters leave.
 
     Postings are sorted by word and size and compared with the d-th next, for
     growing d, as long as words agree and sizes can match: no pair is stored.
     """
     by = np.lexsort((size, word))
-    word, bits, own, size, place = word[by], bits[by], own[by], size[by].astype(np.int64), place[by].astype(np.int64)
+    word, low, high, own, size, place = word[by], low[by], high[by], own[by], size[by].astype(np.int64), place[by].astype(np.int64)
     rest, active = size - place, np.zeros(len(word), bool)
     left, d = np.arange(len(word) - 1), 0
     while len(left):
@@ -208,7 +208,8 @@ def active_postings(word: np.ndarray, bits: np.ndarray, own: np.ndarray, size: n
         total = size[left] + size[right]
         least = overlap(total, threshold)
         hit = (own[left] != own[right]) & (np.minimum(rest[left], rest[right]) >= least)
-        hit &= np.bitwise_count(bits[left] ^ bits[right]) <= total - 2 * least
+        odd = np.bitwise_count(low[left] ^ low[right]).astype(np.int64) + np.bitwise_count(high[left] ^ high[right])
+        hit &= odd <= total - 2 * least
         active[left[hit]] = active[right[hit]] = True
     out = np.zeros(len(word), bool)
     out[by] = active
@@ -216,9 +217,10 @@ def active_postings(word: np.ndarray, bits: np.ndarray, own: np.ndarray, size: n
 
 
 def _one_bucket(rows: pd.DataFrame, n_buckets: int, threshold: float) -> pd.DataFrame:
+    """By batch the lines with an earlier copy (kind 1), or the active postings: lines and the heads of words (kind 0)."""
     bucket = rows["bucket"].iloc[0]
     if bucket >= 2 * n_buckets:
-        return rows[["batch", "n", "payload"]].assign(listing=True)
+        return rows[["batch", "n", "payload"]].assign(kind=2)
     kinds = POSTING if bucket < n_buckets else LINE
     parts = [unpack(p, n, *kinds) for p, n in zip(rows["payload"], rows["n"], strict=True)]
     columns = [np.concatenate([p[i] for p in parts]) for i in range(2, 2 + len(kinds))]
@@ -229,36 +231,62 @@ def _one_bucket(rows: pd.DataFrame, n_buckets: int, threshold: float) -> pd.Data
         hit = later_copies(*columns)
     ends, out = np.cumsum([len(p[0]) for p in parts]), []
     for batch, part, end in zip(rows["batch"], parts, ends, strict=True):
-        at = part[0][hit[end - len(part[0]) : end]]
+        own = slice(end - len(part[0]), end)
+        at = part[0][hit[own]].astype("<u4")
         if len(at):
-            out.append((batch, len(at), at.astype("<u4").tobytes(), False))
-    return pd.DataFrame(out, columns=["batch", "n", "payload", "listing"])
+            more = word[own][hit[own]].tobytes() if bucket < n_buckets else b""
+            out.append((batch, len(at), at.tobytes() + more, 0 if bucket < n_buckets else 1))
+    return pd.DataFrame(out, columns=["batch", "n", "payload", "kind"])
 
 
-def _gather(rows: pd.DataFrame) -> pd.DataFrame:
-    return by_document(rows).assign(lines=bool(rows["batch"].iloc[0] % 2))
+MARKS = "_row long, _hash long, equal binary, active binary, words binary"
 
 
-def _send(rarity: np.ndarray, threshold: float):
-    """For each active posting its word and the whole set of its line."""
+def _gather(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one batch, each document's copies of earlier lines and its active postings, by place among its lines with words."""
+    about = rows[rows["kind"] == 2].iloc[0]
+    row, text_hash, counts = np.frombuffer(about["payload"], dtype="<i8").reshape(3, -1)
+    begins = np.concatenate([[0], np.cumsum(counts)])
+    parts = {}
+    for kind in (0, 1):
+        own = rows[rows["kind"] == kind]
+        at = np.concatenate([np.frombuffer(p, "<u4", n) for p, n in zip(own["payload"], own["n"], strict=True)] or [np.empty(0, "<u4")])
+        by = np.argsort(at, kind="stable")
+        parts[kind] = at[by].astype(np.int64), np.searchsorted(at[by], begins)
+        if not kind:
+            words = np.concatenate([np.frombuffer(p, "<u8", n, 4 * n) for p, n in zip(own["payload"], own["n"], strict=True)] or [np.empty(0, "<u8")])[by]
+    (active, at0), (equal, at1) = parts[0], parts[1]
+    some = np.flatnonzero((np.diff(at0) > 0) | (np.diff(at1) > 0))
+    return pd.DataFrame({
+        "_row": row[some], "_hash": text_hash[some],
+        "equal": [(equal[at1[d] : at1[d + 1]] - begins[d]).astype("<u4").tobytes() for d in some],
+        "active": [(active[at0[d] : at0[d + 1]] - begins[d]).astype("<u4").tobytes() for d in some],
+        "words": [words[at0[d] : at0[d + 1]].tobytes() for d in some],
+    })
+
+
+def _send(rarity: np.ndarray):
+    """For each active posting its word's head and the whole set of its line.
+
+    A line with an earlier copy is not sent: it goes anyhow, and whatever it
+    matches matches its earliest copy, which is earlier still.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for text, order, row, text_hash, at in zip(batch["_text"], batch["_order"], batch["_row"], batch["_hash"], batch["at"], strict=True):
-                active, seen, posted = np.frombuffer(at, dtype="<u4"), 0, 0
-                for part in segments(text.encode("utf-8", "surrogatepass")):
-                    sets = Sets(part, rarity)
-                    if not len(sets.begins):
-                        continue
-                    owner, _, word = _prefixes(sets, threshold)
-                    for i in active[(active >= posted) & (active < posted + len(owner))] - posted:
-                        line = owner[i]
-                        rows.append((word[i].astype(np.int64), order, text_hash, row, int(seen + line), np.sort(sets.of(line)).tobytes()))
-                    seen, posted = seen + len(sets.begins), posted + len(owner)
-                    if len(rows) > 5000:
-                        yield pd.DataFrame(rows, columns=SENT_COLUMNS)
-                        rows = []
+            for r in batch.itertuples(index=False):
+                at, word = np.frombuffer(r.active, dtype="<u4"), np.frombuffer(r.words, dtype="<u8")
+                new = ~np.isin(at, np.frombuffer(r.equal, dtype="<u4"))
+                at, word = at[new].tolist(), word[new].astype(np.int64).tolist()
+                if not at:
+                    continue
+                lines = [line for line in r.body.encode("utf-8", "surrogatepass").split(b"\n") if line.split()]
+                sets = {i: np.sort(Sets(lines[i], rarity).words).tobytes() for i in set(at)}
+                rows += [(w, r.place, r.text, r.row, i, sets[i]) for i, w in zip(at, word, strict=True)]
+                if len(rows) > 5000:
+                    yield pd.DataFrame(rows, columns=SENT_COLUMNS)
+                    rows = []
             yield pd.DataFrame(rows, columns=SENT_COLUMNS)
 
     return emit
@@ -320,13 +348,12 @@ def remove_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     )
     rarity = rarity_of(texts)
     packed = texts.mapInPandas(_post(rarity, n_buckets, threshold), PACKED)
-    hits = packed.groupBy("bucket").applyInPandas(lambda rows: _one_bucket(rows, n_buckets, threshold), "batch long, n int, payload binary, listing boolean")
-    marks = materialise(hits.groupBy("batch").applyInPandas(_gather, "_row long, _hash long, at binary, lines boolean"), "line-marks")
-    marks = marks.dropDuplicates(["_row", "_hash", "lines"])
-    equal = marks.filter("lines").select("_row", "_hash", "at")
-    active = marks.filter("NOT lines").select("_row", "_hash", "at")
-    sent = texts.join(active, ["_row", "_hash"])
-    sent = materialise(sent.mapInPandas(_send(rarity, threshold), SENT), "line-sets")
+    hits = packed.groupBy("bucket").applyInPandas(lambda rows: _one_bucket(rows, n_buckets, threshold), "batch long, n int, payload binary, kind int")
+    marks = materialise(hits.groupBy("batch").applyInPandas(_gather, MARKS), "line-marks").dropDuplicates(["_row", "_hash"])
+    equal = marks.filter(F.length("equal") > 0).select("_row", "_hash", "equal")
+    sent = texts.join(marks.filter(F.length("active") > 0), ["_row", "_hash"]).select(
+        F.col("_text").alias("body"), F.col("_order").alias("place"), F.col("_hash").alias("text"), F.col("_row").alias("row"), "equal", "active", "words")
+    sent = materialise(sent.mapInPandas(_send(rarity), SENT), "line-sets")
     cells = tiled(sent, ["word"], "_row", CELL).withColumn("bucket", F.pmod(F.xxhash64("word", "_lo", "_hi"), F.lit(n_buckets)))
     similar = cells.groupBy("bucket").applyInPandas(_verify(threshold), "_row long, _hash long, line int")
     similar = materialise(similar.groupBy("_row", "_hash").agg(F.collect_set("line").alias("similar")), "similar-lines")
