@@ -45,7 +45,7 @@ def citations_extract_codes(spark, d):
     """Codes, aliased laws and rulings."""
     n = (F.col("o_orderkey") % 4).cast("int")
     texts = F.array(*map(F.lit, ("Ley 599 de 2000, art. 13, 15 y 42", "artículo 404 del Código Penal", "Sentencia C-355 de 2006 y SU-16/20", "la ley 1437 y el C.P.")))
-    found = table(spark, d, "orders").filter("o_orderkey % 50 < 4").select("o_orderkey", F.explode(C.citations(F.get(texts, n))).alias("c"))
+    found = table(spark, d, "orders").select("o_orderkey", F.explode(C.citations(F.get(texts, n))).alias("c"))
     return found.select("o_orderkey", "c.tipo", "c.numero", "c.anio", "c.articulo")
 
 
@@ -150,12 +150,12 @@ def backed_flags(spark, d):
     return cited.join(backed, ["qid", "body"], "left").withColumn("respaldada", F.coalesce("respaldada", F.lit(False)))
 
 
-@query(f"""WITH {BACK_SQL}, s AS (SELECT o_custkey AS qid, o_orderkey AS pos, [o_orderkey % 25, o_custkey % 25] AS bodies FROM orders WHERE o_orderkey % 3 = 0),
+@query(f"""WITH {BACK_SQL}, s AS (SELECT o_custkey AS qid, o_orderkey AS pos, [o_orderkey % 25, o_custkey % 25] AS bodies FROM orders),
 x AS (SELECT DISTINCT qid, pos FROM (SELECT qid, pos, unnest(bodies) AS body FROM s) ANTI JOIN bk USING (qid, body))
 SELECT s.qid, s.pos, x.qid IS NOT NULL AS removed FROM s LEFT JOIN x USING (qid, pos)""")
 def drop_unbacked_sentences(spark, d):
     """V01."""
-    s = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(
+    s = table(spark, d, "orders").select(
         F.col("o_custkey").alias("qid"), F.col("o_orderkey").alias("pos"), F.array(F.col("o_orderkey") % 25, F.col("o_custkey") % 25).alias("bodies"))
     return A.without_unbacked(s, A.backing_bodies(_passages(spark, d))).select("qid", "pos", "removed")
 
@@ -252,7 +252,7 @@ def mmr_select(spark, d):
 def extension_fill(spark, d):
     """R25, H27, H28."""
     top = V.bm25(spark, d, 1).select("qid", "doc_id")
-    pieces = top.join(table(spark, d, "documents"), "doc_id").select("qid", F.posexplode(F.slice(T.sentence_pieces(F.col("text")), 1, 20)).alias("pos", "piece"))
+    pieces = top.join(table(spark, d, "documents"), "doc_id").select("qid", F.posexplode(T.sentence_pieces(F.col("text"))).alias("pos", "piece"))
     answers = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.get(T.sentence_pieces(F.col("text")), F.lit(0)).alias("text"))
     return A.extended(answers, pieces, 3, 150)
 

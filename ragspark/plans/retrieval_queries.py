@@ -59,14 +59,14 @@ def bm25_in_doc(spark, d):
     return listed(bm25(spark, d, 2, table(spark, d, "documents").filter("source = 'src0'").select("doc_id")))
 
 
-DENSE_SQL = """q AS (SELECT vec_id AS qid, embedding::double[] AS v FROM embeddings WHERE vec_id < 20),
-x AS (SELECT vec_id AS doc_id, embedding::double[] AS v, label FROM embeddings WHERE vec_id >= 20),
+DENSE_SQL = """q AS (SELECT vec_id AS qid, embedding::double[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+x AS (SELECT vec_id AS doc_id, embedding::double[] AS v, label FROM embeddings),
 dn AS (SELECT qid, doc_id, label, round(list_inner_product(q.v, x.v), 6) AS score FROM q, x)"""
 
 
 def vectors(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    return e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "v"), e.filter("vec_id >= 20").withColumnRenamed("vec_id", "doc_id")
+    return e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "v"), e.withColumnRenamed("vec_id", "doc_id")
 
 
 def _dense_sql(where: str) -> str:
@@ -117,7 +117,7 @@ def fixed_values_rules(spark, d):
     return V.rule_hits(queries, rules, 2).select("qid", "pos", "doc_id", "chunk_id")
 
 
-@query("""WITH cited AS (SELECT o_custkey AS qid, o_orderkey % 40 AS body, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 5)::varchar END AS article FROM orders WHERE o_custkey % 10 = 0),
+@query("""WITH cited AS (SELECT o_custkey AS qid, o_orderkey % 40 AS body, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 5)::varchar END AS article FROM orders),
 cd AS (SELECT DISTINCT * FROM cited),
 arts AS (SELECT p_partkey % 40 AS body, (p_size % 5)::varchar AS article, p_partkey % 40 AS doc_id, p_partkey AS chunk_id FROM part WHERE p_size % 4 <> 0),
 cards AS (SELECT p_partkey AS body, p_partkey AS doc_id, -p_partkey AS chunk_id FROM part WHERE p_partkey < 40),
@@ -130,7 +130,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank, body, article
 SELECT qid, pos, body, article, doc_id, chunk_id FROM r WHERE pos <= 4""")
 def lookup_exact(spark, d):
     """R14, R15, R16, J02."""
-    o, p = table(spark, d, "orders").filter("o_custkey % 10 = 0"), table(spark, d, "part")
+    o, p = table(spark, d, "orders"), table(spark, d, "part")
     article = F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_orderkey") % 5).cast("string"))
     cited = o.select(F.col("o_custkey").alias("qid"), (F.col("o_orderkey") % 40).alias("body"), article.alias("article")).distinct()
     arts = p.filter("p_size % 4 <> 0").select((F.col("p_partkey") % 40).alias("body"), (F.col("p_size") % 5).cast("string").alias("article"),
@@ -143,14 +143,14 @@ EDGES_SQL = "e AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 200 AS body
 
 
 @query(f"""WITH {EDGES_SQL}, i AS (SELECT body, ln((SELECT count(DISTINCT doc_id) FROM e)::double / count(DISTINCT doc_id)) AS idf FROM e GROUP BY body),
-core AS (SELECT DISTINCT p_size AS qid, p_partkey % 200 AS body FROM part WHERE p_partkey <= 60),
+core AS (SELECT DISTINCT p_size AS qid, p_partkey % 200 AS body FROM part),
 s AS (SELECT qid, doc_id, sum(idf) AS s FROM core JOIN e USING (body) JOIN i USING (body) GROUP BY ALL),
 r AS (SELECT qid, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, doc_id) AS pos FROM s WHERE s > 0)
 SELECT qid::bigint AS qid, pos, doc_id, score FROM r WHERE pos <= 10""")
 def citation_coupling_idf(spark, d):
     """R19, A02, J16."""
     edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 200).alias("body")).distinct()
-    core = table(spark, d, "part").filter("p_partkey <= 60").select(F.col("p_size").alias("qid"), (F.col("p_partkey") % 200).alias("body"))
+    core = table(spark, d, "part").select(F.col("p_size").alias("qid"), (F.col("p_partkey") % 200).alias("body"))
     return listed(V.coupling(edges, core, 10))
 
 
