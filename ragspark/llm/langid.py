@@ -29,7 +29,7 @@ PENALTY = 3.0
 ROUNDS, TOLERANCE = 25, 1e-3
 UNKNOWN = "und"
 #: Characters handled at once.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -211,4 +211,4 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all ``documents``; the model comes from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     names, model = fit(docs)
-    return identify(docs, names, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "mixture")
+    return identify(docs, names, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
