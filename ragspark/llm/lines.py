@@ -60,6 +60,21 @@ def segments(text: bytes, limit: int = BATCH_BYTES) -> Iterator[bytes]:
     yield text[at:]
 
 
+def buffers(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Parts of the texts, by the texts' places, in groups of about ``limit`` bytes; one line may be larger."""
+    owners, parts, total = [], [], 0
+    for i, text in enumerate(texts):
+        for part in segments(text.encode("utf-8", "surrogatepass"), limit):
+            if total and total + len(part) > limit:
+                yield owners, parts
+                owners, parts, total = [], [], 0
+            owners.append(i)
+            parts.append(part)
+            total += len(part) + 1
+    if parts:
+        yield owners, parts
+
+
 class Sets:
     """The word sets of the lines that have words, of one part of a text.
 
@@ -77,7 +92,15 @@ class Sets:
             self.words = hashes
             return
         of = np.searchsorted(breaks, starts)
-        order = np.lexsort((hashes, rarity[hashes >> np.uint64(46)], of))
+        rank = rarity[hashes >> np.uint64(46)]
+        if self.n_lines < 1 << 22:
+            # One sort: by line, rank and the hash's head, which tells a part's words apart but for rare cases.
+            key = of.astype(np.uint64) << np.uint64(42) | rank.astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32)
+            order = np.argsort(key)
+            key, sorted_ = key[order], hashes[order]
+            clear = not ((key[1:] == key[:-1]) & (sorted_[1:] != sorted_[:-1])).any()
+        if self.n_lines >= 1 << 22 or not clear:
+            order = np.lexsort((hashes, rank, of))
         hashes, of = hashes[order], of[order]
         first = np.ones(len(of), dtype=bool)
         first[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
@@ -96,9 +119,8 @@ def rarity_of(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(RARITY, dtype=np.int64)
         for batch in batches:
-            for text in batch["_text"]:
-                for part in segments(text.encode("utf-8", "surrogatepass")):
-                    np.add.at(total, (Sets(part, None).words >> np.uint64(46)).astype(np.int64), 1)
+            for _, parts in buffers(batch["_text"].tolist()):
+                total += np.bincount((Sets(b"\n".join(parts), None).words >> np.uint64(46)).astype(np.int64), minlength=RARITY)
         parts = total.reshape(-1, RARITY_CHUNK)
         yield pd.DataFrame({"chunk": np.arange(len(parts)), "counts": [p.tobytes() for p in parts]})
 
@@ -142,20 +164,22 @@ def _post(rarity: np.ndarray, n_buckets: int, threshold: float):
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, batch in enumerate(in_chunks(batches, "_size", BATCH_BYTES)):
             number, first = batch_number(number), 0
-            lines, postings, n_lines = [], [], []
-            for text, order, text_hash in zip(batch["_text"], batch["_order"], batch["_hash"], strict=True):
-                seen = 0
-                for part in segments(text.encode("utf-8", "surrogatepass")):
-                    sets = Sets(part, rarity)
-                    if not len(sets.begins):
-                        continue
-                    a, b, low, high = _set_hashes(sets)
-                    owner, place, word = _prefixes(sets, threshold)
-                    lines.append((a, b, np.full(len(a), order), np.full(len(a), text_hash), np.arange(seen, seen + len(a))))
-                    postings.append((word, low[owner], high[owner], a[owner], sets.sizes[owner], place, owner + first))
-                    seen, first = seen + len(a), first + len(a)
-                n_lines.append(seen)
-            rows = [listing(batch, n_lines, number, 2 * n_buckets)]
+            lines, postings, n_lines = [], [], np.zeros(len(batch), dtype=np.int64)
+            orders, hashes = batch["_order"].to_numpy(np.int64), batch["_hash"].to_numpy(np.int64)
+            for owners, parts in buffers(batch["_text"].tolist()):
+                sets = Sets(b"\n".join(parts), rarity)
+                if not len(sets.begins):
+                    continue
+                doc = np.repeat(owners, [p.count(b"\n") + 1 for p in parts])[sets.line]
+                own = np.bincount(doc, minlength=len(batch))
+                at = np.arange(len(doc)) - np.repeat((np.cumsum(own) - own)[own > 0], own[own > 0]) + n_lines[doc]
+                a, b, low, high = _set_hashes(sets)
+                owner, place, word = _prefixes(sets, threshold)
+                lines.append((a, b, orders[doc], hashes[doc], at))
+                postings.append((word, low[owner], high[owner], a[owner], sets.sizes[owner], place, owner + first))
+                n_lines += own
+                first += len(a)
+            rows = [listing(batch, n_lines.tolist(), number, 2 * n_buckets)]
             if lines:
                 a, b, order, text_hash, at = (np.concatenate(x) for x in zip(*lines, strict=True))
                 bucket = (a % np.uint64(n_buckets)).astype(np.int64)
@@ -282,7 +306,9 @@ def _send(rarity: np.ndarray):
                 if not at:
                     continue
                 lines = [line for line in r.body.encode("utf-8", "surrogatepass").split(b"\n") if line.split()]
-                sets = {i: np.sort(Sets(lines[i], rarity).words).tobytes() for i in set(at)}
+                wanted = sorted(set(at))
+                found = Sets(b"\n".join(lines[i] for i in wanted), rarity)
+                sets = {i: np.sort(found.of(n)).tobytes() for n, i in enumerate(wanted)}
                 rows += [(w, r.place, r.text, r.row, i, sets[i]) for i, w in zip(at, word, strict=True)]
                 if len(rows) > 5000:
                     yield pd.DataFrame(rows, columns=SENT_COLUMNS)
