@@ -67,10 +67,11 @@ class Words(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, the end id last; the same as the tokenizer's own for any text."""
-        if PLAIN.search(text):
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.wide).tobytes()
+        spaced = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        if (spaced.isascii() and spaced.isprintable() and "<|" not in spaced) or not PLAIN.search(text):
+            ids = b"".join(map(self.__getitem__, spaced.split(" ")))
         else:
-            ids = b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.wide).tobytes()
         return ids + np.array([END_ID], dtype=self.wide).tobytes()
 
 
