@@ -163,6 +163,8 @@ def _post(rarity: np.ndarray, n_buckets: int, threshold: float):
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, batch in enumerate(in_chunks(batches, "_size", BATCH_BYTES)):
+            # Lines in the order of removal, so that the copy of a set that is posted is the batch's earliest.
+            batch = batch.sort_values(["_order", "_hash"], kind="stable", ignore_index=True)
             number, first = batch_number(number), 0
             lines, postings, n_lines = [], [], np.zeros(len(batch), dtype=np.int64)
             orders, hashes = batch["_order"].to_numpy(np.int64), batch["_hash"].to_numpy(np.int64)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ragspark.llm import lines
 
@@ -68,6 +69,19 @@ def test_repeated_rows_are_one_document_and_empty_table(docs):
     assert lines.remove_similar_lines(docs([])).count() == 0
 
 
+def test_order_of_rows_does_not_matter(spark, docs):
+    rows = corpus(9, 60)
+    long = [f"t{i}" for i in range(19)]
+    rows += [(2000, " ".join(long)), (2001, " ".join(long)), (2002, " ".join(long[:-1] + ["x"])), (2003, " ".join(long[:-1] + ["y"]))]
+    want = dict(zip([i for i, _ in rows], brute(rows), strict=True))
+    mixed = random.Random(10).sample(rows, len(rows))
+    for given in (rows[::-1], mixed):
+        got = {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(docs(given).coalesce(1)).collect()}
+        assert got == want
+        again = docs(given).coalesce(1).orderBy(F.monotonically_increasing_id().desc())
+        assert {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(again).collect()} == want
+
+
 def test_segments_cover_the_text():
     rng = random.Random(6)
     for _ in range(200):
