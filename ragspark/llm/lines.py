@@ -265,6 +265,20 @@ def _one_bucket(rows: pd.DataFrame, n_buckets: int, threshold: float) -> pd.Data
     return pd.DataFrame(out, columns=["batch", "n", "payload", "kind"])
 
 
+def merged(marks: DataFrame) -> DataFrame:
+    """One mark of each document: of its rows, in one batch or several, only some may have posted a line.
+
+    ``equal`` is alike wherever it is not empty; ``active`` and ``words`` are strung together.
+    """
+    posted = F.collect_set(F.when(F.length("active") > 0, F.struct("active", "words")))
+    found = marks.groupBy("_row", "_hash").agg(F.max("equal").alias("equal"), posted.alias("_posted"))
+
+    def strung(name: str):
+        return F.aggregate("_posted", F.lit(b""), lambda all_, one: F.concat(all_, one[name])).alias(name)
+
+    return found.select("_row", "_hash", "equal", strung("active"), strung("words"))
+
+
 MARKS = "_row long, _hash long, equal binary, active binary, words binary"
 
 
@@ -311,7 +325,7 @@ def _send(rarity: np.ndarray):
                 wanted = sorted(set(at))
                 found = Sets(b"\n".join(lines[i] for i in wanted), rarity)
                 sets = {i: np.sort(found.of(n)).tobytes() for n, i in enumerate(wanted)}
-                rows += [(w, r.place, r.text, r.row, i, sets[i]) for i, w in zip(at, word, strict=True)]
+                rows += [(w, r.place, r.text, r.row, i, sets[i]) for i, w in sorted(set(zip(at, word, strict=True)))]
                 if len(rows) > 5000:
                     yield pd.DataFrame(rows, columns=SENT_COLUMNS)
                     rows = []
@@ -377,7 +391,7 @@ def remove_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     rarity = rarity_of(texts)
     packed = texts.mapInPandas(_post(rarity, n_buckets, threshold), PACKED)
     hits = packed.groupBy("bucket").applyInPandas(lambda rows: _one_bucket(rows, n_buckets, threshold), "batch long, n int, payload binary, kind int")
-    marks = materialise(hits.groupBy("batch").applyInPandas(_gather, MARKS), "line-marks").dropDuplicates(["_row", "_hash"])
+    marks = merged(materialise(hits.groupBy("batch").applyInPandas(_gather, MARKS), "line-marks"))
     equal = marks.filter(F.length("equal") > 0).select("_row", "_hash", "equal")
     sent = texts.join(marks.filter(F.length("active") > 0), ["_row", "_hash"]).select(
         F.col("_text").alias("body"), F.col("_order").alias("place"), F.col("_hash").alias("text"), F.col("_row").alias("row"), "equal", "active", "words")

@@ -82,6 +82,32 @@ def test_order_of_rows_does_not_matter(spark, docs):
         assert {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(again).collect()} == want
 
 
+def test_repeated_rows_with_similar_lines(docs, monkeypatch):
+    written = lines.materialise
+
+    def emptiest_first(df, label):
+        return written(df.coalesce(1).sortWithinPartitions(F.length("active")) if label == "line-marks" else df, label)
+
+    monkeypatch.setattr(lines, "materialise", emptiest_first)
+    one, other = [f"a{i}" for i in range(20)], [f"b{i}" for i in range(20)]
+    first = "an equal line\n" + " ".join(one)
+    twice = "an equal line\n" + " ".join(one[:-1] + ["x"]) + "\n" + " ".join(other)
+    rows = [(1, first), (2, twice), (3, " ".join(other[:-1] + ["y"]))]
+    want = {1: [], 2: [0, 1], 3: [0]}
+    for given in ([rows[0], *[rows[1]] * 3, rows[2]], [*[rows[1]] * 2, rows[2], rows[0], rows[1]]):
+        for parts in (1, 5):
+            got = lines.remove_similar_lines(docs(given).repartition(parts)).collect()
+            assert sorted((r["doc_id"], r["removed"]) for r in got) == sorted((i, want[i]) for i, _ in given)
+
+
+def test_marks_of_repeated_rows_are_merged(spark):
+    blank = bytearray()
+    rows = [(1, 2, bytearray(b"e" * 4), blank, blank), (1, 2, bytearray(b"e" * 4), bytearray(b"a" * 4), bytearray(b"w" * 8)), (1, 2, blank, bytearray(b"c" * 4), bytearray(b"v" * 8)), (3, 2, blank, blank, blank)]
+    got = {r["_row"]: r for r in lines.merged(spark.createDataFrame(rows, lines.MARKS)).collect()}
+    assert got[1]["equal"] == b"eeee" and {(got[1]["active"][i : i + 4], got[1]["words"][2 * i : 2 * i + 8]) == x for i in (0, 4) for x in [(b"aaaa", b"w" * 8)]} == {True, False}
+    assert len(got[1]["active"]) == 8 and not got[3]["equal"] and not got[3]["active"]
+
+
 def test_segments_cover_the_text():
     rng = random.Random(6)
     for _ in range(200):
