@@ -44,6 +44,31 @@ def test_near_dedup_keeps_the_smallest_of_each_group(spark, docs, sf_dir):
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 3]
 
 
+def test_near_dedup_matches_brute_force_jaccard(spark, docs, sf_dir):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(60, 200)))) for i in range(25)]
+    for i in range(25, 90):
+        t = rng.choice(rows)[1].split()
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = f"new{rng.randrange(1000)}"
+        rows.append((i, " ".join(t)))
+    rows += [(200, "One two"), (201, "one  TWO"), (202, "one three")]
+    rng.shuffle(rows)
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [grams(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    low = [i for i, _ in rows]
+    for _ in rows:
+        for i, j in pairs:
+            low[i] = low[j] = min(low[i], low[j])
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(rows), sf_dir).collect()}
+    assert got == set(low) and len(pairs) > 30
+
+
 def test_run_and_empty_tables(spark, sf_dir, docs, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == 41
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
