@@ -69,6 +69,16 @@ def test_near_dedup_matches_brute_force_jaccard(spark, docs, sf_dir):
     assert got == set(low) and len(pairs) > 30
 
 
+def test_near_dedup_keeps_unlike_rows_of_one_id(spark, docs, sf_dir):
+    rng = random.Random(3)
+    one, two, three = (" ".join(rng.choices(WORDS, k=80)) for _ in range(3))
+    rows = [(None, one), (None, two), (None, three), (7, two.upper()), (8, one + " x"), (8, three + " x"), (8, "quite another text"), (8, "quite another text")]
+    kept = corpus_pipeline.near_dedup(spark, docs(rows), sf_dir).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(7, two.upper()), (8, one + " x"), (8, three + " x"), (8, "quite another text")])
+    nulls = corpus_pipeline.near_dedup(spark, docs([(None, one), (None, two), (None, two)]), sf_dir).collect()
+    assert sorted(r["text"] for r in nulls) == sorted([one, two])
+
+
 def test_run_and_empty_tables(spark, sf_dir, docs, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().count() == 41
     docs([]).write.parquet(f"{tmp_path}/documents.parquet")
