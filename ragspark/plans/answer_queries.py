@@ -200,7 +200,7 @@ SELECT id, unnest(list_filter([CASE WHEN id % 40 = 0 THEN 'id desconocido' END,
  CASE WHEN formato = 'cerrada' AND letra = 'E' THEN 'letra no valida' END, CASE WHEN NOT abst AND trim(respuesta) = '' THEN 'respuesta vacia' END,
  CASE WHEN n > 10 THEN 'demasiados pasajes' END], lambda x: x IS NOT NULL)) AS error FROM t""")
 def validate_submission(spark, d):
-    """V11, V12, J12, J13."""
+    """V12, and of V11: ids, letters, empty answers, number of passages and finite scores."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
     subs = o.select(F.when(k % 50 == 1, k + 1).otherwise(k).alias("id"), F.when(k % 3 == 0, "cerrada").otherwise("abierta").alias("formato"),
                     F.when(k % 6 == 0, "E").otherwise("A").alias("letra"), F.when(k % 9 == 0, " ").otherwise("x").alias("respuesta"),
@@ -250,7 +250,7 @@ def mmr_select(spark, d):
 
 @query()
 def extension_fill(spark, d):
-    """R25, H27, H28."""
+    """H27, and of R25: literal sentences unlike those there, under a cap of words."""
     top = V.bm25(spark, d, 1).select("qid", "doc_id")
     pieces = top.join(table(spark, d, "documents"), "doc_id").select("qid", F.posexplode(T.sentence_pieces(F.col("text"))).alias("pos", "piece"))
     answers = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.get(T.sentence_pieces(F.col("text")), F.lit(0)).alias("text"))
@@ -259,7 +259,7 @@ def extension_fill(spark, d):
 
 @query()
 def fallback_answer(spark, d):
-    """The answer without a model."""
+    """The answer without a model."""
     top = V.bm25(spark, d, 1).select("qid", "doc_id", "pos")
     return A.fallback_answer(top.join(table(spark, d, "documents").select("doc_id", F.col("text").alias("texto")), "doc_id"))
 

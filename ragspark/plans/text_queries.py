@@ -111,7 +111,7 @@ def html_links(spark, d):
 
 @query()
 def html_to_blocks(spark, d):
-    """Blocks with their kind and heading path."""
+    """Blocks with their kind and heading path, by one generic reader."""
     return H.blocks(table(spark, d, "pages"))
 
 
