@@ -21,7 +21,7 @@ from ragspark.llm.shared import carried, table
 
 #: Edits allowed, as a share of an item's characters, rounded down.
 ERROR_RATE = 0.08
-#: Shorter items, in normalised characters, take no part: they occur by chance.
+#: Shorter items, in normalised characters, are matched without edits and at word bounds only.
 MIN_CHARS = 25
 #: Items that a task holds at once; more are sought in further passes.
 ITEMS_AT_ONCE = 5000
@@ -65,13 +65,21 @@ def best_match(bits: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether no word of letters and digits goes on over either end of the span."""
+    return not (
+        (start > 0 and text[start - 1].isalnum() and text[start].isalnum()) or (end < len(text) and text[end - 1].isalnum() and text[end].isalnum())
+    )
+
+
 class Matcher:
     """Finds approximate occurrences of items in normalised texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int = MIN_CHARS):
         import ahocorasick
 
-        self.items = [(key, text, int(len(text) * rate), pattern_bits(text)) for key, text in items]
+        self.min_chars = min_chars
+        self.items = [(key, text, int(len(text) * rate) if len(text) >= min_chars else 0, pattern_bits(text)) for key, text in items]
         places: dict[str, list[tuple[int, int]]] = {}
         for i, (_, text, budget, _) in enumerate(self.items):
             for offset, piece in pieces(text, budget):
@@ -94,6 +102,8 @@ class Matcher:
         for i, starts in windows.items():
             key, item, budget, bits = self.items[i]
             m, best, seen = len(item), (budget + 1, 0), -1
+            if m < self.min_chars:
+                starts = {s for s in starts if bounded(text, s, s + m)}
             exact = min((s for s in starts if s >= 0 and text.startswith(item, s)), default=None)
             if exact is not None:
                 best, starts = (0, exact + m), ()
@@ -111,8 +121,8 @@ class Matcher:
 
 
 @lru_cache(maxsize=2)
-def _matcher(token: str, items: tuple[tuple[int, str], ...], rate: float) -> Matcher:
-    return Matcher(list(items), rate)
+def _matcher(token: str, items: tuple[tuple[int, str], ...], rate: float, min_chars: int) -> Matcher:
+    return Matcher(list(items), rate, min_chars)
 
 
 def find_items(
@@ -124,9 +134,9 @@ def find_items(
     Texts and items are normalised (lower case, white space collapsed);
     ``distance`` is the smallest number of edits to a substring of the text,
     ``end`` where the first such ends in the normalised text, ``n_chars`` the
-    item's length. Up to floor(rate * length) edits match. Items with a null key
-    or text, or shorter than ``min_chars``, take no part; equal items give a row
-    each. Null and empty texts match nothing. Rows of ``docs`` are handled one by
+    item's length. Up to floor(rate * length) edits match. Items shorter than
+    ``min_chars`` match without edits, at word bounds. Items with a null key or
+    text, or without characters, take no part; equal items give a row each. Null and empty texts match nothing. Rows of ``docs`` are handled one by
     one, whole, and no row is shuffled. Items go to the tasks in blocks of at
     most ``at_once``, in as many passes as that takes.
     """
@@ -134,19 +144,19 @@ def find_items(
     texts = docs.select(carried(key), F.col(text).alias("_text"))
     schema = f"`{key}` string, `{item_key}` {item_kind}, distance long, end long, n_chars long"
     out = None
-    for held in item_blocks(items, item_key, item_text, min_chars, at_once):
-        one = texts.mapInPandas(_seeker(held, rate, key, item_key), schema)
+    for held in item_blocks(items, item_key, item_text, at_once):
+        one = texts.mapInPandas(_seeker(held, rate, key, item_key, min_chars), schema)
         out = one if out is None else out.union(one)
     return out.withColumn(key, F.col(key).cast(kind))
 
 
-def item_blocks(items: DataFrame, item_key: str, item_text: str, min_chars: int, at_once: int) -> Iterator[tuple[tuple[int, str], ...]]:
+def item_blocks(items: DataFrame, item_key: str, item_text: str, at_once: int) -> Iterator[tuple[tuple[int, str], ...]]:
     """The items' keys and normalised texts, in blocks of about half of ``at_once``; one block at least."""
     usable = items.select(F.col(item_key).alias("_i"), F.col(item_text).alias("_t")).dropna()
     n = max(1, -(-usable.count() // max(1, at_once // 2)))
     for block in range(n):
         rows = usable.filter(F.pmod(F.xxhash64("_i", "_t"), F.lit(n)) == block) if n > 1 else usable
-        yield tuple(sorted((r["_i"], t) for r in rows.collect() if len(t := normalised(r["_t"])) >= min_chars))
+        yield tuple(sorted((r["_i"], t) for r in rows.collect() if (t := normalised(r["_t"]))))
 
 
 def drop_contaminated(
@@ -154,27 +164,27 @@ def drop_contaminated(
     rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, at_once: int = ITEMS_AT_ONCE,
 ) -> DataFrame:
     """The rows of ``docs`` that match no item, by the rules of ``find_items``; no row is shuffled."""
-    for held in item_blocks(items, item_key, item_text, min_chars, at_once):
-        docs = docs.mapInArrow(_cleaner(held, rate, docs.columns.index(text)), docs.schema)
+    for held in item_blocks(items, item_key, item_text, at_once):
+        docs = docs.mapInArrow(_cleaner(held, rate, docs.columns.index(text), min_chars), docs.schema)
     return docs
 
 
-def _cleaner(held: tuple[tuple[int, str], ...], rate: float, text: int):
+def _cleaner(held: tuple[tuple[int, str], ...], rate: float, text: int, min_chars: int):
     token = uuid.uuid4().hex
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(token, held, rate)
+        matcher = _matcher(token, held, rate, min_chars)
         for batch in batches:
             yield batch.filter(pa.array([not (t and matcher.find(normalised(t))) for t in batch.column(text).to_pylist()], pa.bool_()))
 
     return clean
 
 
-def _seeker(held: tuple[tuple[int, str], ...], rate: float, key: str, item_key: str):
+def _seeker(held: tuple[tuple[int, str], ...], rate: float, key: str, item_key: str, min_chars: int):
     token, sizes = uuid.uuid4().hex, {k: len(t) for k, t in held}
 
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = _matcher(token, held, rate)
+        matcher = _matcher(token, held, rate, min_chars)
         for batch in batches:
             rows = [(i, *hit) for i, t in enumerate(batch["_text"]) if t for hit in matcher.find(normalised(t))]
             found = pd.DataFrame(rows, columns=["_row", item_key, "distance", "end"])

@@ -71,3 +71,11 @@ def test_empty_tables_nulls_and_clashes(spark, docs, clashes):
     got = D.find_items(docs([(None, text), (2**60 + 1, text), (3, "clean")], extra=clashes), items).collect()
     assert sorted(str(r["doc_id"]) for r in got) == [str(2**60 + 1)] * 2 + ["None"] * 2 and {r["distance"] for r in got} == {2}
     assert [r["doc_id"] for r in D.drop_contaminated(docs([(1, text), (3, "clean"), (4, None)], extra=clashes), items).collect()] == [3, 4]
+
+
+def test_short_items_match_exactly_at_word_bounds(spark, docs):
+    items = spark.createDataFrame([(1, "Who wrote  Emma?"), (2, "art"), (3, " "), (4, None)], "item_id long, text string")
+    rows = [(1, "Q: who wrote\nEMMA? A: J. A."), (2, "who wrote emma"), (3, "parts, arts and smart"), (4, "parts of (Art)"), (5, "who wrotf emma?"), (6, ""), (7, None)]
+    got = {(r["doc_id"], r["item_id"], r["distance"], r["end"], r["n_chars"]) for r in D.find_items(docs(rows), items).collect()}
+    assert got == {(1, 1, 0, 18, 15), (4, 2, 0, 13, 3)}
+    assert sorted(r["doc_id"] for r in D.drop_contaminated(docs(rows), items).collect()) == [2, 3, 5, 6, 7]
