@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="ragspark-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -33,13 +34,30 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs the tasks it ran, not the
-    stages before. Shuffle files of the write go when it ends.
+    stages before. Shuffle files of the write go when it ends, the table itself
+    by ``discard`` or with the driver's JVM.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    place, files = _place(spark, path)
+    files.deleteOnExit(place)
     with released_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def _place(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop's objects."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once no frame that is still to be computed reads it."""
+    place, files = _place(stored.sparkSession, stored.stored_at)
+    files.delete(place, True)
 
 
 @contextlib.contextmanager
@@ -53,12 +71,22 @@ def released_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
-def buckets_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
-    """Hash buckets so that each holds about ``bytes_each`` of ``df``'s estimated size."""
+def buckets_for(df: DataFrame, text: str = "text", bytes_each: int = 8 << 20) -> int:
+    """Hash buckets so that each holds about ``bytes_each`` of ``df``'s input.
+
+    The input's size is that of the files below the plan. Where a leaf is no
+    file (rows from an RDD, say, of which Spark knows no size) the texts are
+    measured in a pass of their own.
+    """
     spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [leaves.apply(i) for i in range(leaves.size())]
+    if known and all(x.getClass().getSimpleName() == "LogicalRelation" for x in known):
+        size = sum(int(str(x.stats().sizeInBytes())) for x in known)
+    else:
+        size = df.agg(F.sum(F.octet_length(text)).cast("long")).first()[0] or 0
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(2 * shuffle, math.ceil(min(size, 1 << 60) / bytes_each))
+    return max(2 * shuffle, math.ceil(size / bytes_each))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

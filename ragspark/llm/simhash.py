@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import carried, materialise, table, tiled
+from ragspark.llm.shared import carried, discard, materialise, table, tiled
 
 BITS = 64
 SEED = 42
@@ -117,8 +117,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node it reaches, for all nodes of the undirected edges (a, b).
 
     Alternating large-star and small-star rounds; each writes its edges to the
-    shared folder. Minima are combined before they are shuffled, so a hub is no
-    hot key.
+    shared folder and drops the ones before. Minima are combined before they are
+    shuffled; a hub's own edges meet its one minimum in a join that adaptive
+    execution splits where they are many.
     """
     edges = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -127,9 +128,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialise(large, "large-star")
+        discard(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         edges = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), "m"), F.struct("a", "m"))).alias("_"))
         edges = materialise(edges.select("_.a", F.col("_.m").alias("b")).filter("a <> b").distinct(), "small-star")
+        discard(large)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
