@@ -7,7 +7,9 @@ windows are compared whole, by 96 more bits of hash, and what the repeated ones
 cover, the maximal exact repeats, is removed.
 
 Probes travel packed: a row is what one batch of documents has for one bucket
-of hashes, a few bytes a probe. Groups of any size are counted, never paired.
+of hashes, a few bytes a probe. A batch sends each hash once, however often it
+has it, so a passage that all documents share costs a few bytes a batch. Groups
+of any size are counted, never paired.
 """
 
 from __future__ import annotations
@@ -55,11 +57,14 @@ def deal(
     bucket: np.ndarray, n_buckets: int, batch: int, marks: np.ndarray, *hashes: np.ndarray, places: np.ndarray | None = None
 ) -> Iterator[tuple[int, int, int, bytes]]:
     """Rows of PACKED for the entries of one batch; an entry's position is its place in the batch, or in ascending ``places``."""
+    if not len(bucket):
+        return
     by = np.argsort(bucket.astype(np.uint16) if n_buckets <= 1 << 16 else bucket, kind="stable")
-    begins = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
-    for b in np.flatnonzero(np.diff(begins)):
-        at = by[begins[b] : begins[b + 1]]
-        yield int(b), batch, len(at), pack(at if places is None else places[at], marks[at], *(h[at] for h in hashes))
+    sorted_ = bucket[by]
+    begins = np.flatnonzero(np.diff(sorted_, prepend=-1))
+    for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(by)], strict=True):
+        at = by[begin:end]
+        yield int(sorted_[begin]), batch, len(at), pack(at if places is None else places[at], marks[at], *(h[at] for h in hashes))
 
 
 def batch_number(n: int) -> int:
@@ -80,17 +85,42 @@ def anchors(n_buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
                 counts.append(len(found))
                 marks.append(np.arange(len(found)) % BLOCK == 0)
             h, mark = np.concatenate(hashes), np.concatenate(marks)
-            bucket = ((h >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-            low, high = h.astype("<u4"), (h >> np.uint64(32)).astype(np.uint8)
-            rows = list(deal(bucket, n_buckets, number, mark, low, high))
-            yield pd.DataFrame([*rows, listing(batch, counts, number, n_buckets)], columns=["bucket", "batch", "n", "payload"])
+            first, head = firsts(h)
+            reference, often = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            reference[head[mark]] = True
+            often[head[~first]] = True
+            send, h = np.flatnonzero(first), h[first]
+            bucket = ((h >> np.uint64(39)) % np.uint64(n_buckets)).astype(np.int64)
+            low, high = h.astype("<u4"), (h >> np.uint64(32)).astype(np.uint8) & np.uint8(127) | often[send].astype(np.uint8) << np.uint8(7)
+            rows = list(deal(bucket, n_buckets, number, reference[send], low, high, places=send))
+            yield pd.DataFrame([*rows, listing(batch, counts, number, n_buckets, first, head)], columns=["bucket", "batch", "n", "payload"])
 
     return emit
 
 
-def listing(batch: pd.DataFrame, counts: list[int], number: int, n_buckets: int) -> tuple[int, int, int, bytes]:
-    """The row that tells which entries of a batch are whose: row numbers, hashes of texts and numbers of entries."""
+def firsts(h: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are the first with their hash (and the same in ``more``), and each entry's first one."""
+    if not len(h):
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    _, heads, group = np.unique(h, return_index=True, return_inverse=True)
+    own = np.arange(len(h))
+    head = heads[group]
+    if more is not None:
+        head = np.where(more == more[head], head, own)
+    return head == own, head
+
+
+def listing(
+    batch: pd.DataFrame, counts: list[int], number: int, n_buckets: int, first: np.ndarray | None = None, head: np.ndarray | None = None
+) -> tuple[int, int, int, bytes]:
+    """The row that tells which entries of a batch are whose: row numbers, hashes of texts and numbers of entries.
+
+    After these come the entries that were not sent, each with the first one of its kind.
+    """
     body = batch["_row"].to_numpy("<i8").tobytes() + batch["_hash"].to_numpy("<i8").tobytes() + np.array(counts, dtype="<i8").tobytes()
+    if first is not None:
+        unsent = np.flatnonzero(~first)
+        body += unsent.astype("<u4").tobytes() + head[unsent].astype("<u4").tobytes()
     return n_buckets + number % n_buckets, number, len(counts), body
 
 
@@ -99,26 +129,27 @@ def repeated_anchors(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
     if rows["bucket"].iloc[0] >= n_buckets:
         return rows[["batch", "n", "payload"]].assign(listing=True)
     parts = [unpack(p, n, "<u4", "u1") for p, n in zip(rows["payload"], rows["n"], strict=True)]
-    h = np.concatenate([p[2].astype(np.uint64) | p[3].astype(np.uint64) << np.uint64(32) for p in parts])
+    h = np.concatenate([p[2].astype(np.uint64) | (p[3] & np.uint8(127)).astype(np.uint64) << np.uint64(32) for p in parts])
+    times = np.concatenate([1 + (p[3] >> np.uint8(7)) for p in parts])
     reference = np.unique(h[np.concatenate([p[1] for p in parts])])
     if not len(reference):
         return _hits(rows, parts, np.zeros(len(h), dtype=bool))
     place = np.searchsorted(reference, h)
     place[place == len(reference)] = 0
     same = reference[place] == h
-    count = np.bincount(place[same], minlength=len(reference))
+    count = np.bincount(place[same], weights=times[same], minlength=len(reference))
     return _hits(rows, parts, same & (count[place] > 1))
 
 
 def repeated_windows(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
-    """Of one bucket, the windows whose 96-bit hash occurs more than once."""
+    """Of one bucket, the windows whose 96-bit hash occurs more than once, in several batches or (marked) in one."""
     if rows["bucket"].iloc[0] >= n_buckets:
         return rows[["batch", "n", "payload"]].assign(listing=True)
     parts = [unpack(p, n, "<u8", "<u4") for p, n in zip(rows["payload"], rows["n"], strict=True)]
     a, b = (np.concatenate([p[i] for p in parts]) for i in (2, 3))
     order = np.lexsort((b, a))
     equal = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    again = np.zeros(len(a), dtype=bool)
+    again = np.concatenate([p[1] for p in parts])
     again[order[1:][equal]] = True
     again[order[:-1][equal]] = True
     return _hits(rows, parts, again)
@@ -140,8 +171,10 @@ def by_document(rows: pd.DataFrame) -> pd.DataFrame:
     if marked.empty:
         return pd.DataFrame({"_row": [], "_hash": [], "at": []})
     about = rows[rows["listing"]].iloc[0]
-    row, text_hash, counts = np.frombuffer(about["payload"], dtype="<i8").reshape(3, -1)
-    at = np.sort(np.concatenate([np.frombuffer(p, dtype="<u4") for p in marked["payload"]])).astype(np.int64)
+    row, text_hash, counts = np.frombuffer(about["payload"], dtype="<i8", count=3 * about["n"]).reshape(3, -1)
+    unsent, head = np.frombuffer(about["payload"], dtype="<u4", offset=24 * about["n"]).reshape(2, -1)
+    at = np.concatenate([np.frombuffer(p, dtype="<u4") for p in marked["payload"]])
+    at = np.sort(np.concatenate([at, unsent[np.isin(head, at)]])).astype(np.int64)
     begins = np.concatenate([[0], np.cumsum(counts)])
     cuts = np.searchsorted(at, begins)
     some = np.flatnonzero(np.diff(cuts))
@@ -172,9 +205,14 @@ def windows(n_buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
                 second.append(window_hashes(words, WINDOW, 2)[starts].astype("<u4"))
                 counts.append(len(starts))
             a, b = np.concatenate(first), np.concatenate(second)
+            once, head = firsts(a, b)
+            often = np.zeros(len(a), bool)
+            often[head[~once]] = True
+            send = np.flatnonzero(once)
+            a, b = a[send], b[send]
             bucket = ((a >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-            rows = list(deal(bucket, n_buckets, number, np.ones(len(a), dtype=bool), a, b))
-            yield pd.DataFrame([*rows, listing(batch, counts, number, n_buckets)], columns=["bucket", "batch", "n", "payload"])
+            rows = list(deal(bucket, n_buckets, number, often[send], a, b, places=send))
+            yield pd.DataFrame([*rows, listing(batch, counts, number, n_buckets, once, head)], columns=["bucket", "batch", "n", "payload"])
 
     return emit
 
@@ -194,7 +232,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     apart by their texts. Whole texts are read; other columns do not matter.
     """
     kind = docs.schema[key].dataType.simpleString()
-    n_buckets = buckets_for(docs)
+    n_buckets = buckets_for(docs, text)
     texts = docs.select(
         F.col(key), text_or_empty(text).alias("_text"), F.octet_length(text_or_empty(text)).cast("long").alias("_size"),
         F.xxhash64(F.col(key), F.lit("row")).alias("_row"), F.xxhash64(text_or_empty(text)).alias("_hash"),

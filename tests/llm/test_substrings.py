@@ -57,3 +57,13 @@ def test_packing_of_probes_round_trips():
         marks, h = rng.random(500) < 0.3, rng.integers(0, 2**32, 500).astype("<u4")
         a, m, x = substrings.unpack(substrings.pack(places, marks, h), 500, "<u4")
         assert (a == places).all() and (m == marks).all() and (x == h).all()
+
+
+def test_one_passage_in_every_document_and_rows_of_unknown_size(spark, docs):
+    rng = random.Random(11)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, " ".join(rng.choices("abcdefghij", k=20)) + " " + shared + " tail" + str(i)) for i in range(300)]
+    want = sorted((str(i), *b) for (i, _), b in zip(rows, brute(rows), strict=True))
+    made = spark.sparkContext.parallelize(rows, 3).toDF("doc_id long, text string")
+    for given in (docs(rows), made, docs(rows).join(docs(rows).select("doc_id"), "doc_id").select("doc_id", "text")):
+        assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(given).collect()) == want
