@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import buckets_for, fresh, materialise, table, text_or_empty, tiled
+from ragspark.llm.shared import buckets_for, fresh, materialise, table, text_or_empty
 from ragspark.llm.substrings import PACKED, batch_number, deal, listing, unpack
 from ragspark.llm.words import in_chunks, mix, word_hashes, word_spans
 
@@ -32,9 +32,7 @@ THRESHOLD = 0.8
 RARITY, RARITY_CHUNK = 1 << 18, 1 << 12
 BATCH_BYTES = 2 << 20
 #: Lines compared in one cell of the verification.
-CELL = 2048
-#: Sets of fewer words match equal sets only.
-LEAST_WORDS = 4
+CELL = 512
 
 
 def needed(size: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -147,14 +145,16 @@ def _set_hashes(sets: Sets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _prefixes(sets: Sets, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each posting: its set, place and word."""
-    lengths = np.where(sets.sizes >= LEAST_WORDS, sets.sizes - needed(sets.sizes, threshold) + 1, 0)
+    # A set of n words matches an unequal one only if n of n + 1 words are enough.
+    able = sets.sizes >= threshold * (sets.sizes + 1) - 1e-9
+    lengths = np.where(able, sets.sizes - needed(sets.sizes, threshold) + 1, 0)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     return owner, place, sets.words[sets.begins[owner] + place]
 
 
 #: What a packed posting and a packed line hold after the line's place in its batch and a mark.
-POSTING = ("<u4", "u1", "<u8", "<u8", "<u4", "<u4", "<u2")
+POSTING = ("<u4", "u1", "<u8", "<u8", "<u8", "<u4", "<u2")
 LINE = ("<u8", "<u8", "<i8", "<i8", "<u4")
 
 
@@ -184,17 +184,22 @@ def _post(rarity: np.ndarray, n_buckets: int, threshold: float):
             rows = [listing(batch, n_lines.tolist(), number, 2 * n_buckets)]
             if lines:
                 a, b, order, text_hash, at = (np.concatenate(x) for x in zip(*lines, strict=True))
-                bucket = (a % np.uint64(n_buckets)).astype(np.int64)
-                packed = deal(bucket, n_buckets, number, np.ones(len(a), bool), a, b, order.astype("<i8"), text_hash.astype("<i8"), at.astype("<u4"))
+                # Only the batch's first line of a set is sent and posted; its later copies are known as such here.
+                _, heads, group = np.unique(a, return_index=True, return_inverse=True)
+                head = heads[group]
+                copy = (head != np.arange(len(a))) & (b == b[head])
+                later = np.flatnonzero(copy & ((order != order[head]) | (text_hash != text_hash[head]) | (at != at[head])))
+                if len(later):
+                    rows.append((3 * n_buckets + number % n_buckets, number, len(later), later.astype("<u4").tobytes()))
+                send = np.flatnonzero(~copy)
+                a, b, order, text_hash, at = (x[send] for x in (a, b, order.astype("<i8"), text_hash.astype("<i8"), at.astype("<u4")))
+                packed = deal((a % np.uint64(n_buckets)).astype(np.int64), n_buckets, number, np.ones(len(a), bool), a, b, order, text_hash, at, places=send)
                 rows += [(n_buckets + k, *rest) for k, *rest in packed]
-                # A set that the batch has already posted is not posted again.
-                fresh = np.zeros(len(a), bool)
-                fresh[np.unique(a, return_index=True)[1]] = True
-                post = np.flatnonzero(fresh[np.concatenate([x[6] for x in postings])])
+                post = np.flatnonzero(~copy[np.concatenate([x[6] for x in postings])])
                 word, low, high, own, size, place, owner = (np.concatenate(x)[post] for x in zip(*postings, strict=True))
                 rows += deal(
                     (word % np.uint64(n_buckets)).astype(np.int64), n_buckets, number, np.ones(len(post), bool),
-                    (word >> np.uint64(24)).astype("<u4"), (word >> np.uint64(56)).astype("u1"), low, high, own.astype("<u4"),
+                    (word >> np.uint64(24)).astype("<u4"), (word >> np.uint64(56)).astype("u1"), low, high, own,
                     size.astype("<u4"), np.minimum(place, 0xFFFF).astype("<u2"), places=owner,
                 )
             yield pd.DataFrame(rows, columns=["bucket", "batch", "n", "payload"])
@@ -230,13 +235,15 @@ def active_postings(
         left = left[left + d < len(word)]
         right = left + d
         near = (word[left] == word[right]) & (size[left] >= needed(size[right], threshold))
-        left, right = left[near], right[near]
-        total = size[left] + size[right]
+        left = left[near]
+        unsure = left[~(active[left] & active[left + d])]
+        right = unsure + d
+        total = size[unsure] + size[right]
         least = overlap(total, threshold)
-        hit = (own[left] != own[right]) & (np.minimum(rest[left], rest[right]) >= least)
-        odd = np.bitwise_count(low[left] ^ low[right]).astype(np.int64) + np.bitwise_count(high[left] ^ high[right])
+        hit = (own[unsure] != own[right]) & (np.minimum(rest[unsure], rest[right]) >= least)
+        odd = np.bitwise_count(low[unsure] ^ low[right]).astype(np.int64) + np.bitwise_count(high[unsure] ^ high[right])
         hit &= odd <= total - 2 * least
-        active[left[hit]] = active[right[hit]] = True
+        active[unsure[hit]] = active[right[hit]] = True
     out = np.zeros(len(word), bool)
     out[by] = active
     return out
@@ -246,7 +253,7 @@ def _one_bucket(rows: pd.DataFrame, n_buckets: int, threshold: float) -> pd.Data
     """By batch the lines with an earlier copy (kind 1), or the active postings: lines and the heads of words (kind 0)."""
     bucket = rows["bucket"].iloc[0]
     if bucket >= 2 * n_buckets:
-        return rows[["batch", "n", "payload"]].assign(kind=2)
+        return rows[["batch", "n", "payload"]].assign(kind=2 if bucket < 3 * n_buckets else 1)
     kinds = POSTING if bucket < n_buckets else LINE
     parts = [unpack(p, n, *kinds) for p, n in zip(rows["payload"], rows["n"], strict=True)]
     columns = [np.concatenate([p[i] for p in parts]) for i in range(2, 2 + len(kinds))]
@@ -266,17 +273,16 @@ def _one_bucket(rows: pd.DataFrame, n_buckets: int, threshold: float) -> pd.Data
 
 
 def merged(marks: DataFrame) -> DataFrame:
-    """One mark of each document: of its rows, in one batch or several, only some may have posted a line.
+    """One mark of each document: of its rows, in one batch or several, only some may have sent or posted a line."""
+    found = marks.groupBy("_row", "_hash").agg(
+        F.collect_set("equal").alias("_equal"), F.collect_set(F.when(F.length("active") > 0, F.struct("active", "words"))).alias("_posted"))
 
-    ``equal`` is alike wherever it is not empty; ``active`` and ``words`` are strung together.
-    """
-    posted = F.collect_set(F.when(F.length("active") > 0, F.struct("active", "words")))
-    found = marks.groupBy("_row", "_hash").agg(F.max("equal").alias("equal"), posted.alias("_posted"))
-
-    def strung(name: str):
-        return F.aggregate("_posted", F.lit(b""), lambda all_, one: F.concat(all_, one[name])).alias(name)
+    def strung(parts: str, one) -> Column:
+        return F.aggregate(parts, F.lit(b""), lambda all_, x: F.concat(all_, one(x)))
 
-    return found.select("_row", "_hash", "equal", strung("active"), strung("words"))
+    return found.select(
+        "_row", "_hash", strung("_equal", lambda x: x).alias("equal"),
+        strung("_posted", lambda x: x["active"]).alias("active"), strung("_posted", lambda x: x["words"]).alias("words"))
 
 
 MARKS = "_row long, _hash long, equal binary, active binary, words binary"
@@ -339,35 +345,65 @@ SENT_COLUMNS = ["word", "_order", "_hash", "_row", "line", "words"]
 
 
 def _verify(threshold: float):
-    """Of the cells in a bucket, the lines that match an earlier line of their cell."""
+    """Of the cells in a bucket, the lines to ``ask`` about that match an earlier line of their cell that may ``match``."""
     ratio = threshold / (1 + threshold)
 
     def check(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["word", "_lo", "_hi", "_order", "_hash", "line"])
-        cells = rows[["word", "_lo", "_hi"]].to_numpy()
+        rows = rows.sort_values(["word", "_cell", "_order", "_hash", "line", "match"])
+        cells = rows[["word", "_cell"]].to_numpy()
         starts = np.flatnonzero(np.concatenate([[True], (cells[1:] != cells[:-1]).any(axis=1)])).tolist()
         places = list(zip(rows["_row"].tolist(), rows["_order"].tolist(), rows["_hash"].tolist(), rows["line"].tolist(), strict=True))
-        words, found = rows["words"].tolist(), set()
+        words, asks, matches, found = rows["words"].tolist(), rows["ask"].tolist(), rows["match"].tolist(), set()
         for a, b in zip(starts, [*starts[1:], len(places)], strict=True):
             earlier: list[frozenset[int]] = []
             last = None
-            for place, one in zip(places[a:b], words[a:b], strict=True):
-                if place == last:
-                    continue
-                own, last = frozenset(np.frombuffer(one, dtype=np.uint64).tolist()), place
+            for place, one, ask, match in zip(places[a:b], words[a:b], asks[a:b], matches[a:b], strict=True):
+                own = frozenset(np.frombuffer(one, dtype=np.uint64).tolist())
                 n = len(own)
-                if place not in found:
+                if ask and place != last and place not in found:
                     for other in earlier:
                         m = len(other)
                         if m >= threshold * n - 1e-9 and n >= threshold * m - 1e-9 and len(own & other) >= ratio * (n + m) - 1e-9:
                             found.add(place)
                             break
-                earlier.append(own)
+                if match and place != last:
+                    earlier.append(own)
+                    last = place
         return pd.DataFrame([(r, h, line) for r, _, h, line in found], columns=["_row", "_hash", "line"])
 
     return check
 
 
+def similar_lines(sent: DataFrame, n_buckets: int, threshold: float) -> DataFrame:
+    """``_row``, ``_hash`` and ``line`` of the sent lines that match an earlier line which shares their word.
+
+    The lines of a word are dealt into cells of about CELL, first compared
+    within. In a family of near copies that settles all but the first of each
+    cell; only the unsettled lines of words with several cells then meet the
+    other cells. Every pair is looked at unless its later line is settled.
+    """
+    sizes = sent.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("_cells"), F.count(F.lit(1)).alias("_n"))
+    sizes = materialise(sizes.filter("_n > 1").drop("_n"), "line-words")
+    own = F.pmod(F.xxhash64("_row", F.lit(17)), F.col("_cells")).cast("int")
+    bucket = F.pmod(F.xxhash64("word", "_cell"), F.lit(n_buckets)).alias("bucket")
+    schema = "_row long, _hash long, line int"
+    names = ["word", "_order", "_hash", "_row", "line", "words"]
+
+    def compared(cells: DataFrame) -> DataFrame:
+        return cells.select("*", bucket).groupBy("bucket").applyInPandas(_verify(threshold), schema)
+
+    dealt = sent.join(sizes, "word").withColumn("_cell", own)
+    both = dealt.select(*names, "_cell", F.lit(True).alias("ask"), F.lit(True).alias("match"))
+    settled = materialise(compared(both), "settled-lines")
+    if sizes.filter("_cells > 1").isEmpty():
+        return settled
+    large = dealt.filter("_cells > 1")
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("_cells") - 1), lambda c: c != F.col("_cell")))
+    unsettled = large.join(settled, ["_row", "_hash", "line"], "left_anti").withColumn("_cell", others)
+    asked = unsettled.select(*names, "_cell", F.lit(True).alias("ask"), F.lit(False).alias("match"))
+    return settled.union(compared(large.select(*names, "_cell", F.lit(False).alias("ask"), F.lit(True).alias("match")).union(asked)))
+
+
 def remove_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of ``docs`` and ``kept``, ``n_lines``, ``n_removed``, ``removed`` (line numbers from 0).
 
@@ -381,7 +417,7 @@ def remove_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     """
     added = ("kept", "n_lines", "n_removed", "removed")
     docs = docs.drop(*added)
-    n_buckets = buckets_for(docs)
+    n_buckets = buckets_for(docs, text)
     body = text_or_empty(text)
     order = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
     texts = docs.select(
@@ -396,8 +432,7 @@ def remove_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text
     sent = texts.join(marks.filter(F.length("active") > 0), ["_row", "_hash"]).select(
         F.col("_text").alias("body"), F.col("_order").alias("place"), F.col("_hash").alias("text"), F.col("_row").alias("row"), "equal", "active", "words")
     sent = materialise(sent.mapInPandas(_send(rarity), SENT), "line-sets")
-    cells = tiled(sent, ["word"], "_row", CELL).withColumn("bucket", F.pmod(F.xxhash64("word", "_lo", "_hi"), F.lit(n_buckets)))
-    similar = cells.groupBy("bucket").applyInPandas(_verify(threshold), "_row long, _hash long, line int")
+    similar = similar_lines(sent, n_buckets, threshold)
     similar = materialise(similar.groupBy("_row", "_hash").agg(F.collect_set("line").alias("similar")), "similar-lines")
     row, own_hash, at_, more_ = (fresh(n, docs.columns) for n in ("_row", "_hash", "_at", "_similar"))
     own = docs.withColumns({row: F.xxhash64(order, F.lit("row")), own_hash: F.xxhash64(body)})

@@ -129,3 +129,34 @@ def test_filters_keep_every_match():
             need = int(lines.overlap(n + m, 0.8))
             common = rng.integers(0, n + 1)
             assert (common >= need) == (5 * common >= 4 * (n + m - common))
+
+
+def test_other_thresholds(spark, docs):
+    rows = [(1, "a b"), (2, "a b c"), (3, "x"), (4, "x y"), (5, "p q r"), (6, "p q s"), (7, "x y z w")]
+    for threshold, want in ((0.5, {2: [0], 4: [0], 6: [0], 7: [0]}), (0.7, {}), (1.0, {})):
+        got = {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(docs(rows), threshold=threshold).collect()}
+        assert got == {i: want.get(i, []) for i, _ in rows}, threshold
+
+
+def test_families_of_many_cells(spark, docs, monkeypatch):
+    monkeypatch.setattr(lines, "CELL", 16)
+    rng, base = random.Random(3), [f"t{i}" for i in range(40)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for _ in range(rng.randint(0, 4)):
+            own[rng.randrange(40)] = f"x{rng.randrange(30)}"
+        rows.append((i, " ".join(own)))
+    got = {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(docs(rows)).collect()}
+    assert [got[i] for i, _ in rows] == brute(rows)
+
+
+def test_rows_of_unknown_size(spark, docs):
+    rows = corpus(12, 30)
+    made = spark.sparkContext.parallelize(rows, 3).toDF("doc_id long, text string")
+    want = [x for (i, _), x in zip(rows, brute(rows), strict=True)]
+    got = {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(made).collect()}
+    assert [got[i] for i, _ in rows] == want
+    joined = docs(rows).drop("source").join(docs(rows).select("doc_id", "source"), "doc_id", "left").join(docs([(1, "a")]).select(F.col("doc_id").alias("d")), F.col("d") < 0, "left")
+    got = {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(joined.select("doc_id", "text")).collect()}
+    assert [got[i] for i, _ in rows] == want
