@@ -190,7 +190,7 @@ def _post(rarity: np.ndarray, n_buckets: int, threshold: float):
                 copy = (head != np.arange(len(a))) & (b == b[head])
                 later = np.flatnonzero(copy & ((order != order[head]) | (text_hash != text_hash[head]) | (at != at[head])))
                 if len(later):
-                    rows.append((3 * n_buckets + number % n_buckets, number, len(later), later.astype("<u4").tobytes()))
+                    rows.append((4 * n_buckets + number % n_buckets, number, len(later), later.astype("<u4").tobytes()))
                 send = np.flatnonzero(~copy)
                 a, b, order, text_hash, at = (x[send] for x in (a, b, order.astype("<i8"), text_hash.astype("<i8"), at.astype("<u4")))
                 packed = deal((a % np.uint64(n_buckets)).astype(np.int64), n_buckets, number, np.ones(len(a), bool), a, b, order, text_hash, at, places=send)
@@ -253,7 +253,7 @@ def _one_bucket(rows: pd.DataFrame, n_buckets: int, threshold: float) -> pd.Data
     """By batch the lines with an earlier copy (kind 1), or the active postings: lines and the heads of words (kind 0)."""
     bucket = rows["bucket"].iloc[0]
     if bucket >= 2 * n_buckets:
-        return rows[["batch", "n", "payload"]].assign(kind=2 if bucket < 3 * n_buckets else 1)
+        return rows[["batch", "n", "payload"]].assign(kind=2 if bucket < 4 * n_buckets else 1)
     kinds = POSTING if bucket < n_buckets else LINE
     parts = [unpack(p, n, *kinds) for p, n in zip(rows["payload"], rows["n"], strict=True)]
     columns = [np.concatenate([p[i] for p in parts]) for i in range(2, 2 + len(kinds))]

@@ -160,3 +160,10 @@ def test_rows_of_unknown_size(spark, docs):
     joined = docs(rows).drop("source").join(docs(rows).select("doc_id", "source"), "doc_id", "left").join(docs([(1, "a")]).select(F.col("doc_id").alias("d")), F.col("d") < 0, "left")
     got = {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(joined.select("doc_id", "text")).collect()}
     assert [got[i] for i, _ in rows] == want
+
+
+def test_rows_of_many_partitions(spark, docs):
+    rows = corpus(14, 150)
+    want = [x for (i, _), x in zip(rows, brute(rows), strict=True)]
+    got = {r["doc_id"]: r["removed"] for r in lines.remove_similar_lines(docs(rows).repartition(37)).collect()}
+    assert [got[i] for i, _ in rows] == want
