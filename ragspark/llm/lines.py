@@ -33,6 +33,8 @@ RARITY, RARITY_CHUNK = 1 << 18, 1 << 12
 BATCH_BYTES = 2 << 20
 #: Lines compared in one cell of the verification.
 CELL = 512
+#: Words with several cells are broadcast if there are at most so many (12 bytes each), else joined.
+MOST_BROADCAST = 1 << 20
 
 
 def needed(size: np.ndarray | int, threshold: float) -> np.ndarray:
@@ -382,9 +384,11 @@ def similar_lines(sent: DataFrame, n_buckets: int, threshold: float) -> DataFram
     cell; only the unsettled lines of words with several cells then meet the
     other cells. Every pair is looked at unless its later line is settled.
     """
-    sizes = sent.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("_cells"), F.count(F.lit(1)).alias("_n"))
-    sizes = materialise(sizes.filter("_n > 1").drop("_n"), "line-words")
-    own = F.pmod(F.xxhash64("_row", F.lit(17)), F.col("_cells")).cast("int")
+    sizes = sent.groupBy("word").agg(F.ceil(F.count(F.lit(1)) / F.lit(CELL)).cast("int").alias("_cells"))
+    large = materialise(sizes.filter("_cells > 1"), "large-words")
+    few = large.count()
+    large = F.broadcast(large) if few <= MOST_BROADCAST else large
+    own = F.pmod(F.xxhash64("_row", F.lit(17)), F.coalesce("_cells", F.lit(1))).cast("int")
     bucket = F.pmod(F.xxhash64("word", "_cell"), F.lit(n_buckets)).alias("bucket")
     schema = "_row long, _hash long, line int"
     names = ["word", "_order", "_hash", "_row", "line", "words"]
@@ -392,16 +396,17 @@ def similar_lines(sent: DataFrame, n_buckets: int, threshold: float) -> DataFram
     def compared(cells: DataFrame) -> DataFrame:
         return cells.select("*", bucket).groupBy("bucket").applyInPandas(_verify(threshold), schema)
 
-    dealt = sent.join(sizes, "word").withColumn("_cell", own)
-    both = dealt.select(*names, "_cell", F.lit(True).alias("ask"), F.lit(True).alias("match"))
-    settled = materialise(compared(both), "settled-lines")
-    if sizes.filter("_cells > 1").isEmpty():
+    def dealt(how: str, cell: Column, ask: bool, match: bool) -> DataFrame:
+        cells = sent.join(large, "word", how) if few else sent.withColumn("_cells", F.lit(1))
+        return cells.select(*names, cell.alias("_cell"), F.lit(ask).alias("ask"), F.lit(match).alias("match"))
+
+    settled = compared(dealt("left", own, True, True))
+    if not few:
         return settled
-    large = dealt.filter("_cells > 1")
-    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("_cells") - 1), lambda c: c != F.col("_cell")))
-    unsettled = large.join(settled, ["_row", "_hash", "line"], "left_anti").withColumn("_cell", others)
-    asked = unsettled.select(*names, "_cell", F.lit(True).alias("ask"), F.lit(False).alias("match"))
-    return settled.union(compared(large.select(*names, "_cell", F.lit(False).alias("ask"), F.lit(True).alias("match")).union(asked)))
+    settled = materialise(settled, "settled-lines")
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.col("_cells") - 1), lambda c: c != own))
+    asked = dealt("inner", others, True, False).join(settled, ["_row", "_hash", "line"], "left_anti").select(*names, "_cell", "ask", "match")
+    return settled.union(compared(dealt("inner", own, False, True).union(asked)))
 
 
 def remove_similar_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
