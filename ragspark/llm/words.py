@@ -1,8 +1,9 @@
 """Words of texts as 64-bit hashes, many texts at once, in NumPy.
 
-A word is a run of anything but ASCII white space, as its UTF-8 bytes. Hashes
-are polynomials in a fixed odd base modulo 2^64, taken from prefix sums and then
-mixed, so no Python object is made for a word.
+A word is a run of anything but ASCII white space, as its UTF-8 bytes, and is
+hashed 8 bytes at a time. Hashes of windows are polynomials in a fixed odd base
+modulo 2^64, taken from prefix sums and then mixed. So no Python object is made
+for a word, unless it is very long.
 """
 
 from __future__ import annotations
@@ -11,12 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Of a word's 8 bytes, those that the first so many make up.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -49,11 +55,21 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word; A-Z count as a-z if ``lower``."""
-    up, down = _powers(_BASES[0], len(data) + 1)
-    prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((_LOWER[data] if lower else data).astype(np.uint64) * up[: len(data)] + up[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * down[starts])
+    """A 64-bit hash of each word, from its length and its parts of 8 bytes; A-Z count as a-z if ``lower``."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    sizes = ends - starts
+    h = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (eights[starts] & _FIRST[np.minimum(sizes, 8)]))
+    left, at = np.flatnonzero(sizes > 8), 8
+    while len(left) and at < LONG:
+        rest = sizes[left] - at
+        h[left] = mix(h[left] ^ (eights[starts[left] + at] & _FIRST[np.minimum(rest, 8)]))
+        at += 8
+        left = left[rest > 8]
+    for i in left:
+        h[i] = xxhash.xxh64_intdigest(padded[starts[i] : ends[i]].tobytes(), 0)
+    return h
 
 
 def window_hashes(words: np.ndarray, size: int, base: int = 1) -> np.ndarray:

@@ -67,3 +67,15 @@ def test_one_passage_in_every_document_and_rows_of_unknown_size(spark, docs):
     made = spark.sparkContext.parallelize(rows, 3).toDF("doc_id long, text string")
     for given in (docs(rows), made, docs(rows).join(docs(rows).select("doc_id"), "doc_id").select("doc_id", "text")):
         assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(given).collect()) == want
+
+
+def test_word_hashes_tell_words_apart():
+    from ragspark.llm.words import word_hashes, word_spans
+
+    rng = random.Random(2)
+    words = sorted({"".join(rng.choices("abAB\x00é", k=rng.randint(1, 90))) for _ in range(3000)})
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    h, low = (word_hashes(data, *word_spans(data), lower=x) for x in (False, True))
+    assert len(set(h.tolist())) == len(words) and len(set(low.tolist())) == len({w.encode().lower() for w in words})
+    again = np.frombuffer(b"x " + " ".join(words[::-1]).encode(), np.uint8)
+    assert word_hashes(again, *word_spans(again)).tolist()[:0:-1] == h.tolist()
