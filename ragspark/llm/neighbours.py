@@ -21,8 +21,8 @@ from ragspark.llm.shared import materialise, table
 
 #: Pivots of an index, the bounded sample it is fitted on, and how many of them represent a vector.
 PIVOTS, PREFIX = 256, 128
-#: Of a block, so many vectors by footrule are measured exactly: this share, and this many at least.
-SHARE, LEAST = 0.08, 256
+#: The share of each block that is measured exactly, the best by footrule.
+SHARE = 0.1
 #: Vectors of a block, and queries handled with it at once.
 BLOCK, CHUNK = 4096, 1024
 NEAREST = 10
@@ -33,7 +33,8 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
     A null id, and a vector that is null, empty, all zero, or has a null or
     non-finite component, take no part; nor do vectors of another length than
-    the commonest one (ties: the shorter).
+    the commonest one (ties: the shorter). An id with several vectors has the
+    smallest of them, compared component by component.
     """
     doubles = F.transform(vector, lambda x: x.cast("double") + F.lit(0.0))
     good = rows.select(F.col(key).cast("long").alias("id"), doubles.alias("v")).filter(
@@ -42,7 +43,7 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
         & F.exists("v", lambda x: x != 0)
     )
     size = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.filter(F.size("v") == (size["n"] if size else 0)).withColumns(
+    return good.filter(F.size("v") == (size["n"] if size else 0)).groupBy("id").agg(F.min("v").alias("v")).withColumns(
         {"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit("second"))}
     )
 
@@ -82,7 +83,7 @@ def footrule_scores(order: np.ndarray, files: tuple[np.ndarray, np.ndarray, np.n
 
 def search(
     rows: DataFrame, is_query, key: str, vector: str, k: int = NEAREST, pivots: int = PIVOTS, prefix: int = PREFIX,
-    share: float = SHARE, least: int = LEAST,
+    share: float = SHARE,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` nearest found of every query row.
 
@@ -90,18 +91,18 @@ def search(
     Euclidean distance in doubles, ties go to the smaller id, and a query's own
     id is no candidate. Equal vectors are indexed once with their k + 1
     smallest ids, which is exact for any number of copies. All other vectors are
-    in the index; queries meet all blocks, in chunks, so a task holds one block
-    and one chunk. Rows repeated with one id count once; see ``usable`` for
-    what takes no part. Empty tables give an empty result.
+    in the index; blocks are of BLOCK vectors, whatever the partitions, and
+    queries meet all blocks, in chunks, so a task holds one block and one chunk.
+    Of each block at least 2 (k + 1) vectors are measured. Rows repeated with one
+    id count once; see ``usable`` for what takes no part. Empty tables give an
+    empty result.
     """
-    spark = rows.sparkSession
     good = usable(rows, key, vector)
     stored = materialise(classes_of(good, k + 1), "vectors")
     wanted = materialise(good.filter(is_query).select("id", "h1", "h2", "v"), "queries")
     top = stored.select("v").orderBy(F.xxhash64("v", F.lit("pivot")), "v").limit(pivots).collect()
     points = np.array([r["v"] for r in top]) if top else np.zeros((1, 1))
     prefix = min(prefix, len(points))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
     def block_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -114,6 +115,7 @@ def search(
                 }])
 
     schema = "n int, x binary, p binary, h1 binary, h2 binary"
+    parts = max(1, -(-stored.count() // BLOCK))
     blocks = stored.repartition(parts, "h1").mapInPandas(block_up, schema).withColumn("k", F.spark_partition_id())
     asked = wanted.dropDuplicates(["h1", "h2"])
     n_chunks = max(1, -(-asked.count() // CHUNK))
@@ -133,7 +135,7 @@ def search(
                 h1, h2 = np.frombuffer(r.h1, dtype=np.int64), np.frombuffer(r.h2, dtype=np.int64)
                 q1, q2 = np.frombuffer(r.qh1, dtype=np.int64), np.frombuffer(r.qh2, dtype=np.int64)
                 queries = np.frombuffer(r.qx).reshape(r.qn, -1)
-                budget = min(r.n, max(least, int(np.ceil(share * r.n))))
+                budget = min(r.n, max(2 * (k + 1), int(np.ceil(share * r.n))))
                 out = []
                 for i, order in enumerate(np.frombuffer(r.qp, dtype="<i2").reshape(r.qn, -1).astype(np.int64)):
                     near = np.argpartition(-footrule_scores(order, files, r.n, prefix), budget - 1)[:budget]

@@ -35,7 +35,7 @@ def test_recall_against_brute_force(spark):
 def test_exact_where_all_are_measured(spark):
     rng = np.random.default_rng(4)
     vectors = [(i, rng.standard_normal(6).tolist()) for i in range(200)]
-    got = found(spark, vectors)
+    got = found(spark, vectors, share=1.0)
     for q in range(0, 200, 10):
         assert [i for i, _ in got[q]] == brute(vectors, q)
 
@@ -55,6 +55,22 @@ def test_what_takes_no_part(spark):
     assert got == {0: [(1, pytest.approx(2**0.5))]}
 
 
+def test_recall_of_several_whole_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 1000)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((40, 32))
+    x = (centres[rng.integers(0, 40, 5000)] + 0.5 * rng.standard_normal((5000, 32))).astype("float32")
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = found(spark, vectors, 250)
+    hits = sum(len({i for i, _ in got[q]} & set(brute(vectors, q))) for q in range(0, 5000, 250))
+    assert hits / 200 >= 0.9
+
+
+def test_an_id_with_several_vectors_has_the_smallest(spark):
+    got = found(spark, [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 3.0]), (2, [5.0, 0.0]), (2, [9.0, 0.0])])
+    assert got == {0: [(1, 3.0), (2, 4.0)]}
+
+
 def test_empty_table(spark):
     assert found(spark, []) == {}
 
