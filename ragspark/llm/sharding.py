@@ -17,6 +17,8 @@ from ragspark.llm.shared import materialise, table, text_or_empty
 
 #: Hex digits of the MD5 that make the 52-bit draw of a (key, shard) pair.
 DRAW_DIGITS = 13
+#: Rows of a broadcast table, of 16 bytes each.
+MOST_BROADCAST = 1 << 20
 
 
 def rendezvous_shard(key: Column, shards: Sequence[tuple[int, float]]) -> Column:
@@ -52,8 +54,8 @@ def assign_shards(
 
     ``slot`` numbers a shard's rows from 0 without gaps in the order of the key
     and the kept columns (nulls first). Rows are range-partitioned by that
-    order, counted per (range, shard), and numbered within; the only table that
-    is broadcast has ranges times shards rows. Rows equal in all these columns
+    order, counted per (range, shard), and numbered within; the table of counts
+    has ranges times shards rows and is broadcast if those are MOST_BROADCAST at most. Rows equal in all these columns
     take neighbouring slots in any order; null keys all go to one shard; an empty
     table gives an empty result. Columns of ``df`` not named do not matter.
     """
@@ -77,7 +79,7 @@ def assign_shards(
     within = F.row_number().over(Window.partitionBy("_part", "shard").orderBy(*cols))
     return (
         ranged.withColumn("_row", within)
-        .join(F.broadcast(before), ["shard", "_part"])
+        .join(F.broadcast(before) if parts * len(shards) <= MOST_BROADCAST else before, ["shard", "_part"])
         .select(*cols, "shard", (F.col("_base") + F.col("_row") - 1).cast("long").alias("slot"), "grown_shard")
     )
 
