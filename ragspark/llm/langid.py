@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,10 @@ DOCS_PER_LANGUAGE = 2000
 PENALTY = 3.0
 #: EM ends after so many rounds, or when no proportion moves by more than TOLERANCE.
 ROUNDS, TOLERANCE = 25, 1e-3
+#: The same for the fits that are compared.
+FIT_ROUNDS, FIT_TOLERANCE = 400, 1e-5
+#: Labels that a model has at most (the table of a model is BUCKETS of them); more are an error.
+MOST_LANGUAGES = 1000
 UNKNOWN = "und"
 #: Characters handled at once.
 BATCH_CHARS = 1 << 18
@@ -84,17 +89,21 @@ def train(samples: DataFrame, label: str, text: str) -> tuple[list[str], np.ndar
     return names, counts / counts.sum(axis=0)
 
 
-def _mixture(x: np.ndarray, counts: np.ndarray, starts: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihoods of many documents at once.
+def _mixture(
+    x: np.ndarray, counts: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions and log-likelihoods of many documents at once, and what no mixture of the allowed languages exceeds.
 
     x: probabilities, grams by languages; starts: each document's first gram;
-    allowed: documents by languages.
+    allowed: documents by languages. The log-likelihood is concave in the
+    proportions: from any point it rises to no more than its tangent does at the
+    best corner, wherever EM stopped.
     """
     sizes = np.diff(np.append(starts, len(counts)))
     total = np.add.reduceat(counts, starts)
     parts = allowed / allowed.sum(axis=1, keepdims=True)
     active = np.arange(len(starts))
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         if not len(active):
             break
         if len(active) < len(starts):
@@ -109,18 +118,22 @@ def _mixture(x: np.ndarray, counts: np.ndarray, starts: np.ndarray, allowed: np.
         new = np.add.reduceat(weighted, begin, axis=0) / total[active, None]
         moved = np.abs(new - parts[active]).max(axis=1)
         parts[active] = new
-        active = active[moved > TOLERANCE]
+        active = active[moved > tolerance]
     doc = np.repeat(np.arange(len(starts)), sizes)
-    likely = np.add.reduceat(counts * np.log((x * parts[doc]).sum(axis=1)), starts)
-    return parts, likely
+    mixed = (x * parts[doc]).sum(axis=1)
+    likely = np.add.reduceat(counts * np.log(mixed), starts)
+    slope = np.add.reduceat(x * (counts / mixed)[:, None], starts, axis=0)
+    return parts, likely, likely + np.where(allowed > 0, slope, 0).max(axis=1) - total
 
 
 def proportions(texts: list[str], model: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """Texts by languages: the proportions of the chosen set, zero elsewhere; a zero row where a text has no letter.
 
-    The best single language is the start. Were even all languages together no
-    likelier than it by the price of one more, no set could be; only for the
-    other texts are the sets of the k largest proportions fitted and compared.
+    Of all sets of languages the one with the largest log-likelihood less the
+    price of its further languages is chosen (ties: the smaller, then the first
+    in lexicographic order). All sets of k languages are fitted for growing k,
+    for the texts that some set of k or more could still decide: no set is
+    likelier than the bound on all languages together.
     """
     n_langs = model.shape[1]
     out = np.zeros((len(texts), n_langs))
@@ -134,22 +147,24 @@ def proportions(texts: list[str], model: np.ndarray, penalty: float = PENALTY) -
     x = model[at]
     price = penalty * np.log1p(np.add.reduceat(counts, starts))
     single = np.add.reduceat(counts[:, None] * np.log(x), starts, axis=0)
-    best = single.argmax(axis=1)
-    chosen = np.eye(n_langs)[best]
+    chosen, top = np.eye(n_langs)[single.argmax(axis=1)], single.max(axis=1)
     if n_langs > 1:
-        full, likely = _mixture(x, counts, starts, np.ones((len(some), n_langs)))
-        value = single.max(axis=1)
-        mixed = np.flatnonzero(likely - value > price)
-        if len(mixed):
-            ranks = np.argsort(np.argsort(-full[mixed], axis=1, kind="stable"), axis=1)
-            rows = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in mixed])
-            begin = np.concatenate([[0], np.cumsum(sizes[mixed])[:-1]])
-            top = value[mixed]
-            for k in range(2, n_langs + 1):
-                parts, likely = _mixture(x[rows], counts[rows], begin, (ranks < k).astype(float))
-                worth = likely - (k - 1) * price[mixed]
-                better = worth > top
-                chosen[mixed[better]], top[better] = parts[better], worth[better]
+        bound = _mixture(x, counts, starts, np.ones((len(some), n_langs)))[2]
+        for k in range(2, n_langs + 1):
+            left = np.flatnonzero(bound - (k - 1) * price > top)
+            if not len(left):
+                break
+            rows = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in left])
+            begin = np.concatenate([[0], np.cumsum(sizes[left])[:-1]])
+            xs, cs = x[rows], counts[rows]
+            for held in combinations(range(n_langs), k):
+                parts, likely, _ = _mixture(xs[:, held], cs, begin, np.ones((len(left), k)), FIT_ROUNDS, FIT_TOLERANCE)
+                worth = likely - (k - 1) * price[left]
+                better = worth > top[left]
+                if better.any():
+                    new = np.zeros((better.sum(), n_langs))
+                    new[:, held] = parts[better]
+                    chosen[left[better]], top[left[better]] = new, worth[better]
     out[some] = chosen
     return out
 
@@ -195,9 +210,16 @@ def held_out(key: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, key: str = "doc_id", label: str = "lang", per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """The labelled rows that may train, thinned to about ``per_language`` of each language by a hash of the key."""
+    """The labelled rows that may train, thinned to about ``per_language`` of each language by a hash of the key.
+
+    The numbers of rows by label are broadcast; over MOST_LANGUAGES labels are an error.
+    """
     able = docs.select(key, label, "text").filter(F.col(label).isNotNull() & F.col("text").isNotNull() & ~held_out(F.col(key)))
     sizes = able.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    found = sizes.limit(MOST_LANGUAGES + 1).collect()
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} labels in {label}")
+    sizes = docs.sparkSession.createDataFrame(found, sizes.schema)
     share = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return able.join(F.broadcast(sizes), label).filter(share * F.col("_n") < per_language).drop("_n")
 

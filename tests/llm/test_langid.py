@@ -81,3 +81,36 @@ def test_empty_table_no_labels_and_clashes(spark):
     df = frame(spark, [(1, "the and", None), (1, "the and", None)], ("score", "mixture", "_text", "_n"))
     names, table = langid.fit(df)
     assert [r["lang_pred"] for r in langid.identify(df, names, table, keep=df.columns).collect()] == ["und", "und"]
+
+
+def test_sets_are_those_of_a_plain_search(monkeypatch):
+    """Random models: the chosen set against EM over every set of languages."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(langid, "grams", lambda t: texts[t])
+    mixed = 0
+    for trial in range(40):
+        n_langs, m = 4, 60
+        model = rng.dirichlet(np.full(m, 0.3), n_langs).T + 1e-6
+        model /= model.sum(axis=0)
+        parts = rng.dirichlet(np.full(n_langs, 0.4))
+        counts = rng.multinomial(int(rng.integers(10, 250)), model @ parts).astype(float)
+        at = np.flatnonzero(counts)
+        texts = {"t": (at, counts[at])}
+        price = 1.5 * np.log1p(counts.sum())
+
+        def worth(held):
+            x, p = model[at][:, held], np.full(len(held), 1 / len(held))
+            for _ in range(3000):
+                w = x * p
+                p = ((counts[at] / w.sum(axis=1))[:, None] * w).sum(axis=0) / counts.sum()
+            return float((counts[at] * np.log(x @ p)).sum()) - (len(held) - 1) * price
+
+        values = {h: worth(list(h)) for k in range(1, n_langs + 1) for h in combinations(range(n_langs), k)}
+        got = tuple(np.flatnonzero(langid.proportions(["t"], model, 1.5)[0] > 0).tolist())
+        best = max(values.values())
+        # A fitted share may round to zero: then the smaller set is as likely and worth more.
+        assert values[got] >= best - 0.05, (trial, got, values)
+        mixed += len(got) > 1
+    assert mixed > 5
