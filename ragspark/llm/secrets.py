@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models for what has none.
 
 Two first-order character models are trained, one on random strings and one on
-ordinary identifiers. A candidate token is scored by the mean log-likelihood
-ratio of its transitions under the two; above a threshold it is a secret of
-kind ``markov``. Pattern spans always stay; a model span never overlaps one.
+ordinary identifiers and words. A candidate token is scored by the log-likelihood
+ratio of its transitions under the two, in all and on average: a short token
+needs unlikely letters, a long one may be milder. Above both thresholds it is a
+secret of kind ``markov``. Pattern spans always stay; a model span never overlaps
+one.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN_CHARS, ACCESS_CHARS = 8, 16
 
-#: A token for the models: a whole run of at least so many of these characters, with a digit and a letter.
-CANDIDATE_CHARS = 16
+#: A token for the models: a whole run of so many of these characters or more; in fewer there is too little to tell.
+CANDIDATE_CHARS = 8
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE_CHARS, re.ASCII)
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
-#: Mean log-likelihood ratio of a transition, in nats, from which a token counts as random.
-THRESHOLD = 0.75
+#: Log-likelihood ratio, in nats, from which a token counts as random: the mean of its transitions, and their sum.
+THRESHOLD, TOTAL = 0.75, 14.0
 #: Labelled samples of each class the models are trained on, and the seed of their generator.
 SAMPLES, SEED = 4000, 20
+#: Labelled rows whose words train the ordinary class, at most (those with the smallest hashes), and characters read of all of them.
+LABELLED_ROWS, LABELLED_CHARS = 500, 4_000_000
 
 #: Parts of ordinary identifiers.
 STEMS = tuple(
@@ -72,8 +75,10 @@ def labelled_samples(n: int = SAMPLES, seed: int = SEED) -> list[tuple[str, int]
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
         "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
         "abcdefghijklmnopqrstuvwxyz0123456789",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+        "abcdefghijklmnopqrstuvwxyz",
     )
-    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(16, 48))), 1) for _ in range(n)]
+    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(8, 48))), 1) for _ in range(n)]
     for _ in range(n):
         parts = rng.choices(STEMS, k=rng.randint(2, 5))
         style = rng.randrange(5)
@@ -103,26 +108,56 @@ def train(samples: Iterable[tuple[str, int]], smoothing: float = 0.5) -> np.ndar
     return logs[1] - logs[0]
 
 
-def ratio(token: str, model: np.ndarray) -> float:
-    """Mean log-likelihood ratio of the token's transitions."""
+def ratios(token: str, model: np.ndarray) -> tuple[float, float]:
+    """Mean and sum of the log-likelihood ratios of the token's transitions."""
     codes = np.frombuffer(token.encode("ascii"), dtype=np.uint8)
-    return float(model[codes[:-1], codes[1:]].mean())
+    found = model[codes[:-1], codes[1:]]
+    return float(found.mean()), float(found.sum())
 
 
-def find_secrets(text: str, model: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """All spans as (start, kind's place in KINDS, end), in code points, sorted."""
+def is_random(token: str, model: np.ndarray, threshold: float = THRESHOLD, total: float = TOTAL) -> bool:
+    mean, whole = ratios(token, model)
+    return mean >= threshold and whole >= total
+
+
+def words_of_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> list[tuple[str, int]]:
+    """Ordinary samples (label 0): distinct letter-only candidates in texts that ``labels`` call good, a bounded number of rows."""
+    good = docs.join(labels.filter(F.col(quality) == 1).select(key), key, "left_semi").filter(F.col(text).isNotNull())
+    rows = good.select(text).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("secrets")), text).limit(LABELLED_ROWS)
+    found, left = set(), LABELLED_CHARS
+    for r in rows.collect():
+        found.update(t for t in CANDIDATE.findall(r[text][:left]) if t.isalpha())
+        left -= min(left, len(r[text]))
+    return [(t, 0) for t in sorted(found)]
+
+
+def find_secrets(
+    text: str, model: np.ndarray, threshold: float = THRESHOLD, total: float = TOTAL, known: dict[str, bool] | None = None
+) -> list[tuple[int, int, int]]:
+    """All spans as (start, kind's place in KINDS, end), in code points, sorted. ``known`` remembers verdicts on tokens."""
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_CHARS]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_CHARS]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    more = [
-        (m.start(), 3, m.end()) for m in CANDIDATE.finditer(text)
-        if DIGIT.search(m[0]) and LETTER.search(m[0]) and not any(a < m.end() and m.start() < b for a, _, b in base) and ratio(m[0], model) >= threshold
-    ]
+    more = []
+    for m in CANDIDATE.finditer(text):
+        token = m[0]
+        random_ = known.get(token) if known is not None else None
+        if random_ is None:
+            random_ = is_random(token, model, threshold, total)
+            if known is not None and len(token) <= 64:
+                known[token] = random_
+        if random_ and not any(a < m.end() and m.start() < b for a, _, b in base):
+            more.append((m.start(), 3, m.end()))
     return sorted(base + more)
 
 
+#: Tokens whose verdicts a task remembers from batch to batch.
+REMEMBERED = 200_000
+
+
 def scan_secrets(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, samples: Iterable[tuple[str, int]] | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, total: float = TOTAL,
+    samples: Iterable[tuple[str, int]] | None = None,
 ) -> DataFrame:
     """One row per document: ``key`` and ``spans``, an array of (kind, start, end).
 
@@ -130,15 +165,19 @@ def scan_secrets(
     by start, then kind as in KINDS. A null text counts as empty and has no
     spans. Rows are handled one by one, so repeated and null keys give a row
     each; an empty table gives an empty result; other columns do not matter.
-    The models are trained from ``samples`` (label 1 random, 0 ordinary).
+    The models are trained from ``samples`` (label 1 random, 0 ordinary); tokens
+    of fewer characters than CANDIDATE_CHARS are not scored.
     """
     model = train(labelled_samples() if samples is None else samples)
     kind = docs.schema[key].dataType.simpleString()
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, bool] = {}
         for batch in batches:
+            if len(known) > REMEMBERED:
+                known.clear()
             found = [
-                [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_secrets(t or "", model, threshold)]
+                [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in find_secrets(t or "", model, threshold, total, known)]
                 for t in batch["_text"]
             ]
             yield pd.DataFrame({key: batch[key], "spans": found})
@@ -151,7 +190,8 @@ def scan_secrets(
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all ``documents``."""
-    found = scan_secrets(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, samples=[*labelled_samples(), *words_of_rows(docs, table(spark, sf_dir, "labels"))])
 
     def written(spans):
         return F.array_join(

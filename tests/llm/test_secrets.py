@@ -19,6 +19,7 @@ TEXTS = [
 def test_base_columns_match_the_plain_way(spark, docs, tmp_path, clashes):
     rows = list(enumerate(TEXTS)) + [(50, TEXTS[0]), (50, TEXTS[0]), (None, TEXTS[1]), (60, ("words " * 30000) + TEXTS[0])]
     docs(rows, extra=clashes).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(8, 1, 0), (7, 1, 0), (0, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = secrets.op5_secret_scans(spark, str(tmp_path)).collect()
     want = sorted((str(i), *secrets.reference_digest(t)) for i, t in rows)
     assert sorted((str(r["doc_id"]), r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in got) == want
@@ -40,9 +41,46 @@ def test_models_tell_held_out_samples_apart():
     random.Random(5).shuffle(samples)
     cut = len(samples) * 3 // 4
     model = secrets.train(samples[:cut])
-    held = [(t, y) for t, y in samples[cut:] if len(t) >= secrets.CANDIDATE_CHARS and secrets.DIGIT.search(t) and secrets.LETTER.search(t)]
-    right = [(secrets.ratio(t, model) >= secrets.THRESHOLD) == bool(y) for t, y in held]
-    assert len(held) > 500 and sum(right) / len(right) >= 0.97
+    held = [(t, y) for t, y in samples[cut:] if len(t) >= secrets.CANDIDATE_CHARS]
+    ordinary = [secrets.is_random(t, model) for t, y in held if not y]
+    long = [secrets.is_random(t, model) for t, y in held if y and len(t) >= 20]
+    short = [secrets.is_random(t, model) for t, y in held if y and len(t) < 20]
+    assert len(ordinary) > 500 and sum(ordinary) / len(ordinary) <= 0.002
+    assert len(long) > 300 and sum(long) / len(long) >= 0.97 and sum(short) / len(short) >= 0.6
+
+
+def test_letters_alone_and_words_of_labelled_rows(spark, docs):
+    words = "Übertragung unterschiedlich Verantwortung gesellschaftlich wissenschaftlich Zusammenarbeit Entscheidung selbstverständlich".split()
+    rows = [(i, " ".join(words)) for i in range(3)] + [(5, None), (6, "qzxkvjwqpt")]
+    labels = spark.createDataFrame([(0, 1), (0, 1), (5, 1), (6, 0), (9, 1)], "doc_id long, quality int")
+    found = secrets.words_of_rows(docs(rows), labels)
+    assert ("unterschiedlich", 0) in found and ("qzxkvjwqpt", 0) not in found and len(found) == len(set(found))
+    model = secrets.train([*secrets.labelled_samples(), *found])
+    assert secrets.is_random("kQzVxWbRjTqXpLfG", model) and not secrets.is_random("wissenschaftlich", model)
+
+
+def test_markov_spans_against_a_plain_version():
+    import math
+    import re
+    from collections import Counter
+
+    samples = secrets.labelled_samples(300)
+    model, pairs, singles = secrets.train(samples), Counter(), Counter()
+    for t, y in samples:
+        pairs.update((y, a, b) for a, b in zip(t, t[1:]))
+        singles.update((y, a) for a in t[:-1])
+    rng = random.Random(8)
+    chars = "abcdefgh XYZ0123456789._-=/+é"
+    for _ in range(300):
+        text = "".join(rng.choices(chars, k=80))
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+            steps = [math.log((pairs[1, a, b] + 0.5) / (singles[1, a] + 64)) - math.log((pairs[0, a, b] + 0.5) / (singles[0, a] + 64)) for a, b in zip(m[0], m[0][1:])]
+            if len(m[0]) >= 8 and sum(steps) / len(steps) >= secrets.THRESHOLD and sum(steps) >= secrets.TOTAL:
+                want.append((m.start(), m.end()))
+        base = [s for s in secrets.find_secrets(text, model) if s[1] < 3]
+        want = [w for w in want if not any(a < w[1] and w[0] < b for a, _, b in base)]
+        assert [(a, b) for a, k, b in secrets.find_secrets(text, model) if k == 3] == want
 
 
 def test_model_spans_add_to_base_ones():
