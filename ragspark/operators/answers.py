@@ -1,13 +1,16 @@
-"""Answers: greedy evidence selection, fallbacks, verification, abstention and submissions."""
+"""Answers as tables: evidence selection, verification, abstention and submissions."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ragspark.functions import citations as C
 from ragspark.functions import text as T
+from ragspark.operators.answering import choose_diverse, with_gaps
 
 #: Letters of a closed question, sources outside the rerank score, passages that back citations.
 LETTERS = ("A", "B", "C", "D")
@@ -15,68 +18,23 @@ UNSCORED = ("lookup", "valores")
 BACKING = 10
 
 
-def choose_diverse(pieces: list[str], relevance: list[float], budget: int, weight: float = 0.8) -> list[int]:
-    """Maximal marginal relevance under a budget of characters; the first of equals, at least one, in text order."""
-    sets = [set(p.lower().split()) for p in pieces]
-    chosen: list[int] = []
-    left = budget
-
-    def alike(i: int, j: int) -> float:
-        return len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] and sets[j] else 0.0
-
-    def value(i: int) -> float:
-        return weight * relevance[i] + (1 - weight) * (1 - max((alike(i, j) for j in chosen), default=0.0))
-
-    while True:
-        open_ = [i for i in range(len(pieces)) if i not in chosen and len(pieces[i]) <= left]
-        if not open_:
-            break
-        best = max(open_, key=lambda i: (value(i), -i))
-        chosen.append(best)
-        left -= len(pieces[best]) + 1
-    if not chosen and pieces:
-        chosen = [max(range(len(pieces)), key=lambda i: (value(i), -i))]
-    return sorted(chosen)
-
-
 def compressed(passages: DataFrame, budget: int, keys: list[str]) -> DataFrame:
-    """Passages(keys, pos, piece, relevance) cut to the pieces chosen for diversity; relevance is min-max scaled in each."""
+    """Passages(keys, pos, piece, relevance) cut to the pieces chosen for diversity; relevance is min-max scaled in each.
+
+    ``vista`` is the passage that is left, with a mark for each gap; it stands beside every chosen piece.
+    """
     fields = ", ".join(f"`{k}` {passages.schema[k].dataType.simpleString()}" for k in keys)
     own = Window.partitionBy(*keys)
     low, high = F.min("relevance").over(own), F.max("relevance").over(own)
     scaled = passages.withColumn("relevance", F.when(high > low, (F.col("relevance") - low) / (high - low)).otherwise(F.lit(1.0)))
 
     def select(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        at = choose_diverse(group["piece"].tolist(), group["relevance"].tolist(), budget)
-        return group.iloc[at][[*keys, "pos", "piece"]]
-
-    return scaled.groupBy(*keys).applyInPandas(select, f"{fields}, pos int, piece string")
-
+        group = group.sort_values("pos", ignore_index=True)
+        pieces = group["piece"].tolist()
+        at = choose_diverse([list(r) for r in group["_roots"]], np.array([len(p) for p in pieces]), group["relevance"].to_numpy(float), budget)
+        return group.iloc[at][[*keys, "pos", "piece"]].assign(vista=with_gaps(pieces, at))
 
-def extended(answers: DataFrame, fillers: DataFrame, min_sentences: int, max_words: int, max_alike: float = 0.5) -> DataFrame:
-    """answers(qid, text) lengthened with literal fillers(qid, pos, piece) that are unlike what is there already."""
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        base = group["text"].iloc[0] or ""
-        kept = [s for s in base.replace("? ", "?|").replace(". ", ".|").split("|") if s]
-        for piece in group.sort_values("pos")["piece"].dropna():
-            if len(kept) >= min_sentences:
-                break
-            words = set(piece.lower().split())
-            alike = any(words and (w := set(k.lower().split())) and len(words & w) / len(words | w) > max_alike for k in kept)
-            if not alike and len(" ".join([*kept, piece]).split()) <= max_words:
-                kept.append(piece)
-        return pd.DataFrame({"qid": [group["qid"].iloc[0]], "text": [" ".join(kept)], "n_sentences": [len(kept)]})
-
-    joined = answers.select("qid", "text").join(fillers.select("qid", "pos", "piece"), "qid", "left")
-    return joined.groupBy("qid").applyInPandas(fill, "qid long, text string, n_sentences int")
-
-
-def fallback_answer(passages: DataFrame, max_sentences: int = 2, max_words: int = 60) -> DataFrame:
-    """The deterministic answer from ranked passages: the best passage's first sentences, and its reference."""
-    best = passages.filter("pos = 1")
-    body = F.array_join(T.capped(T.sentences(F.col("texto")), max_sentences, max_words), " ")
-    return best.select("qid", body.alias("respuesta"), F.col("doc_id").cast("string").alias("referencia_legal"))
+    return scaled.withColumn("_roots", T.index_terms(F.col("piece"))).groupBy(*keys).applyInPandas(select, f"{fields}, pos int, piece string, vista string")
 
 
 def without_unbacked(sentences: DataFrame, backed: DataFrame) -> DataFrame:
@@ -122,16 +80,34 @@ def discards(options: Column, chosen: Column, default: str = "No corresponde.")
 
 
 def submission_errors(subs: DataFrame, known_ids: DataFrame) -> DataFrame:
-    """One row per broken rule of each submission line."""
+    """One row per broken rule of each submission line, and of each known id that no line has."""
     times = F.count(F.lit(1)).over(Window.partitionBy("id"))
     rules = F.array(
         F.when(~F.col("_known"), F.lit("id desconocido")),
+        F.when(~F.col("_sent"), F.lit("sin entrega")),
         F.when(F.col("_times") > 1, F.lit("id repetido")),
         F.when((F.col("formato") == "cerrada") & ~F.col("letra").isin(*LETTERS), F.lit("letra no valida")),
         F.when(~F.col("abstencion") & (F.trim(F.coalesce("respuesta", F.lit(""))) == ""), F.lit("respuesta vacia")),
         F.when(F.col("n_pasajes") > BACKING, F.lit("demasiados pasajes")),
         F.when(F.isnan("score") | (F.abs("score") == float("inf")), F.lit("numero no finito")),
     )
-    marked = subs.withColumn("_times", times).join(known_ids.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
-    marked = marked.withColumn("_known", F.coalesce("_known", F.lit(False)))
+    sent = subs.withColumn("_times", times).withColumn("_sent", F.lit(True))
+    marked = sent.join(known_ids.select("id").distinct().withColumn("_known", F.lit(True)), "id", "full")
+    marked = marked.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_known", "_sent")})
     return marked.select("id", F.explode(F.array_compact(rules)).alias("error"))
+
+
+def passage_errors(passages: DataFrame, texts: DataFrame) -> DataFrame:
+    """passages(id, pos, doc_id, inicio, fin, texto) whose document is unknown or whose text is not that slice of texts(doc_id, completo)."""
+    found = passages.join(texts.select("doc_id", "completo"), "doc_id", "left")
+    slice_ = F.substr("completo", (F.col("inicio") + 1).cast("int"), (F.col("fin") - F.col("inicio")).cast("int"))
+    error = F.when(F.col("completo").isNull(), F.lit("documento desconocido")).when(~F.coalesce(slice_ == F.col("texto"), F.lit(False)), F.lit("texto distinto"))
+    return found.withColumn("error", error).filter("error IS NOT NULL").select("id", "pos", "doc_id", "error")
+
+
+def unbacked_citations(answers: DataFrame, passages: DataFrame, first: int = BACKING) -> DataFrame:
+    """(id, body) cited by answers(id, texto) and by none of the first passages(id, pos, texto) of their question."""
+    def cited(rows: DataFrame) -> DataFrame:
+        return rows.select("id", F.explode(C.bodies(C.citations(F.col("texto")))).alias("body")).distinct()
+
+    return cited(answers).join(cited(passages.filter(F.col("pos") <= first)), ["id", "body"], "left_anti")

@@ -35,23 +35,102 @@ def citations_extract_simple(spark, d):
 @query(f"""WITH {CITES_SQL} SELECT o_orderkey, 'ley' AS tipo, split_part(body, '/', 1) AS numero, split_part(body, '/', 2) AS anio,
 (o_orderkey % 90 + 1)::varchar AS articulo FROM cites""")
 def citations_extract_full(spark, d):
-    """The whole rule, with the article before its law."""
+    """The whole rule, with the article before its law."""
     found = cites(spark, d).select("o_orderkey", F.explode(C.article_level(C.citations(F.col("t")))).alias("c"))
     return found.select("o_orderkey", "c.tipo", "c.numero", "c.anio", "c.articulo")
 
 
-@query()
+FORMS_SQL = """forms AS (SELECT o_orderkey, o_orderkey % 8 AS k, (o_custkey % 97 + 100)::varchar AS n, year(o_orderdate)::varchar AS y, (o_orderkey % 90 + 1)::varchar AS a,
+ (o_custkey % 40 + 1)::varchar AS b FROM orders)"""
+
+
+def forms(spark, d):
+    """Texts of eight forms, by order: list of articles, alias, code before and after, ruling with two and four digits, two norms, nothing."""
+    o = table(spark, d, "orders")
+    n, y = (F.col("o_custkey") % 97 + 100).cast("string"), F.year("o_orderdate").cast("string")
+    a, b = (F.col("o_orderkey") % 90 + 1).cast("string"), (F.col("o_custkey") % 40 + 1).cast("string")
+    texts = F.array(
+        F.concat(F.lit("Artículos "), a, F.lit(", "), b, F.lit(" y 200a de la Ley "), n, F.lit(" de "), y),
+        F.concat(F.lit("La Ley 599 de 2000, art. "), a, F.lit(", rige")),
+        F.concat(F.lit("el artículo "), a, F.lit(" del Código Penal")),
+        F.concat(F.lit("Sentencia C-0"), b, F.lit(" de "), y),
+        F.concat(F.lit("según la SU-"), b, F.lit("/"), F.substr(y, F.lit(3), F.lit(2))),
+        F.concat(F.lit("DECRETO LEY "), n, F.lit(" DE "), y, F.lit(" y la ley 1437")),
+        F.concat(F.lit("Art. "), a, F.lit(". La Resolución N° "), n, F.lit(" de "), y),
+        F.concat(F.lit("La ley "), n, F.lit(" rige desde el artículo "), a),
+    )
+    return o.select("o_orderkey", F.get(texts, (F.col("o_orderkey") % 8).cast("int")).alias("t"))
+
+
+@query(f"""WITH {FORMS_SQL}, c AS (
+SELECT o_orderkey, 'ley' AS tipo, n AS numero, y AS anio, unnest(list_distinct([a, b, '200a'])) AS articulo FROM forms WHERE k = 0
+UNION ALL SELECT o_orderkey, 'codigo_penal', NULL, NULL, a FROM forms WHERE k IN (1, 2)
+UNION ALL SELECT o_orderkey, 'jurisprudencia', CASE k WHEN 3 THEN 'C-' ELSE 'SU-' END || b, y, NULL FROM forms WHERE k IN (3, 4)
+UNION ALL SELECT o_orderkey, 'decreto', n, y, NULL FROM forms WHERE k = 5
+UNION ALL SELECT o_orderkey, 'cpaca', NULL, NULL, NULL FROM forms WHERE k = 5
+UNION ALL SELECT o_orderkey, 'resolucion', n, y, NULL FROM forms WHERE k = 6)
+SELECT * FROM c""")
 def citations_extract_codes(spark, d):
-    """Codes, aliased laws and rulings."""
-    n = (F.col("o_orderkey") % 4).cast("int")
-    texts = F.array(*map(F.lit, ("Ley 599 de 2000, art. 13, 15 y 42", "artículo 404 del Código Penal", "Sentencia C-355 de 2006 y SU-16/20", "la ley 1437 y el C.P.")))
-    found = table(spark, d, "orders").select("o_orderkey", F.explode(C.citations(F.get(texts, n))).alias("c"))
+    """Lists, aliased laws, codes, rulings with short years, stops between article and norm."""
+    found = forms(spark, d).select("o_orderkey", F.explode(C.citations(F.col("t"))).alias("c"))
     return found.select("o_orderkey", "c.tipo", "c.numero", "c.anio", "c.articulo")
 
 
+@query("""WITH q AS (SELECT o_orderkey AS qid, o_orderkey % 4 AS k, (o_custkey % 97 + 100)::varchar AS n, (o_orderkey % 50 + 1)::varchar AS a, year(o_orderdate)::varchar AS y FROM orders)
+SELECT qid, 'ley' AS tipo, n AS numero, y AS anio, a || '-1' AS articulo FROM q WHERE k = 0
+UNION ALL SELECT qid, 'ley', n, y, '2.2.' || a FROM q WHERE k = 1
+UNION ALL SELECT qid, 'constitucion', NULL, NULL, NULL FROM q WHERE k = 3
+UNION ALL SELECT qid, 'ley', n, y, NULL FROM q WHERE k IN (1, 2)""")
+def query_citations(spark, d):
+    """C18 (compound articles), C19: "constitución" alone is no citation of a question."""
+    o = table(spark, d, "orders")
+    n, y, a = (F.col("o_custkey") % 97 + 100).cast("string"), F.year("o_orderdate").cast("string"), (F.col("o_orderkey") % 50 + 1).cast("string")
+    law = F.concat(F.lit("la Ley "), n, F.lit(" de "), y)
+    texts = F.array(F.concat(F.lit("artículo "), a, F.lit("-1 de "), law), F.concat(law, F.lit(" en sus normas. El artículo 2.2."), a),
+                    F.concat(F.lit("la constitución de la sociedad según "), law), F.lit("la Constitución Política"))
+    found = o.select(F.col("o_orderkey").alias("qid"), F.explode(C.query_citations(F.get(texts, (F.col("o_orderkey") % 4).cast("int")))).alias("c"))
+    return found.select("qid", "c.tipo", "c.numero", "c.anio", "c.articulo")
+
+
+@query("""WITH r AS (SELECT DISTINCT 'C-' || (o_custkey % 300 + 1) AS numero, (1992 + o_orderkey % 2 * (o_custkey % 3))::varchar AS anio FROM orders),
+one AS (SELECT numero, min(anio) AS anio FROM r GROUP BY numero HAVING count(*) = 1),
+q AS (SELECT o_orderkey AS qid, 'C-' || (o_orderkey % 400 + 1) AS numero FROM orders WHERE o_orderkey % 3 <> 0)
+SELECT qid, 'jurisprudencia' AS tipo, numero, anio FROM q JOIN one USING (numero)""")
+def yearless_rulings(spark, d):
+    """Rulings named without a year count where only one has that number."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    rulings = o.select(F.concat(F.lit("C-"), (F.col("o_custkey") % 300 + 1).cast("string")).alias("numero"), (F.lit(1992) + k % 2 * (F.col("o_custkey") % 3)).cast("string").alias("anio"))
+    number = (k % 400 + 1).cast("string")
+    text = F.when(k % 3 == 0, F.concat(F.lit("la C-"), number, F.lit(" de 1992"))).when(k % 3 == 1, F.concat(F.lit("la sentencia c-00"), number, F.lit(" dice"))).otherwise(F.concat(F.lit("C - "), number))
+    return C.yearless_rulings(o.select(k.alias("qid"), text.alias("text")), rulings)
+
+
+@query(f"""WITH {FORMS_SQL}, b AS (SELECT o_orderkey, 'Ley ' || n || ' de ' || y AS nombre FROM forms WHERE k = 0 UNION ALL SELECT o_orderkey, 'Código Penal' FROM forms WHERE k IN (1, 2)
+UNION ALL SELECT o_orderkey, 'Sentencia ' || CASE k WHEN 3 THEN 'C-' ELSE 'SU-' END || b || ' de ' || y FROM forms WHERE k IN (3, 4)
+UNION ALL SELECT o_orderkey, 'Decreto ' || n || ' de ' || y FROM forms WHERE k = 5
+UNION ALL SELECT o_orderkey, 'Código de Procedimiento Administrativo y de lo Contencioso Administrativo' FROM forms WHERE k = 5
+UNION ALL SELECT o_orderkey, 'Resolución ' || n || ' de ' || y FROM forms WHERE k = 6) SELECT o_orderkey, nombre FROM b""")
+def checked_names(spark, d):
+    """The written form of each body, where it is read back as that body alone."""
+    found = forms(spark, d).select("o_orderkey", F.explode(C.bodies(C.citations(F.col("t")))).alias("b"))
+    return found.select("o_orderkey", C.checked_name(F.col("b.tipo"), F.col("b.numero"), F.col("b.anio")).alias("nombre"))
+
+
+@query(f"""WITH {FORMS_SQL}, b AS (SELECT o_orderkey, 'Ley ' || n || ' de ' || y || ', art. ' || unnest(list_distinct([a, b, '200a'])) AS nombre FROM forms WHERE k = 0
+UNION ALL SELECT o_orderkey, 'Código Penal, art. ' || a FROM forms WHERE k IN (1, 2)
+UNION ALL SELECT o_orderkey, 'Sentencia ' || CASE k WHEN 3 THEN 'C-' ELSE 'SU-' END || b || ' de ' || y FROM forms WHERE k IN (3, 4)
+UNION ALL SELECT o_orderkey, 'Decreto ' || n || ' de ' || y FROM forms WHERE k = 5
+UNION ALL SELECT o_orderkey, 'Código de Procedimiento Administrativo y de lo Contencioso Administrativo' FROM forms WHERE k = 5
+UNION ALL SELECT o_orderkey, 'Resolución ' || n || ' de ' || y FROM forms WHERE k = 6) SELECT o_orderkey, nombre FROM b""")
+def display_names(spark, d):
+    """What a reader is shown for each citation."""
+    found = forms(spark, d).select("o_orderkey", F.explode(C.citations(F.col("t"))).alias("c"))
+    return found.select("o_orderkey", C.display_name(F.col("c")).alias("nombre"))
+
+
 @query(f"WITH {CITES_SQL} SELECT o_orderkey, 'Ley ' || split_part(body, '/', 1) || ' de ' || split_part(body, '/', 2) AS nombre FROM cites")
 def citation_bodies(spark, d):
-    """The written form of each body."""
+    """The written form of each body."""
     found = cites(spark, d).select("o_orderkey", F.explode(C.bodies(C.citations(F.col("t")))).alias("b"))
     return found.select("o_orderkey", C.body_name(F.col("b.tipo"), F.col("b.numero"), F.col("b.anio")).alias("nombre"))
 
@@ -126,7 +205,7 @@ def score_abstention(spark, d):
 @query(f"""WITH {CITES_SQL}, m AS (SELECT o_custkey % 50 AS qid, body, count(*) AS n, min(o_orderkey) AS first FROM cites GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, first) AS pos FROM m) SELECT qid, pos, body, n, first FROM r WHERE pos <= 3""")
 def mentions_by_frequency(spark, d):
-    """C14, C15."""
+    """C14."""
     from ragspark.operators.ranking import ranked
 
     found = cites(spark, d).select((F.col("o_custkey") % 50).alias("qid"), "o_orderkey", F.explode(C.simple_law_citations(F.col("t"))).alias("body"))
@@ -144,7 +223,7 @@ def _passages(spark, d):
 
 @query(f"WITH {BACK_SQL} SELECT ct.qid, ct.body, bk.body IS NOT NULL AS respaldada FROM ct LEFT JOIN bk ON ct.qid = bk.qid AND ct.body = bk.body")
 def backed_flags(spark, d):
-    """C10, C11, C16, H39."""
+    """C10, C11, H39."""
     backed = A.backing_bodies(_passages(spark, d)).withColumn("respaldada", F.lit(True))
     cited = table(spark, d, "orders").select(F.col("o_custkey").alias("qid"), (F.col("o_orderkey") % 25).alias("body")).distinct()
     return cited.join(backed, ["qid", "body"], "left").withColumn("respaldada", F.coalesce("respaldada", F.lit(False)))
@@ -180,7 +259,7 @@ def weak_evidence(spark, d):
 
 @query(f"""WITH {WEAK_SQL} SELECT qid, formato <> 'cerrada' AND (debil OR qid % 10 = 0) AS abstencion FROM w""")
 def abstention_decision(spark, d):
-    """V04, V06, V07."""
+    """V04, V06."""
     answer = F.when(F.col("qid") % 10 != 0, F.lit("texto")).otherwise(F.lit(" "))
     return A.abstention(_weak(spark, d).withColumn("respuesta", answer).withColumn("insuficiente", F.col("debil"))).select("qid", "abstencion")
 
@@ -198,17 +277,40 @@ def replan_two_passes(spark, d):
 t AS (SELECT *, count(*) OVER (PARTITION BY id) AS times FROM s)
 SELECT id, unnest(list_filter([CASE WHEN id % 40 = 0 THEN 'id desconocido' END, CASE WHEN times > 1 THEN 'id repetido' END,
  CASE WHEN formato = 'cerrada' AND letra = 'E' THEN 'letra no valida' END, CASE WHEN NOT abst AND trim(respuesta) = '' THEN 'respuesta vacia' END,
- CASE WHEN n > 10 THEN 'demasiados pasajes' END], lambda x: x IS NOT NULL)) AS error FROM t""")
+ CASE WHEN n > 10 THEN 'demasiados pasajes' END], lambda x: x IS NOT NULL)) AS error FROM t
+UNION ALL SELECT DISTINCT o_orderkey, 'sin entrega' FROM orders WHERE o_orderkey % 40 <> 0 AND o_orderkey NOT IN (SELECT id FROM s)""")
 def validate_submission(spark, d):
-    """V12, and of V11: ids, letters, empty answers, number of passages and finite scores."""
+    """V11 and V12 (ids both ways, letters, empty answers, number of passages, finite scores), J12."""
     o, k = table(spark, d, "orders"), F.col("o_orderkey")
     subs = o.select(F.when(k % 50 == 1, k + 1).otherwise(k).alias("id"), F.when(k % 3 == 0, "cerrada").otherwise("abierta").alias("formato"),
                     F.when(k % 6 == 0, "E").otherwise("A").alias("letra"), F.when(k % 9 == 0, " ").otherwise("x").alias("respuesta"),
                     (k % 18 == 0).alias("abstencion"), (k % 13).alias("n_pasajes"), F.lit(0.5).alias("score"))
-    known = subs.select("id").filter("id % 40 <> 0")
+    known = subs.select("id").filter("id % 40 <> 0").union(o.select("o_orderkey").filter("o_orderkey % 40 <> 0"))
     return A.submission_errors(subs, known)
 
 
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 11 = 0 THEN 'documento desconocido' ELSE 'texto distinto' END AS error FROM documents WHERE doc_id % 11 = 0 OR (doc_id % 7 = 0 AND length(text) > 12)
+ORDER BY ALL""")
+def validate_passages(spark, d):
+    """V11 (literal slices), J13, H38: passages against the texts of the documents they name."""
+    docs = table(spark, d, "documents")
+    wrong = (F.col("doc_id") % 7 == 0) & (F.length("text") > 12)
+    text = F.substr("text", F.lit(4), F.lit(8))
+    given = docs.select(F.col("doc_id").alias("id"), F.lit(1).alias("pos"), F.when(F.col("doc_id") % 11 == 0, -F.col("doc_id") - 1).otherwise(F.col("doc_id")).alias("doc_id"),
+                        F.lit(3).alias("inicio"), F.least(F.lit(11), F.length("text")).alias("fin"), F.when(wrong, F.concat(text, F.lit("~"))).otherwise(text).alias("texto"))
+    given = given.withColumn("fin", F.greatest("inicio", "fin"))
+    return A.passage_errors(given, docs.select("doc_id", F.col("text").alias("completo"))).select("id", "error")
+
+
+@query(f"""WITH {CITES_SQL}, a AS (SELECT DISTINCT o_custkey AS id, body FROM cites), p AS (SELECT DISTINCT o_custkey AS id, body FROM cites WHERE o_orderkey % 3 = 0)
+SELECT id, 'ley' AS tipo, split_part(body, '/', 1) AS numero, split_part(body, '/', 2) AS anio FROM a ANTI JOIN p USING (id, body)""")
+def unbacked_citations(spark, d):
+    """V11 (unbacked citations), C11: what answers cite and their first passages do not."""
+    c = cites(spark, d).select(F.col("o_custkey").alias("id"), F.col("t").alias("texto"), "o_orderkey")
+    found = A.unbacked_citations(c, c.filter("o_orderkey % 3 = 0").withColumn("pos", F.lit(1)))
+    return found.select("id", "body.tipo", "body.numero", "body.anio")
+
+
 @query(f"""WITH {SETS_SQL}, x AS (SELECT *, id % 4 AS area, id % 3 AS formato, CASE WHEN id % 5 = 0 THEN NULL ELSE (backed > 1)::int END AS art, n_cited % 9 AS n_docs FROM m)
 SELECT area::bigint AS area, formato::bigint AS formato, count(*) AS n, round(avg((hits > 0)::int), 4) AS body_hit, round(sum(hits)::double / sum(n_ref), 4) AS recall,
 round(avg(art), 4) AS article_hit, round(avg(n_docs), 4) AS mean_docs FROM x GROUP BY GROUPING SETS ((), (area), (formato))""")
@@ -241,27 +343,11 @@ def projection_by_format(spark, d):
 
 @query()
 def mmr_select(spark, d):
-    """Sentences of each item's best documents under a budget of characters."""
+    """Sentences of each item's best documents under a budget of characters, a mark for each gap."""
     top = V.bm25(spark, d, 3).select("qid", "doc_id")
     pieces = top.join(table(spark, d, "documents"), "doc_id").select("qid", "doc_id", F.posexplode(T.sentence_pieces(F.col("text"))).alias("pos", "piece"))
     scored = pieces.withColumn("relevance", F.size(F.array_distinct(F.split("piece", " "))).cast("double"))
-    return A.compressed(scored, 300, ["qid", "doc_id"]).select("qid", "doc_id", "pos", F.length("piece").alias("chars"))
-
-
-@query()
-def extension_fill(spark, d):
-    """H27, and of R25: literal sentences unlike those there, under a cap of words."""
-    top = V.bm25(spark, d, 1).select("qid", "doc_id")
-    pieces = top.join(table(spark, d, "documents"), "doc_id").select("qid", F.posexplode(T.sentence_pieces(F.col("text"))).alias("pos", "piece"))
-    answers = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.get(T.sentence_pieces(F.col("text")), F.lit(0)).alias("text"))
-    return A.extended(answers, pieces, 3, 150)
-
-
-@query()
-def fallback_answer(spark, d):
-    """The answer without a model."""
-    top = V.bm25(spark, d, 1).select("qid", "doc_id", "pos")
-    return A.fallback_answer(top.join(table(spark, d, "documents").select("doc_id", F.col("text").alias("texto")), "doc_id"))
+    return A.compressed(scored, 300, ["qid", "doc_id"]).select("qid", "doc_id", "pos", F.length("piece").alias("chars"), F.length("vista").alias("vista"))
 
 
 @query("""SELECT o_orderkey, array_to_string(list_filter(['A', 'B', 'C', 'D'], lambda x: x <> chr((65 + o_orderkey % 4)::int)), '') AS letras FROM orders""")

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from ragspark.operators import answers as A
@@ -7,11 +8,12 @@ from ragspark.streaming import resume
 
 
 def test_diverse_choice():
-    three = ["uno dos tres", "cuatro", "seis"]
-    assert A.choose_diverse(three, [0.2, 1.0, 0.9], 6) == [1]
-    assert A.choose_diverse(three, [0.2, 1.0, 0.9], 100) == [0, 1, 2]
-    assert A.choose_diverse(["x" * 50], [1.0], 10) == [0]
-    assert A.choose_diverse([], [], 10) == []
+    three = [["uno", "dos", "tres"], ["cuatro"], ["seis"]]
+    sizes, relevance = np.array([12, 6, 4]), np.array([0.2, 1.0, 0.9])
+    assert A.choose_diverse(three, sizes, relevance, 6).tolist() == [1]
+    assert A.choose_diverse(three, sizes, relevance, 100).tolist() == [0, 1, 2]
+    assert A.choose_diverse([["x"]], np.array([50]), np.array([1.0]), 10).tolist() == [0]
+    assert A.choose_diverse([], np.array([]), np.array([]), 10).tolist() == []
 
 
 def test_unbacked_sentences_go_whole(spark):
