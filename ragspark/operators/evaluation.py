@@ -82,3 +82,105 @@ def projection(done: DataFrame, sizes: DataFrame) -> DataFrame:
     overall = done.agg(F.avg("seconds").alias("all"))
     joined = sizes.join(means, "formato", "left").crossJoin(F.broadcast(overall))
     return joined.select("formato", "n", F.round(F.coalesce("mean", "all") * F.col("n"), 4).alias("segundos"))
+
+
+#: Points of each part of a report.
+POINTS = {"cerradas": 20.0, "ragas": 30.0, "citas": 20.0, "abstencion": 10.0}
+
+
+def answer_key(key: DataFrame, questions: DataFrame) -> DataFrame:
+    """The key's rows with the text of their questions, for splits that keep both apart."""
+    return key.join(questions.select("id", "pregunta"), "id")
+
+
+def to_judge(judged: DataFrame, subs: DataFrame, key: DataFrame) -> DataFrame:
+    """What a judge reads: judged(id) with subs(id, texto, abstencion) that did not abstain and key(id, pregunta, respuesta_esperada)."""
+    said = subs.filter(~F.coalesce("abstencion", F.lit(False))).select("id", "texto")
+    return judged.select("id").distinct().join(said, "id").join(key.select("id", "pregunta", "respuesta_esperada"), "id")
+
+
+def judge_score(judged: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """judged(id) and verdicts(id, correctness): the mean over all judged, those without a verdict as 0. 30 points."""
+    joined = judged.select("id").distinct().join(verdicts.withColumn("_v", F.lit(True)), "id", "left")
+    value = F.when(F.isnan("correctness"), F.lit(0.0)).otherwise(F.coalesce("correctness", F.lit(0.0)))
+    failed = F.col("_v") & (F.col("correctness").isNull() | F.isnan("correctness"))
+    out = joined.agg(F.count(F.lit(1)).alias("n_juzgados"), F.count("_v").alias("n_respondidos"), F.count_if(failed).alias("n_fallidos"), F.avg(value).alias("_c"))
+    return out.select("n_juzgados", "n_respondidos", "n_fallidos", _points(F.coalesce("_c", F.lit(0.0))).alias("correctness"),
+                      F.round(POINTS["ragas"] * F.coalesce("_c", F.lit(0.0)), 2).alias("puntos"))
+
+
+def total(parts: DataFrame) -> DataFrame:
+    """parts(parte, puntos null where not scored): points reached, and possible of the parts that were scored."""
+    most = F.element_at(F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair]), F.col("parte"))
+    return parts.agg(F.round(F.sum("puntos"), 2).alias("obtenidos"), F.sum(F.when(F.col("puntos").isNotNull(), most)).alias("posibles"))
+
+
+def sweep(configs: DataFrame, items: DataFrame) -> DataFrame:
+    """Every item under every configuration; configurations are few, and only they are broadcast, up to 10,000."""
+    n = configs.limit(10_001).count()
+    if n > 10_000:
+        raise ValueError("a sweep has at most 10,000 configurations")
+    return items.crossJoin(F.broadcast(configs))
+
+
+def seeded_sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """``n`` rows without replacement, the same for a seed whatever the partitions: those with the smallest hashes of the key."""
+    return rows.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), key).limit(n)
+
+
+def named_probe(asked: DataFrame, passages: DataFrame) -> DataFrame:
+    """asked(id, doc_id, body) against passages(id, pos, doc_id, bodies): how often the named document is among ten, first, and its body backed."""
+    first = passages.filter("pos <= 10")
+    by = asked.join(first.select("id", "pos", F.col("doc_id").alias("_doc"), "bodies"), "id", "left")
+    per = by.groupBy("id").agg(
+        F.coalesce(F.max(F.col("_doc") == F.col("doc_id")), F.lit(False)).alias("hit"),
+        F.coalesce(F.max((F.col("_doc") == F.col("doc_id")) & (F.col("pos") == 1)), F.lit(False)).alias("first"),
+        F.coalesce(F.max(F.array_contains("bodies", F.col("body"))), F.lit(False)).alias("backed"))
+    rate = {n: F.round(F.avg(F.col(c).cast("double")), 3).alias(n) for n, c in (("hit10", "hit"), ("primero", "first"), ("respaldada", "backed"))}
+    return per.agg(F.count(F.lit(1)).alias("n"), *rate.values())
+
+
+def topic_probe(asked: DataFrame, passages: DataFrame, edges: DataFrame) -> DataFrame:
+    """asked(id, body) against passages(id, pos, doc_id): harvested documents (in edges(doc_id, body)) a question, and the share that cites the body."""
+    first = passages.filter("pos <= 10").select("id", "doc_id").distinct()
+    found = asked.join(first.join(edges.select("doc_id").distinct(), "doc_id", "left_semi"), "id")
+    citing = found.join(edges.select("doc_id", "body").distinct(), ["doc_id", "body"], "left_semi")
+    sums = asked.agg(F.count(F.lit(1)).alias("n")).crossJoin(found.agg(F.count(F.lit(1)).alias("_r"))).crossJoin(citing.agg(F.count(F.lit(1)).alias("_c")))
+    return sums.select("n", F.round(F.try_divide("_r", "n"), 2).alias("por_pregunta"), F.round(F.try_divide("_c", "_r"), 3).alias("citan_la_norma"))
+
+
+def dense_report(items: DataFrame) -> DataFrame:
+    """items(refs, backed, own), arrays of bodies (own: of the names of the first 50): hit and recall in ten, own norm in fifty."""
+    some = items.filter(F.size("refs") > 0)
+    common = F.size(F.array_intersect("refs", "backed"))
+    return some.agg(F.count(F.lit(1)).alias("n"), _points(F.avg((common > 0).cast("double"))).alias("body_hit"), _points(F.try_divide(F.sum(common), F.sum(F.size("refs")))).alias("recall"),
+                    _points(F.avg((F.size(F.array_intersect("refs", "own")) > 0).cast("double"))).alias("own"))
+
+
+def harvest_report(rows: DataFrame) -> DataFrame:
+    """rows(n_fragmentos, caracteres, ponente, decision, votos): totals, medians, shares with a flag, weight of separate votes."""
+    def share(c: str) -> Column:
+        return _points(F.avg(F.col(c).cast("double"))).alias(c)
+
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("n_fragmentos").alias("fragmentos"), F.median("n_fragmentos").alias("mediana"), F.max("n_fragmentos").alias("maximo"),
+                    share("ponente"), share("decision"), _points(F.try_divide(F.sum("votos"), F.sum("caracteres"))).alias("peso_votos"))
+
+
+def characters_by(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum(F.length(text)).alias("caracteres"))
+
+
+def stage_seconds(rows: DataFrame) -> DataFrame:
+    """rows(id, etapa, segundos): seconds of each stage of a question, repeats added."""
+    return rows.groupBy("id", "etapa").agg(F.round(F.sum("segundos"), 6).alias("segundos"))
+
+
+def correct_option(options: Column) -> Column:
+    """The text of the first option of an array of (text, is_correct) that is right."""
+    return F.get(F.filter(options, lambda o: o["is_correct"]), F.lit(0))["text"]
+
+
+def markdown(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """``line``, the rows as lines of a Markdown table in ``order``; bars in cells become slashes."""
+    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", "/") for c in columns]
+    return rows.select(*order, F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
