@@ -15,26 +15,39 @@ from ragspark.operators.ranking import ranked
 
 #: Queries scored against the vectors in one pass.
 QUERIES_AT_ONCE = 1024
+#: Terms of a vocabulary, and rules, that are broadcast at most.
+MOST_TERMS, MOST_RULES = 1 << 18, 10_000
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """postings(term, doc_id, tf), lengths(doc_id, dl), frequencies(term, df), stats(n, avgdl)."""
+    """postings(term, doc_id, tf, dl), one row of stats(n, avgdl), and what they were made from.
+
+    ``postings`` has all terms, or those of a vocabulary only; statistics are
+    those of all rows either way.
+    """
 
     postings: DataFrame
-    lengths: DataFrame
-    frequencies: DataFrame
     stats: DataFrame
 
 
-def lexical_index(docs: DataFrame, terms: Column, key: str = "doc_id") -> LexicalIndex:
-    """Index tables of an array of ``terms`` in each row. Statistics are those of all rows, before any mask."""
-    split = docs.select(F.col(key).alias("doc_id"), terms.alias("terms"))
-    postings = split.select("doc_id", F.explode("terms").alias("term")).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = split.select("doc_id", F.size("terms").cast("long").alias("dl"))
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return LexicalIndex(postings, lengths, frequencies, stats)
+def vocabulary_of(asked: DataFrame) -> DataFrame:
+    """The distinct terms of queries, to be broadcast if there are MOST_TERMS at most."""
+    terms = asked.select("term").distinct()
+    return F.broadcast(terms) if terms.limit(MOST_TERMS + 1).count() <= MOST_TERMS else terms
+
+
+def lexical_index(docs: DataFrame, terms: Column, key: str = "doc_id", vocabulary: DataFrame | None = None, n_terms: Column | None = None) -> LexicalIndex:
+    """Index tables of an array of ``terms`` in each row; with a ``vocabulary(term)`` other terms go before anything is shuffled.
+
+    ``n_terms`` is the number of a row's terms, if that is cheaper to tell than by making them.
+    """
+    split = docs.select(F.col(key).alias("doc_id"), terms.alias("terms")).select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    kept = split if vocabulary is None else split.join(vocabulary, "term", "left_semi")
+    postings = kept.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    size = F.size(terms) if n_terms is None else n_terms
+    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(size, F.lit(0)).cast("long")).alias("avgdl"))
+    return LexicalIndex(postings, stats)
 
 
 def query_terms(queries: DataFrame, terms: Column, qid: str) -> DataFrame:
@@ -44,15 +57,16 @@ def query_terms(queries: DataFrame, terms: Column, qid: str) -> DataFrame:
 def bm25_topk(index: LexicalIndex, asked: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, only: DataFrame | None = None) -> DataFrame:
     """The ``k`` best rows of each query with a score above 0; ``only`` masks candidates, not statistics.
 
-    The idf is that of Lucene. The distinct query terms reduce the postings
-    before lengths are joined.
+    The idf is that of Lucene. Document frequencies are counts of the postings,
+    which both come from one shuffle.
     """
-    wanted = asked.join(index.frequencies, "term").crossJoin(F.broadcast(index.stats))
-    postings = index.postings if only is None else index.postings.join(only.select("doc_id"), "doc_id", "left_semi")
-    matched = postings.join(wanted, "term").join(index.lengths, "doc_id")
+    frequencies = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.join(frequencies, "term").crossJoin(F.broadcast(index.stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = matched.groupBy("qid", "doc_id").agg(F.sum(gain).alias("score")).filter("score > 0")
+    wanted = wanted.select("qid", "term", idf.alias("idf"), "avgdl")
+    postings = index.postings if only is None else index.postings.join(only.select("doc_id"), "doc_id", "left_semi")
+    gain = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = postings.join(wanted, "term").groupBy("qid", "doc_id").agg(F.sum(gain).alias("score")).filter("score > 0")
     return ranked(scored.withColumn("chunk_id", F.lit(0).cast("long")), k).withColumn("score", F.round("score", 6))
 
 
@@ -92,6 +106,8 @@ def masked(rows: DataFrame, allowed: DataFrame | None = None, banned: DataFrame
 
 def rule_hits(queries: DataFrame, rules: DataFrame, limit: int) -> DataFrame:
     """Fixed passages of the rules(ord, patron, doc_id, chunk_id) whose pattern a query's ``text`` holds, ``limit`` each."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
     fired = queries.join(F.broadcast(rules), F.expr("text RLIKE patron"))
     once = Window.partitionBy("qid", "doc_id", "chunk_id").orderBy("ord")
     first = fired.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
@@ -113,15 +129,59 @@ def lookup_hits(cited: DataFrame, articles: DataFrame, cards: DataFrame, parts:
 
 
 def coupling(edges: DataFrame, core: DataFrame, k: int) -> DataFrame:
-    """Documents that share cited bodies with a query's core, by the sum of the bodies' idf ln(N / df)."""
-    total = edges.agg(F.countDistinct("doc_id").alias("n"))
-    idf = edges.groupBy("body").agg(F.countDistinct("doc_id").alias("df")).crossJoin(F.broadcast(total))
-    idf = idf.select("body", F.log(F.col("n") / F.col("df")).alias("idf"))
-    shared = core.select("qid", "body").distinct().join(edges.select("doc_id", "body").distinct(), "body").join(idf, "body")
-    scored = shared.groupBy("qid", "doc_id").agg(F.sum("idf").alias("score")).filter("score > 0")
+    """Documents that share cited bodies with a query's core, by the sum of the bodies' idf ln(N / df).
+
+    ``edges(doc_id, body)`` are distinct. Bodies that every document cites have
+    an idf of 0; they go before the join.
+    """
+    total = edges.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    idf = edges.groupBy("body").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
+    idf = idf.select("body", F.log(F.col("n") / F.col("df")).alias("idf")).filter("idf > 0")
+    wanted = core.select("qid", "body").distinct().join(idf, "body")
+    scored = edges.join(wanted, "body").groupBy("qid", "doc_id").agg(F.sum("idf").alias("score"))
     return ranked(scored.withColumn("chunk_id", F.lit(0).cast("long")), k).withColumn("score", F.round("score", 6))
 
 
+def contained_items(docs: DataFrame, items: DataFrame, at_once: int = 5000) -> DataFrame:
+    """(doc_id, item_id) of all items(item_id, text) that stand literally in docs(doc_id, text), whatever their length.
+
+    Each block of at most ``at_once`` items is one automaton, and one pass over
+    the documents; nothing is shuffled. An empty item is in every text; null
+    texts and items match nothing.
+    """
+    usable = items.select("item_id", "text").dropna()
+    n = max(1, -(-usable.count() // at_once))
+    order = usable.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((docs, "doc_id"), (items, "item_id"))}
+    texts, out = docs.select("doc_id", "text").filter("text IS NOT NULL"), None
+    for block in range(n):
+        held = [(r["item_id"], r["text"]) for r in order.filter(F.col("_b") == block).collect()]
+        one = texts.mapInPandas(_finder(held), f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _finder(held: list[tuple]):
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton, keys = ahocorasick.Automaton(), {}
+        for key, text in held:
+            keys.setdefault(text, []).append(key)
+        for text in filter(None, keys):
+            automaton.add_word(text, text)
+        if len(automaton):
+            automaton.make_automaton()
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                found = {item for _, item in automaton.iter(text)} if len(automaton) else set()
+                rows += [(doc, key) for item in found | ({""} & keys.keys()) for key in keys[item]]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id"])
+
+    return find
+
+
 def reuse_vectors(rows: DataFrame, previous: DataFrame) -> DataFrame:
     """``rows(id, text)`` with the vector of the first previous row of equal text; null where it must be encoded."""
     old = previous.groupBy(F.sha2("text", 256).alias("_hash")).agg(F.min_by("v", "id").alias("v"), F.min("id").alias("from_id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from ragspark.operators import ingest as I
 from ragspark.operators import segment as S
 from ragspark.plans.registry import query, table
 from ragspark.plans.text_queries import PARAGRAPHS_SQL
+from ragspark.sources.storage import scratch
 from ragspark.streaming import resume
 
 
@@ -110,8 +111,7 @@ def windowed_event_counts(spark, d):
 @query("SELECT event_id AS id, user_id % 7 AS answer FROM events WHERE event_id % 2 = 0")
 def stream_resume(spark, d):
     """The stream answers what has come, and a second run answers nothing again."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    base = f"{base.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    base = scratch(spark, f"stream-{uuid.uuid4().hex}")
     events = table(spark, d, "events")
     def answer(df):
         return df.filter("event_id % 2 = 0").select(F.col("event_id").alias("id"), (F.col("user_id") % 7).alias("answer"))

@@ -31,8 +31,9 @@ def terms():
 
 
 def bm25(spark, d, k=10, only=None):
-    index = V.lexical_index(table(spark, d, "documents"), terms())
     asked = V.query_terms(table(spark, d, "benchmark"), terms(), "item_id")
+    n_terms = F.regexp_count(F.lower("text"), F.lit(WORDS))
+    index = V.lexical_index(table(spark, d, "documents"), terms(), vocabulary=V.vocabulary_of(asked), n_terms=n_terms)
     return V.bm25_topk(index, asked, k, only=only)
 
 
@@ -166,18 +167,8 @@ def incremental_reuse(spark, d):
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def leak_check(spark, d):
-    """Items are found by an equi join on their first words at every word, then by containment.
-
-    A document's word runs are joined with the items' heads, so no pair without a
-    common head is formed.
-    """
-    docs, items = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").withColumnRenamed("text", "item")
-    head = F.array_join(F.slice(F.filter(F.split("item", r"[ \n]+"), lambda w: w != ""), 2, 3), " ")
-    words = F.filter(F.split("text", r"[ \n]+"), lambda w: w != "")
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " ")))
-    posted = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(runs).alias("head"))
-    pairs = posted.join(items.select("item_id", head.alias("head")), "head").select("doc_id", "item_id").distinct()
-    return pairs.join(docs, "doc_id").join(items, "item_id").filter(F.contains("text", "item")).select("doc_id", "item_id")
+    """Items of any length in documents, by one automaton for a block of items."""
+    return V.contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 @query(f"""WITH {BM25_SQL}, c AS (SELECT qid, doc_id FROM sc WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, doc_id) <= 20),
