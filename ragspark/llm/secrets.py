@@ -38,7 +38,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE
 THRESHOLD, TOTAL = 0.75, 14.0
 #: Labelled samples of each class the models are trained on, and the seed of their generator.
 SAMPLES, SEED = 4000, 20
-#: Labelled rows whose words train the ordinary class, at most (those with the smallest hashes), and characters read of all of them.
+#: Labelled keys whose rows' words train the ordinary class, at most (those with the smallest hashes), as many rows, and characters of these.
 LABELLED_ROWS, LABELLED_CHARS = 500, 4_000_000
 
 #: Parts of ordinary identifiers.
@@ -122,8 +122,9 @@ def is_random(token: str, model: np.ndarray, threshold: float = THRESHOLD, total
 
 def words_of_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality") -> list[tuple[str, int]]:
     """Ordinary samples (label 0): distinct letter-only candidates in texts that ``labels`` call good, a bounded number of rows."""
-    good = docs.join(labels.filter(F.col(quality) == 1).select(key), key, "left_semi").filter(F.col(text).isNotNull())
-    rows = good.select(text).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("secrets")), text).limit(LABELLED_ROWS)
+    order = F.xxhash64(F.col(key).cast("string"), F.lit("secrets"))
+    keys = labels.filter(F.col(quality) == 1).select(key).distinct().orderBy(order, key).limit(LABELLED_ROWS)
+    rows = docs.join(F.broadcast(keys), key, "left_semi").filter(F.col(text).isNotNull()).select(text).orderBy(order, text).limit(LABELLED_ROWS)
     found, left = set(), LABELLED_CHARS
     for r in rows.collect():
         found.update(t for t in CANDIDATE.findall(r[text][:left]) if t.isalpha())
