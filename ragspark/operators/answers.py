@@ -111,3 +111,23 @@ def unbacked_citations(answers: DataFrame, passages: DataFrame, first: int = BAC
         return rows.select("id", F.explode(C.bodies(C.citations(F.col("texto")))).alias("body")).distinct()
 
     return cited(answers).join(cited(passages.filter(F.col("pos") <= first)), ["id", "body"], "left_anti")
+
+
+def shown_citations(answers: DataFrame, passages: DataFrame, first: int = BACKING) -> DataFrame:
+    """What a reader is shown of answers(id, texto): each citation, whether passages(id, pos, texto) back its norm and hold its article, and where.
+
+    A norm without an article is left out where the answer cites one of its
+    articles; "3o" is article 3. ``pasajes`` has the positions of the passages
+    that cite the norm.
+    """
+    def cited(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("id", *more, F.explode(C.citations(F.col("texto"))).alias("c")).withColumn("_body", F.struct("c.tipo", "c.numero", "c.anio"))
+
+    whole = Window.partitionBy("id", "_body")
+    own = cited(answers).withColumn("_some", F.max(F.col("c.articulo").isNotNull()).over(whole)).filter(F.col("c.articulo").isNotNull() | ~F.col("_some"))
+    there = cited(passages.filter(F.col("pos") <= first), "pos")
+    held = there.groupBy("id", "_body").agg(F.array_sort(F.collect_set("pos")).alias("pasajes"), F.collect_set(C.without_ordinal(F.col("c.articulo"))).alias("_articles"))
+    found = own.join(held, ["id", "_body"], "left")
+    article = F.coalesce(F.array_contains("_articles", C.without_ordinal(F.col("c.articulo"))), F.lit(False))
+    return found.select("id", "c", C.display_name(F.col("c")).alias("cita"), F.col("pasajes").isNotNull().alias("respaldada"), article.alias("articulo_en_pasajes"),
+                        F.coalesce("pasajes", F.array().cast("array<int>")).alias("pasajes"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ragspark.functions import text as T
+from ragspark.sources.storage import stored
 
 #: Address parts and the parser that reads what lies there; the first that fits counts.
 PARSERS = (
@@ -128,3 +131,26 @@ def year_range(spec: Column) -> Column:
     """Years of "2015" or "2015-2020"."""
     first, last = F.regexp_extract(spec, r"^(\d{4})", 1).cast("int"), F.regexp_extract(spec, r"(\d{4})$", 1).cast("int")
     return F.sequence(first, last)
+
+
+def chained(starts: DataFrame, links: DataFrame, most: int = 400) -> DataFrame:
+    """Pages that starts(doc_id, url) reach over links(url, next), with their ``paso``; a page that was seen ends a chain, as do ``most`` pages."""
+    spark = starts.sparkSession
+    names = [f"_{n}_{uuid.uuid4().hex}" for n in ("starts", "links")]
+    limit = spark.conf.get("spark.sql.cteRecursionLevelLimit")
+    for name, frame in zip(names, (starts.select("doc_id", "url"), links.select("url", "next")), strict=True):
+        frame.createOrReplaceTempView(name)
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(most + 2))
+    try:
+        found = spark.sql(f"""
+            WITH RECURSIVE chain(doc_id, url, paso, seen) AS (
+              SELECT doc_id, url, 0, array(url) FROM {names[0]}
+              UNION ALL
+              SELECT c.doc_id, l.next, c.paso + 1, array_append(c.seen, l.next) FROM chain c JOIN {names[1]} l ON l.url = c.url
+              WHERE l.next IS NOT NULL AND NOT array_contains(c.seen, l.next) AND c.paso + 1 < {most})
+            SELECT doc_id, url, paso FROM chain""")
+        return stored(found, "chain")
+    finally:
+        spark.conf.set("spark.sql.cteRecursionLevelLimit", limit)
+        for name in names:
+            spark.catalog.dropTempView(name)

@@ -186,3 +186,20 @@ def reuse_vectors(rows: DataFrame, previous: DataFrame) -> DataFrame:
     """``rows(id, text)`` with the vector of the first previous row of equal text; null where it must be encoded."""
     old = previous.groupBy(F.sha2("text", 256).alias("_hash")).agg(F.min_by("v", "id").alias("v"), F.min("id").alias("from_id"))
     return rows.withColumn("_hash", F.sha2("text", 256)).join(old, "_hash", "left").drop("_hash")
+
+
+def document_ranges(fragments: DataFrame) -> DataFrame:
+    """``inicio`` and ``fin`` of each document's chunks in the order of their ids, the end not included."""
+    return fragments.groupBy("doc_id").agg(F.min("chunk_id").alias("inicio"), (F.max("chunk_id") + 1).alias("fin"))
+
+
+def rows_in_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """rows(chunk_id) with the document of the range that holds each.
+
+    Ranges of documents do not overlap, so the last one that begins at or before
+    a chunk decides; both sides are put into one order by blocks of ids, and a
+    range is repeated in the blocks that it covers.
+    """
+    size = 1 << 16
+    blocks = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col("inicio") / size), F.floor((F.col("fin") - 1) / size))))
+    return rows.withColumn("_b", F.floor(F.col("chunk_id") / size)).join(blocks, "_b").filter("chunk_id >= inicio AND chunk_id < fin").drop("_b", "inicio", "fin")

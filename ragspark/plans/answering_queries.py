@@ -117,3 +117,21 @@ def answers_are_backed(spark, d):
     texts = found.select("id", "error", G.answer_text(F.col("formato"), F.col).alias("texto"))
     bad = unbacked_citations(texts, p.select(F.col("qid").alias("id"), "pos", "texto")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return texts.join(bad, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("sin_respaldo"), F.col("error").isNotNull().alias("con_error"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS id, o_orderkey AS k, (o_orderkey % 9 + 100)::varchar AS n, (o_orderkey % 7 + 1)::varchar AS a FROM orders),
+own AS (SELECT DISTINCT id, n, CASE WHEN k % 3 = 0 THEN NULL ELSE a END AS a FROM o WHERE k % 2 = 0), s AS (SELECT id, n FROM own WHERE a IS NOT NULL),
+kept AS (SELECT * FROM own WHERE a IS NOT NULL OR (id, n) NOT IN (SELECT (id, n) FROM s)),
+p AS (SELECT id, k % 12 + 1 AS pos, n, a FROM o WHERE k % 2 = 1 AND k % 12 + 1 <= 10), h AS (SELECT id, n, list_sort(list_distinct(list(pos))) AS pasajes, list(a) AS arts FROM p GROUP BY id, n)
+SELECT kept.id, 'Ley ' || kept.n || ' de 2001' || coalesce(', art. ' || kept.a, '') AS cita, h.n IS NOT NULL AS respaldada, coalesce(list_contains(h.arts, kept.a), false) AS articulo_en_pasajes,
+coalesce(array_to_string(h.pasajes, ','), '') AS pasajes FROM kept LEFT JOIN h ON kept.id = h.id AND kept.n = h.n""")
+def shown_citations(spark, d):
+    """The citations of an answer as a reader is shown them, and the passages that hold their norms."""
+    from ragspark.operators.answers import shown_citations as shown
+
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    law, article = F.concat(F.lit("la Ley "), (k % 9 + 100).cast("string"), F.lit(" de 2001")), (k % 7 + 1).cast("string")
+    cite = F.when((k % 2 == 0) & (k % 3 == 0), law).otherwise(F.concat(F.lit("artículo "), article, F.when(k % 2 == 1, "o").otherwise(""), F.lit(" de "), law))
+    rows = o.select(F.col("o_custkey").alias("id"), k, cite.alias("texto"), (k % 12 + 1).cast("int").alias("pos"))
+    found = shown(rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 2 = 1"))
+    return found.select("id", "cita", "respaldada", "articulo_en_pasajes", F.concat_ws(",", F.transform("pasajes", lambda p: p.cast("string"))).alias("pasajes")).distinct()
