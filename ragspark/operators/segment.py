@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fixed value: characters of a fragment.
-MAX_CHARS = 2000
 
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -52,47 +47,6 @@ def parts_of(rows: DataFrame, keys: list[str]) -> DataFrame:
         "n_partes", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
 
 
-def greedy_parts(pieces: Column, limit: int = MAX_CHARS) -> Column:
-    """Ordered pieces packed into parts of at most ``limit`` characters, one more counted for each piece."""
-    state = F.struct(F.lit(0).alias("size"), F.array().cast("array<array<string>>").alias("parts"))
-
-    def add(s: Column, piece: Column) -> Column:
-        need = F.length(piece) + 1
-        fresh = (F.size(s["parts"]) == 0) | (s["size"] + need > limit)
-        last = F.concat(F.slice(s["parts"], 1, F.greatest(F.size(s["parts"]) - 1, F.lit(0))), F.array(F.concat(F.element_at(s["parts"], -1), F.array(piece))))
-        return F.struct(
-            F.when(fresh, need).otherwise(s["size"] + need).alias("size"),
-            F.when(F.size(s["parts"]) == 0, F.array(F.array(piece)))
-            .when(fresh, F.concat(s["parts"], F.array(F.array(piece)))).otherwise(last).alias("parts"),
-        )
-
-    return F.aggregate(pieces, state, add, lambda s: s["parts"])
-
-
-def split_long(text: str, limit: int = MAX_CHARS) -> list[str]:
-    """A paragraph in pieces of at most ``limit``: at the last sentence mark, else at a space, else hard."""
-    out = []
-    while len(text) > limit:
-        head = text[:limit]
-        at = max(head.rfind(m + " ") + 1 for m in ".;:") or head.rfind(" ")
-        at = at if at > 0 else limit
-        out.append(text[:at].strip())
-        text = text[at:].strip()
-    return [*out, text] if text else out
-
-
-def split_paragraphs(rows: DataFrame, limit: int = MAX_CHARS, key: str = "doc_id") -> DataFrame:
-    """Rows with over-long ``texto`` cut, ``sub`` numbering the pieces of a row."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(k, p, i, t) for k, p, text in batch.itertuples(index=False) for i, t in enumerate(split_long(text, limit))]
-            yield pd.DataFrame(found, columns=[key, "pos", "sub", "texto"])
-
-    return rows.select(key, "pos", "texto").mapInPandas(cut, f"`{key}` {kind}, pos int, sub int, texto string")
-
-
 def repeat_suffix(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``veces``: how often a key has occurred so far; ``sufijo``: ``~k`` from the second on."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -99,7 +99,7 @@ def topic_probe(spark, d):
 @query("""WITH i AS (SELECT o_custkey AS id, list_distinct(list(o_orderkey % 9)) AS r, list_distinct(list((o_orderkey + 1) % 9) FILTER (WHERE o_orderkey % 2 = 0)) AS b, list_distinct(list(o_orderkey % 4)) AS o FROM orders GROUP BY o_custkey)
 SELECT count(*) AS n, round(avg((len(list_intersect(r, coalesce(b, []))) > 0)::int), 4) AS body_hit, round(sum(len(list_intersect(r, coalesce(b, []))))::double / sum(len(r)), 4) AS recall, round(avg((len(list_intersect(r, o)) > 0)::int), 4) AS own FROM i""")
 def dense_report(spark, d):
-    """Hit, recall and own norm of a list, for any encoder or reranker that made it."""
+    """Hit, recall and own norm of a list, whatever encoder or reranker made it."""
     k = F.col("o_orderkey")
     items = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set(k % 9).alias("refs"), F.collect_set(F.when(k % 2 == 0, (k + 1) % 9)).alias("backed"), F.collect_set(k % 4).alias("own"))
     return E.dense_report(items)

