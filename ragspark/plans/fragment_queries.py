@@ -19,13 +19,13 @@ def laws(spark, d):
         (i + 1).cast("string").alias("articulo"), F.array(F.lit("LIBRO I"), F.concat(F.lit("TÍTULO "), (i % 5).cast("string"))).alias("ruta"),
         F.array(F.array_join(F.slice("w", i * 20 + 1, F.lit(20)), " ")).alias("parrafos"), F.when(i % 4 == 0, notes).otherwise(empty).alias("notas")))
     return docs.select(
-        F.concat(F.lit("ley_"), F.col("doc_id").cast("string")).alias("doc_id"), F.concat(F.lit("Ley "), (F.col("doc_id") % 900 + 100).cast("string"), F.lit(" de 2001")).alias("nombre"),
+        F.concat(F.lit("ley_"), F.col("doc_id").cast("string")).alias("doc_id"), F.concat(F.lit("Ley "), (F.col("doc_id") % 900 + 3000).cast("string"), F.lit(" de 2001")).alias("nombre"),
         F.array().cast("array<string>").alias("alias"), F.array(F.lit("EL CONGRESO"), F.lit(" "), F.lit("DECRETA")).alias("preambulo"), empty.alias("notas_preambulo"),
         articles.alias("articulos"), F.lit("senado").alias("parser"))
 
 
 LAW_SQL = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \n\t\r]+'), lambda x: x <> '') AS w FROM documents),
-a AS (SELECT doc_id, 'Ley ' || (doc_id % 900 + 100) || ' de 2001' AS nombre, w, unnest(range(0, ((len(w) + 19) // 20)::bigint)) AS i FROM w WHERE len(w) > 0),
+a AS (SELECT doc_id, 'Ley ' || (doc_id % 900 + 3000) || ' de 2001' AS nombre, w, unnest(range(0, ((len(w) + 19) // 20)::bigint)) AS i FROM w WHERE len(w) > 0),
 f AS (SELECT 'ley_' || doc_id || ':art_' || (i + 1) || ':0' AS frag_id, nombre || '. LIBRO I > TÍTULO ' || (i % 5) || '. ' || array_to_string(w[i * 20 + 1 : i * 20 + 20], ' ') ||
  CASE WHEN i % 4 = 0 THEN chr(10) || 'Notas de vigencia: Artículo modificado por la Ley 1 de 2000' ELSE '' END AS texto, CASE WHEN i % 4 = 0 THEN 'modificado' ELSE 'vigente' END AS vigencia,
  doc_id, i FROM a
