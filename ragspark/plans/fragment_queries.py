@@ -29,7 +29,7 @@ a AS (SELECT doc_id, 'Ley ' || (doc_id % 900 + 3000) || ' de 2001' AS nombre, w,
 f AS (SELECT 'ley_' || doc_id || ':art_' || (i + 1) || ':0' AS frag_id, nombre || '. LIBRO I > TÍTULO ' || (i % 5) || '. ' || array_to_string(w[i * 20 + 1 : i * 20 + 20], ' ') ||
  CASE WHEN i % 4 = 0 THEN chr(10) || 'Notas de vigencia: Artículo modificado por la Ley 1 de 2000' ELSE '' END AS texto, CASE WHEN i % 4 = 0 THEN 'modificado' ELSE 'vigente' END AS vigencia,
  doc_id, i FROM a
-UNION ALL SELECT 'ley_' || doc_id || ':encabezado:0', 'Ley ' || (doc_id % 900 + 100) || ' de 2001. Encabezado. EL CONGRESO' || chr(10) || 'DECRETA', 'desconocida', doc_id, -1 FROM w WHERE len(w) > 0)"""
+UNION ALL SELECT 'ley_' || doc_id || ':encabezado:0', 'Ley ' || (doc_id % 900 + 3000) || ' de 2001. Encabezado. EL CONGRESO' || chr(10) || 'DECRETA', 'desconocida', doc_id, -1 FROM w WHERE len(w) > 0)"""
 
 
 @query(f"WITH {LAW_SQL} SELECT frag_id, vigencia, texto FROM f WHERE length(texto) < 1900")
