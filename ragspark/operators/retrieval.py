@@ -17,6 +17,8 @@ from ragspark.operators.ranking import ranked
 QUERIES_AT_ONCE = 1024
 #: Terms of a vocabulary, and rules, that are broadcast at most.
 MOST_TERMS, MOST_RULES = 1 << 18, 10_000
+#: Bytes of a small table.
+SMALL = 256 << 20
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,13 @@ class LexicalIndex:
     stats: DataFrame
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores if they are a small table in fewer files than cores; larger ones are split by their scan."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if size <= SMALL and len(rows.inputFiles()) < cores else rows
+
+
 def vocabulary_of(asked: DataFrame) -> DataFrame:
     """The distinct terms of queries, to be broadcast if there are MOST_TERMS at most."""
     terms = asked.select("term").distinct()
@@ -42,6 +51,7 @@ def lexical_index(docs: DataFrame, terms: Column, key: str = "doc_id", vocabular
 
     ``n_terms`` is the number of a row's terms, if that is cheaper to tell than by making them.
     """
+    docs = spread(docs)
     split = docs.select(F.col(key).alias("doc_id"), terms.alias("terms")).select("doc_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
     kept = split if vocabulary is None else split.join(vocabulary, "term", "left_semi")
     postings = kept.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
@@ -64,6 +74,8 @@ def bm25_topk(index: LexicalIndex, asked: DataFrame, k: int, k1: float = 1.5, b:
     wanted = asked.join(frequencies, "term").crossJoin(F.broadcast(index.stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = wanted.select("qid", "term", idf.alias("idf"), "avgdl")
+    # One row for each row of ``asked`` at most; left alone, a small corpus would have its postings broadcast instead.
+    wanted = F.broadcast(wanted) if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS else wanted
     postings = index.postings if only is None else index.postings.join(only.select("doc_id"), "doc_id", "left_semi")
     gain = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = postings.join(wanted, "term").groupBy("qid", "doc_id").agg(F.sum(gain).alias("score")).filter("score > 0")
@@ -138,6 +150,8 @@ def coupling(edges: DataFrame, core: DataFrame, k: int) -> DataFrame:
     idf = edges.groupBy("body").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
     idf = idf.select("body", F.log(F.col("n") / F.col("df")).alias("idf")).filter("idf > 0")
     wanted = core.select("qid", "body").distinct().join(idf, "body")
+    # A row of the core is one of ``wanted`` at most, so the core's size bounds what is broadcast.
+    wanted = F.broadcast(wanted) if core.limit(MOST_TERMS + 1).count() <= MOST_TERMS else wanted
     scored = edges.join(wanted, "body").groupBy("qid", "doc_id").agg(F.sum("idf").alias("score"))
     return ranked(scored.withColumn("chunk_id", F.lit(0).cast("long")), k).withColumn("score", F.round("score", 6))
 
