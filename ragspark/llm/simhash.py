@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "_least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "roots")
     smallest = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return marked.join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
+    return marked.hint("merge").join(rooted.join(smallest, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

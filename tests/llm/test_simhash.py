@@ -88,3 +88,10 @@ def test_forest_connects_what_links_connect():
     codes = np.array([0, 1, 3, 7 << 40, (7 << 40) | 1, 7 << 50], dtype=np.int64)
     edges = simhash._forest(codes, 1)
     assert sorted(edges) == [(1, 0), (3, 0), ((7 << 40) | 1, 7 << 40)]
+
+
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    spark.range(50_000).selectExpr("xxhash64(id) fp").write.parquet(f"{tmp_path}/prints")
+    df = simhash.links(spark.read.parquet(f"{tmp_path}/prints"), 4)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
