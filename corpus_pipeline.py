@@ -41,7 +41,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (5-word shingles, Jaccard 0.8) the row with the smallest id, then text hash.
 
-    A null id comes last. Rows without a near copy stay, whatever their ids.
+    Candidates come from the SimHash operator and from MinHash bands and are verified on the whole sets. A null id
+    comes last. Rows without a near copy stay, whatever their ids.
     """
     docs = docs.select(*COLUMNS)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), copies.node("text").alias("node"))

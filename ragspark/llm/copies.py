@@ -1,8 +1,10 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates come from MinHash bands; whatever meets in a band is verified on the
-whole sets, so no pair is linked wrongly. A pair at the threshold itself meets
-in none of the bands with a probability of (1 - 0.8^ROWS)^BANDS, 7 in a million.
+Candidates are the components of SimHash fingerprints (covering LSH, as ``op3``
+finds them) and, as most pairs at the threshold differ in more bits than masks
+can cover, what meets in a MinHash band. Both are verified on the whole sets, so
+no pair is linked wrongly. A pair at the threshold itself meets in none of the
+bands with a probability of (1 - 0.8^ROWS)^BANDS, 7 in a million.
 """
 
 from __future__ import annotations
@@ -15,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.llm.shared import buckets_for, materialise, text_or_empty, tiled
-from ragspark.llm.simhash import components
+from ragspark.llm.simhash import components, near_duplicates
 from ragspark.llm.words import hashed_text, mix, window_hashes
 
 SHINGLE, BANDS, ROWS = 5, 30, 5
+#: Bits in which linked fingerprints differ at most.
+RADIUS = 4
 #: Jaccard similarity from which sets are linked, as a fraction.
 SIMILAR = (4, 5)
 #: Sets of a band's bucket that are compared in one cell.
@@ -103,9 +107,11 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     texts = docs.select(node(text).alias("_node"), text_or_empty(text).alias("_text"))
     keys = materialise(texts.mapInPandas(_band_keys, "_node long, keys array<long>"), "bands").dropDuplicates(["_node"])
-    posted = keys.select("_node", F.posexplode("keys").alias("t", "k"))
+    worded = texts.filter(F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
+    alike = materialise(near_duplicates(worded, "_node", "_text", SHINGLE, RADIUS).select("_node", "component_id").distinct(), "fingerprint-components")
+    posted = keys.select("_node", F.posexplode("keys").alias("t", "k")).union(alike.select("_node", F.lit(BANDS).alias("t"), F.col("component_id").alias("k")))
     cells = tiled(posted, ["t", "k"], "_node", CELL).groupBy("t", "k", "_lo", "_hi").agg(F.array_sort(F.collect_set("_node")).alias("nodes"))
-    # Near copies meet in many bands: cells of the same members are compared once.
+    # Near copies meet in many bands and mostly in a component: cells of the same members are compared once.
     cells = materialise(cells.filter(F.size("nodes") > 1).select("nodes").distinct(), "band-cells")
     members = cells.select(F.xxhash64("nodes").alias("cell"), F.explode("nodes").alias("_node"))
     active = texts.join(members.select("_node").distinct(), "_node", "left_semi").dropDuplicates(["_node"])

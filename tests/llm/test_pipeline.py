@@ -69,6 +69,25 @@ def test_near_dedup_matches_brute_force_jaccard(spark, docs, sf_dir):
     assert got == set(low) and len(pairs) > 30
 
 
+def test_near_dedup_finds_copies_by_fingerprints_and_verifies_them(spark, docs, sf_dir, monkeypatch):
+    from ragspark.llm import copies, simhash
+
+    def apart(batches):
+        for batch in batches:
+            rows = [(n, [n ^ k for k in range(copies.BANDS)]) for n in batch["_node"]]
+            yield type(batch)(rows, columns=["_node", "keys"])
+
+    monkeypatch.setattr(copies, "_band_keys", apart)
+    rng = random.Random(8)
+    body = rng.choices(WORDS, k=2000)
+    phrase = "again and once more then " * 2000
+    rows = [(1, " ".join(body)), (2, " ".join([*body[:-1], "changed"])), (3, phrase + " ".join(body[:40])), (4, phrase + " ".join(body[50:90])), (5, " \n"), (6, None)]
+    prints = [simhash.fingerprint(t, copies.SHINGLE) for _, t in rows]
+    assert (prints[0] ^ prints[1]).bit_count() <= 4 and (prints[2] ^ prints[3]).bit_count() <= 4
+    kept = corpus_pipeline.near_dedup(spark, docs(rows), sf_dir).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4, 5]
+
+
 def test_near_dedup_keeps_unlike_rows_of_one_id(spark, docs, sf_dir):
     rng = random.Random(3)
     one, two, three = (" ".join(rng.choices(WORDS, k=80)) for _ in range(3))
