@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import buckets_for, materialise, text_or_empty, tiled
+from ragspark.llm.shared import buckets_for, materialise, release_memory, text_or_empty, tiled
 from ragspark.llm.simhash import components, near_duplicates
 from ragspark.llm.words import hashed_text, mix, window_hashes
 
@@ -84,11 +84,13 @@ def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [(n, bands(s)) for n, t in zip(batch["_node"], batch["_text"], strict=True) if len(s := shingles(t))]
         yield pd.DataFrame(rows, columns=["_node", "keys"])
+    release_memory()
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({"_node": batch["_node"], "set": [shingles(t).tobytes() for t in batch["_text"]]})
+    release_memory()
 
 
 def _links(rows: pd.DataFrame) -> pd.DataFrame:

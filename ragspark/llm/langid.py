@@ -15,10 +15,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragspark.llm.shared import fresh, table
+from ragspark.llm.shared import fresh, release_memory, table
 
 #: Trigram buckets of a model.
 BUCKETS = 1 << 15
@@ -40,7 +41,7 @@ BATCH_CHARS = 1 << 18
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Code point to itself for a letter, to a space for anything else."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], dtype=np.uint32)
+    return np.fromiter((c if chr(c).isalpha() else 32 for c in range(0x110000)), dtype=np.uint32, count=0x110000)
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -178,18 +179,21 @@ def identify(
     is that proportion. A text that is null or has no letter gets ``und``, 0 and
     an empty mixture. Texts are read whole and rows handled one by one: repeated
     or null keys give a row each. A kept column with the name of an added one gives way.
+    A kept text travels once, and a batch's texts become Python strings a part at a time.
     """
     added = {"lang_pred": pa.string(), "score": pa.float64(), "mixture": pa.map_(pa.string(), pa.float64())}
     kept = [c for c in dict.fromkeys([key, *(keep or [])]) if c not in added]
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    at = kept.index(text) if text in kept else len(kept)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            part = np.cumsum([len(t) for t in texts]) // BATCH_CHARS
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            sizes = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            part = np.cumsum(sizes, dtype=np.int64) // BATCH_CHARS
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                parts = proportions(texts[a:b], model) if names else np.zeros((b - a, 1))
+                texts = [t or "" for t in batch.column(at).slice(a, b - a).to_pylist()]
+                parts = proportions(texts, model) if names else np.zeros((b - a, 1))
                 best, known = parts.argmax(axis=1).tolist(), (parts.sum(axis=1) > 0).tolist()
                 found = (
                     [names[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)],
@@ -198,8 +202,10 @@ def identify(
                 )
                 own = [batch.column(i).slice(a, b - a) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*own, *map(pa.array, found, added.values())], names=[*kept, *added])
+        release_memory()
 
-    return docs.select(*kept, F.col(text).alias(fresh("_text", kept))).mapInArrow(
+    texts = [] if text in kept else [F.col(text).alias(fresh("_text", kept))]
+    return docs.select(*kept, *texts).mapInArrow(
         predict, f"{fields}, lang_pred string, score double, mixture map<string,double>"
     )
 

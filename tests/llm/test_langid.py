@@ -114,3 +114,13 @@ def test_sets_are_those_of_a_plain_search(monkeypatch):
         assert values[got] >= best - 0.05, (trial, got, values)
         mixed += len(got) > 1
     assert mixed > 5
+
+
+def test_a_kept_text_travels_once(spark):
+    rows = [(1, "the cat and the dog"), (2, None), (3, "1234"), (4, "der Hund und die Katze " * 30000), (5, "the dog")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names, model = ["de", "en"], np.random.default_rng(1).dirichlet(np.ones(langid.BUCKETS), 2).T
+    kept, plain = langid.identify(df, names, model, keep=df.columns), langid.identify(df, names, model)
+    assert "_text" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["doc_id"], r["text"]) for r in kept.collect()] == rows
+    assert kept.drop("text").collect() == plain.collect()
