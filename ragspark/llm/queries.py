@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragspark.llm import decontaminate, langid, licenses, lines, neighbours, packing, secrets, sharding, simhash, substrings
+from ragspark.llm import decontaminate, langid, licenses, lines, neighbours, packing, quality, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_license_scans": licenses.op8_license_scans,
     "op9_packing": packing.op9_packing,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_quality_rules": quality.op11_quality_rules,
 }
 
 ORACLES = {
     "op1_sharding": sharding.OP1_SQL,
     "op8_license_scans": licenses.OP8_SQL,
+    "op11_quality_rules": quality.OP11_SQL,
 }
