@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ragspark.llm import decontaminate, langid, licenses, lines, neighbours, packing, quality, resampling, secrets, sharding, simhash, substrings
+from ragspark.llm import decontaminate, langid, licenses, lines, neighbours, packing, phrases, quality, resampling, secrets, sharding, simhash, substrings
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_quality_rules": quality.op11_quality_rules,
+    "op12_phrase_mining": phrases.op12_phrase_mining,
     "op13_importance_resampling": resampling.op13_importance_resampling,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op1_sharding": sharding.OP1_SQL,
     "op8_license_scans": licenses.OP8_SQL,
     "op11_quality_rules": quality.OP11_SQL,
+    "op12_phrase_mining": phrases.OP12_SQL,
     "op13_importance_resampling": resampling.OP13_SQL,
 }
