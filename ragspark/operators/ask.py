@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragspark.functions import citations as C
@@ -20,7 +20,11 @@ from ragspark.sources.storage import stored
 
 @dataclass(frozen=True)
 class Settings:
-    """Numbers of candidates and passages, caps by class, factors by status, and how answers are made."""
+    """Numbers of candidates and passages, what may be a candidate, caps by class and document, and how answers are made.
+
+    Classes in ``harvested`` and documents in ``lookup_only`` are no candidates;
+    they come only where a question names them, or, the former, by coupling.
+    """
 
     candidates: int = 20
     passages: int = 10
@@ -28,54 +32,122 @@ class Settings:
     parts_of_article: int = 2
     caps: dict[str, int] = field(default_factory=lambda: {"sentencia": 4, "voto": 1})
     factors: dict[str, float] = field(default_factory=lambda: {"derogado": 0.8, "inexequible": 0.7})
+    harvested: tuple[str, ...] = ()
+    lookup_only: tuple = ()
+    per_document: int | None = None
+    primary: str = "norma"
+    primaries: int = 0
+    coupled: int = 0
+    coupled_list: int = 300
+    core: int = 10
+    terms: Callable[[Column], Column] = T.index_terms
     policy: G.Policy = G.Policy()
 
 
-def named(questions: DataFrame, fragments: DataFrame, s: Settings) -> DataFrame:
-    """Fragments that questions(qid, text) name: those of a cited article, else the first of a cited norm."""
-    def key(b):
-        return F.concat_ws("/", b["tipo"], b["numero"], b["anio"])
+#: Words by which a question asks for case law, in normalised text.
+CASE_LAW = (r"\b(?:sentencias?|jurisprudencia\w*|precedentes?|providencias?|fallos?|corte constitucional|corte suprema|consejo de estado|ratio decidendi|"
+            r"magistrad[oa] ponente|salvamento|aclaracion de voto)\b")
+
+
+def named_bodies(questions: DataFrame, index: I.CitationIndex) -> DataFrame:
+    """(qid, body, article, tipo) that questions(qid, text) name, rulings without a year if only one may be meant."""
+    cites = questions.select("qid", F.explode(C.query_citations(F.col("text"))).alias("c"))
+    full = cites.select("qid", I.body_text(F.col("c")).alias("body"), F.lower("c.articulo").alias("article"), "c.tipo")
+    short = C.yearless_rulings(questions, index.rulings).select(
+        "qid", F.concat_ws("/", "tipo", "numero", "anio").alias("body"), F.lit(None).cast("string").alias("article"), "tipo")
+    return full.union(short).distinct()
 
-    cited = questions.select("qid", F.explode(C.query_citations(F.col("text"))).alias("c")).select("qid", key(F.col("c")).alias("body"), F.lower("c.articulo").alias("article")).distinct()
-    own = fragments.select("doc_id", "chunk_id", F.lower("articulo").alias("article"), F.explode(C.bodies(C.citations(F.col("norma")))).alias("b")).withColumn("body", key(F.col("b"))).drop("b")
-    cards = own.groupBy("body").agg(F.min_by("doc_id", "chunk_id").alias("doc_id"), F.min("chunk_id").alias("chunk_id"))
-    return V.lookup_hits(cited, own.filter("article IS NOT NULL"), cards, s.parts_of_article, s.lookup_hits)
 
+def named(questions: DataFrame, index: I.CitationIndex, s: Settings) -> DataFrame:
+    """Fragments that questions(qid, text) name: those of a cited article, else the card of a cited norm."""
+    cited = named_bodies(questions, index).drop("tipo")
+    return V.lookup_hits(cited, index.of("articles", cited).drop("part"), index.of("cards", cited), s.parts_of_article, s.lookup_hits)
 
-def candidates(questions: DataFrame, path: str, n: int, model: I.Model | None = None) -> DataFrame:
-    """The ``n`` best chunks of questions(qid, text): lexical, or fused with dense ones if there is an encoder."""
+
+def allowed(fragments: DataFrame, s: Settings) -> DataFrame | None:
+    """Chunks that may be candidates, as ``doc_id`` of the stored parts; None if all may."""
+    if not s.harvested and not s.lookup_only:
+        return None
+    free = F.lit(True)
+    if s.harvested:
+        free = free & ~F.coalesce(F.col("clase"), F.lit("")).isin(*s.harvested)
+    if s.lookup_only:
+        free = free & ~F.col("doc_id").isin(*s.lookup_only)
+    return fragments.filter(free).select(F.col("chunk_id").alias("doc_id"))
+
+
+def candidates(
+    questions: DataFrame, path: str, n: int, model: I.Model | None = None, only: DataFrame | None = None, terms: Callable[[Column], Column] = T.index_terms,
+) -> DataFrame:
+    """The ``n`` best chunks of questions(qid, text) among ``only``: lexical, or fused with dense ones if there is an encoder."""
     spark = questions.sparkSession
-    asked = V.query_terms(questions, T.index_terms(F.col("text")), "qid")
-    lexical = V.bm25_topk(I.load_lexical(spark, path, V.vocabulary_of(asked)), asked, n)
+    asked = V.query_terms(questions, terms(F.col("text")), "qid")
+    lexical = V.bm25_topk(I.load_lexical(spark, path, V.vocabulary_of(asked)), asked, n, only=only)
     if model is None:
         return lexical
     head = I.prefixes(model.name)["query"]
     vectors = questions.select("qid", model.encode(F.concat(F.lit(head), F.col("text"))).alias("v")).withColumn("v", I.normalised(F.col("v")))
     columns = ["qid", "doc_id", "chunk_id", "score", "pos"]
-    dense = V.dense_topk(vectors, I.load_dense(spark, path), n)
+    dense = V.dense_topk(vectors, V.masked(I.load_dense(spark, path), only), n)
     return R.rrf(dense.select(*columns).withColumn("list_ord", F.lit(0)).unionByName(lexical.select(*columns).withColumn("list_ord", F.lit(1)))).filter(F.col("pos") <= n)
 
 
+def preselected(questions: DataFrame, path: str, fragments: DataFrame, s: Settings, model: I.Model | None = None) -> DataFrame:
+    """Candidates for the reranker: capped by class out of three times as many, with ``s.primaries`` primaries among them."""
+    about = ["doc_id", "chunk_id", "clase", "vigencia", "texto"]
+
+    def held(n: int, only: DataFrame | None) -> DataFrame:
+        found = candidates(questions, path, n, model, only, s.terms).select("qid", "pos", F.col("doc_id").alias("chunk_id"))
+        return found.join(fragments.select(*about), "chunk_id").withColumn("score", F.lit(0.0))
+
+    mask = allowed(fragments, s)
+    first = stored(R.type_quota(held(3 * s.candidates, mask), s.caps, s.candidates, factor=s.candidates / s.passages), "preselected")
+    if not s.primaries:
+        return first
+    own = fragments.filter(F.col("clase") == s.primary).select(F.col("chunk_id").alias("doc_id"))
+    best = held(s.primaries, own if mask is None else V.masked(own, mask))
+    return stored(R.guarantee(first, best, s.candidates, F.col("clase") == s.primary), "with-primaries")
+
+
+def by_coupling(questions: DataFrame, path: str, fragments: DataFrame, index: I.CitationIndex, first: DataFrame, s: Settings) -> DataFrame:
+    """Harvested rulings for questions that ask for case law and name none, by the norms that they share with the question."""
+    cites = named_bodies(questions, index)
+    asks = questions.filter(T.norm(F.col("text")).rlike(CASE_LAW)).join(cites.filter("tipo = 'jurisprudencia'").select("qid").distinct(), "qid", "left_anti")
+    harvested = fragments.filter(F.col("clase").isin(*s.harvested))
+    lists = candidates(asks, path, s.coupled_list, None, harvested.select(F.col("chunk_id").alias("doc_id")), s.terms)
+    lists = lists.select("qid", "pos", F.col("doc_id").alias("chunk_id")).join(harvested.select("doc_id", "chunk_id"), "chunk_id")
+    norms = index.norms.filter(~F.col("body").startswith("jurisprudencia/"))
+    core = V.core_bodies(cites.filter("tipo <> 'jurisprudencia'"), first, norms, s.core, F.col("clase") == s.primary)
+    edges = index.cited.join(harvested.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body")
+    return V.coupled(lists, edges, stored(core.join(asks.select("qid"), "qid", "left_semi"), "core"), s.coupled)
+
+
 def retrieve(questions: DataFrame, path: str, s: Settings = Settings(), model: I.Model | None = None, scorer: M.Scorer = M.token_overlap, rules: DataFrame | None = None) -> DataFrame:
     """The passages of questions(qid, text), ``s.passages`` at most, from the index at ``path``.
 
-    Three times the candidates are fetched and capped by class; what is left is
-    reranked, lowered where it is no longer in force, put behind what the
-    question names, and capped once more. Fixed passages of rules take the last
-    places.
+    Candidates are preselected, joined by rulings that share their norms,
+    reranked, lowered where no longer in force and capped by document; they come
+    behind what the question names, and are capped by class once more. Fixed
+    passages of rules take the last places.
     """
-    fragments = I.load_fragments(questions.sparkSession, path)
-    found = candidates(questions, path, 3 * s.candidates, model).select("qid", "pos", F.col("doc_id").alias("chunk_id"))
-    held = found.join(fragments, "chunk_id").withColumn("score", F.lit(0.0))
-    first = R.type_quota(held, s.caps, s.candidates, factor=s.candidates / s.passages)
+    spark = questions.sparkSession
+    fragments, cites = I.load_fragments(spark, path), I.load_citations(spark, path)
+    first = preselected(questions, path, fragments, s, model)
+    if s.coupled and s.harvested:
+        more = by_coupling(questions, path, fragments, cites, first, s).select("qid", "doc_id", "chunk_id", F.col("pos").alias("_more"))
+        fresh = more.join(first.select("qid", *R.KEY), ["qid", *R.KEY], "left_anti").join(fragments.select("doc_id", "chunk_id", "clase", "vigencia", "texto"), ["doc_id", "chunk_id"])
+        behind = fresh.select("qid", (F.col("_more") + 4 * s.candidates).alias("pos"), "doc_id", "chunk_id", "clase", "vigencia", "texto", F.lit(0.0).alias("score"))
+        first = first.select(*behind.columns).unionByName(behind)
     ranked = R.penalise(M.reranked(first, questions, scorer), s.factors)
+    if s.per_document:
+        ranked = R.per_document_cap(ranked, s.per_document, s.passages)
     columns = ["qid", "pos", "doc_id", "chunk_id", "score", "clase", "fuente"]
     listed = stored(ranked.withColumn("fuente", F.lit("rerank")).select(*columns).withColumn("list_ord", F.lit(0)), "reranked")
     about = fragments.select("chunk_id", "clase")
-    looked = named(questions, fragments, s).join(about, "chunk_id").withColumns({"score": F.lit(1.0), "fuente": F.lit("lookup")}).select(*columns)
+    looked = named(questions, cites, s).join(about, "chunk_id").withColumns({"score": F.lit(1.0), "fuente": F.lit("lookup")}).select(*columns)
     looked = stored(looked, "lookup")
     fixed = V.rule_hits(questions, rules, s.passages).join(about, "chunk_id").withColumns({"score": F.lit(1.0), "fuente": F.lit("valores")}).select(*columns) if rules is not None else looked.limit(0)
-    long = R.fuse(looked, listed, fixed.limit(0), s.lookup_hits + 3 * s.candidates)
+    long = R.fuse(looked, listed, fixed.limit(0), s.lookup_hits + 4 * s.candidates + s.coupled)
     capped = stored(R.type_quota(long, s.caps, s.passages, F.col("fuente") == "lookup"), "capped")
     final = R.fuse(capped.limit(0), capped.withColumn("list_ord", F.lit(0)), fixed, s.passages)
     return final.drop("clase").join(fragments, ["doc_id", "chunk_id"])

@@ -10,13 +10,20 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ragspark.functions import citations as C
 from ragspark.functions import text as T
-from ragspark.operators.retrieval import LexicalIndex, lexical_index, reuse_vectors
+from ragspark.operators.retrieval import MOST_TERMS, LexicalIndex, document_ranges, lexical_index, reuse_vectors
+from ragspark.sources.storage import stored
 
 #: Version of the tokens that the lexical part holds.
 TOKENS_VERSION = 1
-PARTS = ("lexical", "dense")
+#: Version of the patterns that the citation part was read with.
+CITATIONS_VERSION = 1
+PARTS = ("lexical", "dense", "citations")
+#: Rows of a bucket of the citation part, and the most buckets of one table.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 4096
 #: What encoders of the E5 family want before queries and passages; others want nothing.
 E5_PREFIXES = {"query": "query: ", "passage": "passage: "}
 
@@ -111,6 +118,104 @@ def build_dense(spark: SparkSession, path: str, model: Model, reuse: bool = True
     return {"reused": reused, "encoded": total - reused}
 
 
+@dataclass(frozen=True)
+class CitationIndex:
+    """Stored tables of who is cited as what, each in directories by a hash of its body.
+
+    ``norms(body, doc_id, inicio, fin)`` are the documents that a body names,
+    ``articles(body, article, doc_id, chunk_id, part)`` the fragments of their
+    articles, ``cards(body, doc_id, chunk_id)`` where a document that is named
+    whole is opened, ``rulings(numero, anio)`` those that a number may name, and
+    ``cited(body, doc_id)`` the bodies that a document's fragments cite, its own
+    left out.
+    """
+
+    norms: DataFrame
+    articles: DataFrame
+    cards: DataFrame
+    rulings: DataFrame
+    cited: DataFrame
+    buckets: dict[str, int]
+
+    def of(self, name: str, asked: DataFrame) -> DataFrame:
+        """The rows of a table whose body is among asked(body); only the directories of those bodies are read.
+
+        The numbers of the directories, MOST_BUCKETS at most, pass the driver.
+        """
+        keyed = stored(asked.select("body").distinct().withColumn("bucket", _bucket(F.col("body"), self.buckets[name])), "asked-bodies")
+        held = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()
+        few = sum(r["n"] for r in held) <= MOST_TERMS
+        rows = getattr(self, name).filter(F.col("bucket").isin([r["bucket"] for r in held]))
+        return rows.join(F.broadcast(keyed) if few else keyed, ["bucket", "body"], "left_semi").drop("bucket")
+
+
+def _bucket(body: Column, n: int) -> Column:
+    return F.pmod(F.xxhash64(body), F.lit(n)).cast("int")
+
+
+def body_text(b: Column) -> Column:
+    """A body (tipo, numero, anio) in one word, parts that are missing left out."""
+    return F.concat_ws("/", b["tipo"], b["numero"], b["anio"])
+
+
+def _store_bucketed(rows: DataFrame, path: str) -> int:
+    """Rows in directories by the bucket of their body, sorted within each file; tells the number of buckets."""
+    n = min(MOST_BUCKETS, 1 + rows.count() // BUCKET_ROWS)
+    dealt = rows.withColumn("bucket", _bucket(F.col("body"), n))
+    # A hot body is dealt over files by its document too, so no task writes a third of a table.
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(16))
+    dealt.repartition("bucket", spread).sortWithinPartitions("bucket", *rows.columns).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return n
+
+
+def citation_tables(fragments: DataFrame) -> dict[str, DataFrame]:
+    """The tables of a ``CitationIndex`` from fragments(doc_id, chunk_id, norma, texto[, articulo, seccion, numero]).
+
+    A document's norm is read once, that of its first fragment; its card is its
+    first fragment of the section ``ficha``, or its first one.
+    """
+    has = set(fragments.columns)
+    article = F.lower("articulo") if "articulo" in has else F.lit(None).cast("string")
+    card = F.min(F.when(F.col("seccion") == "ficha", F.col("chunk_id"))) if "seccion" in has else F.lit(None).cast("long")
+    rows = fragments.select("*", article.alias("article"))
+    about = rows.groupBy("doc_id").agg(F.min_by("norma", "chunk_id").alias("norma"), F.coalesce(card, F.min("chunk_id")).alias("card"))
+    own = about.withColumn("b", F.explode(C.bodies(C.citations(F.col("norma"))))).select("doc_id", "card", "b.*", body_text(F.col("b")).alias("body"))
+    norms = own.select("body", "doc_id").join(document_ranges(fragments), "doc_id").select("body", "doc_id", "inicio", "fin")
+    part = F.row_number().over(Window.partitionBy("body", "doc_id", "article").orderBy("chunk_id"))
+    articles = rows.filter("article IS NOT NULL").select("doc_id", "chunk_id", "article").join(own.select("body", "doc_id"), "doc_id").select(
+        "body", "article", "doc_id", "chunk_id", part.alias("part"))
+    named = rows.select("doc_id", F.explode(C.bodies(C.citations(F.col("texto")))).alias("b")).select("doc_id", body_text(F.col("b")).alias("body")).distinct()
+    return {
+        "norms": norms, "articles": articles, "cards": own.select("body", "doc_id", F.col("card").alias("chunk_id")),
+        "rulings": own.filter("tipo = 'jurisprudencia'").select("numero", "anio").distinct(),
+        "cited": named.join(own.select("doc_id", "body"), ["doc_id", "body"], "left_anti").select("body", "doc_id"),
+    }
+
+
+def build_citations(spark: SparkSession, path: str) -> None:
+    """The citation part of the index: no later question reads citations from fragments."""
+    about = {}
+    for name, rows in citation_tables(spark.read.parquet(f"{path}/fragments")).items():
+        place = f"{path}/citations/{name}"
+        about[f"schema {name}"] = ", ".join(f"{c} {t}" for c, t in rows.dtypes)
+        if name == "rulings":
+            rows.coalesce(1).write.mode("overwrite").parquet(place)
+        else:
+            about[f"buckets {name}"] = _store_bucketed(stored(rows, f"citations-{name}"), place)
+    _note(spark, path, "citations", fingerprint=notes(spark, path, "fragments")["fingerprint"], patterns=CITATIONS_VERSION, **about)
+
+
+def load_citations(spark: SparkSession, path: str) -> CitationIndex:
+    """The stored citation part; one of other fragments, or read with other patterns, is an error."""
+    found = _checked(spark, path, "citations")
+    if found["patterns"] != str(CITATIONS_VERSION):
+        raise ValueError(f"the citation part was read with patterns of version {found['patterns']}, not {CITATIONS_VERSION}: rebuild the index")
+    counts = {n: int(found[f"buckets {n}"]) for n in ("norms", "articles", "cards", "cited")}
+    tables = {n: spark.read.schema(found[f"schema {n}"] + ", bucket int").parquet(f"{path}/citations/{n}") for n in counts}
+    rulings = spark.read.schema(found["schema rulings"]).parquet(f"{path}/citations/rulings")
+    return CitationIndex(**tables, rulings=rulings, buckets=counts)
+
+
 def stale_parts(spark: SparkSession, path: str) -> list[str]:
     """Parts that were made from other fragments than those stored now."""
     own, out = notes(spark, path, "fragments")["fingerprint"], []

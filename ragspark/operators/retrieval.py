@@ -156,6 +156,37 @@ def coupling(edges: DataFrame, core: DataFrame, k: int) -> DataFrame:
     return ranked(scored.withColumn("chunk_id", F.lit(0).cast("long")), k).withColumn("score", F.round("score", 6))
 
 
+def best_fragments(listed: DataFrame) -> DataFrame:
+    """Of listed(qid, pos, doc_id, chunk_id) the first fragment of each document of a query, with its place as ``rango``."""
+    best = listed.groupBy("qid", "doc_id").agg(F.min(F.struct("pos", "chunk_id")).alias("b"))
+    return best.select("qid", "doc_id", "b.chunk_id", F.col("b.pos").alias("rango"))
+
+
+def core_bodies(named: DataFrame, candidates: DataFrame, norms: DataFrame, first: int, is_primary: Column) -> DataFrame:
+    """(qid, body) a query is about: those it names, and the norms of the ``first`` primaries of its candidates(qid, pos, doc_id)."""
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("pos"))
+    primaries = candidates.filter(is_primary).withColumn("_place", place).filter(F.col("_place") <= first).select("qid", "doc_id").distinct()
+    return named.select("qid", "body").union(primaries.join(norms.select("doc_id", "body"), "doc_id").select("qid", "body")).distinct()
+
+
+def coupled(listed: DataFrame, edges: DataFrame, core: DataFrame, n: int) -> DataFrame:
+    """One fragment each of the ``n`` documents of listed(qid, pos, doc_id, chunk_id) that share most with core(qid, body).
+
+    A shared body counts its idf among edges(doc_id, body), which are distinct.
+    Equal sums go by the place in the list, then by the document; documents that
+    share nothing rare are left out. Edges are cut to the documents listed
+    before they meet the core, so common bodies cost no more than the lists.
+    """
+    total = edges.select("doc_id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    best = best_fragments(listed)
+    own = edges.join(best.select("doc_id").distinct(), "doc_id", "left_semi")
+    idf = edges.join(core.select("body").distinct(), "body", "left_semi").groupBy("body").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(total))
+    weights = idf.select("body", F.log(F.col("n") / F.col("df")).alias("idf"))
+    shared = best.join(own, "doc_id").join(core.select("qid", "body").distinct().join(weights, "body"), ["qid", "body"])
+    scored = shared.groupBy("qid", "doc_id", "chunk_id", "rango").agg(F.round(F.sum("idf"), 9).alias("score")).filter("score > 0")
+    return ranked(scored, n, [F.desc("score"), F.col("rango"), F.col("doc_id")])
+
+
 def contained_items(docs: DataFrame, items: DataFrame, at_once: int = 5000) -> DataFrame:
     """(doc_id, item_id) of all items(item_id, text) that stand literally in docs(doc_id, text), whatever their length.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ragspark.operators import ask as Q
 from ragspark.operators import index as I
+from ragspark.operators import ranking as R
 from ragspark.operators import retrieval as V
 from ragspark.plans import answering_queries as W
 from ragspark.plans.registry import query, table
@@ -60,6 +61,89 @@ def ask_questions(spark, d):
     path = scratch(spark, f"index-{uuid.uuid4().hex}")
     I.store_fragments(fragments(spark, d), path)
     I.build_lexical(spark, path)
+    I.build_citations(spark, path)
     found = Q.ask(spark, W.questions(spark, d), path)
     said = F.when(F.col("formato") == "multiple_choice", F.col("respuesta_correcta")).when(F.col("formato") == "semi_open", F.col("respuesta")).otherwise(F.col("analisis"))
     return found.select("id", (F.coalesce(said, F.lit("")) != "").alias("respondida"), F.col("error").isNotNull().alias("con_error"))
+
+
+#: Three fragments a document; odd documents are laws, even ones rulings; a text cites two more norms, told by the row.
+CITING_SQL = """f AS (SELECT doc_id AS chunk_id, 'd' || doc_id // 3 AS doc, doc_id // 3 % 2 AS law, doc_id // 3 AS n, (doc_id % 3)::varchar AS article, doc_id,
+  coalesce(length(text), 0) % 70 + 10 AS other, coalesce(length(text), 0) % 7 + 2000 AS year FROM documents),
+own AS (SELECT DISTINCT doc, n, law, CASE WHEN law = 1 THEN 'ley/' || n || '/' || (1990 + n % 30) ELSE 'jurisprudencia/C-' || n || '/' || (1992 + n % 30) END AS body FROM f)"""
+
+
+def citing_fragments(spark, d):
+    """The documents as fragments that name their norm and cite others."""
+    k = F.col("doc_id")
+    n = F.floor(k / 3)
+    size = F.coalesce(F.length("text"), F.lit(0))
+    norm = F.when(n % 2 == 1, F.concat(F.lit("Ley "), n.cast("string"), F.lit(" de "), (1990 + n % 30).cast("string"))).otherwise(
+        F.concat(F.lit("Sentencia C-"), n.cast("string"), F.lit(" de "), (1992 + n % 30).cast("string")))
+    cites = F.concat(norm, F.lit(". Según la Ley "), (size % 70 + 10).cast("string"), F.lit(" de "), (size % 7 + 2000).cast("string"), F.lit(" y la Sentencia T-"),
+                     (size % 70 + 10).cast("string"), F.lit(" de "), (size % 7 + 2000).cast("string"), F.lit("."))
+    return table(spark, d, "documents").select(
+        F.concat(F.lit("d"), n.cast("string")).alias("doc_id"), k.alias("chunk_id"), norm.alias("norma"), F.when(n % 2 == 1, (k % 3).cast("string")).alias("articulo"),
+        F.when((n % 2 == 0) & (k % 3 == 1), "ficha").alias("seccion"), cites.alias("texto"), F.when(n % 2 == 1, "norma").otherwise("sentencia").alias("clase"), F.lit("vigente").alias("vigencia"))
+
+
+def citing_index(spark, d):
+    path = scratch(spark, f"index-{uuid.uuid4().hex}")
+    I.store_fragments(citing_fragments(spark, d), path)
+    I.build_citations(spark, path)
+    return path
+
+
+@query(f"""WITH {CITING_SQL}, named AS (SELECT DISTINCT doc, 'ley/' || other || '/' || year AS body FROM f UNION SELECT DISTINCT doc, 'jurisprudencia/T-' || other || '/' || year FROM f)
+SELECT 'norms' AS part, body, own.doc, NULL AS article, min(chunk_id) AS a, max(chunk_id) + 1 AS b FROM own JOIN f USING (doc) GROUP BY body, own.doc
+UNION ALL SELECT 'articles', body, own.doc, article, chunk_id, row_number() OVER (PARTITION BY body, own.doc, article ORDER BY chunk_id) FROM own JOIN f USING (doc) WHERE own.law = 1
+UNION ALL SELECT 'cards', body, own.doc, NULL, coalesce(min(chunk_id) FILTER (own.law = 0 AND chunk_id % 3 = 1), min(chunk_id)), NULL FROM own JOIN f USING (doc) GROUP BY body, own.doc
+UNION ALL SELECT 'cited', body, doc, NULL, NULL, NULL FROM named ANTI JOIN own USING (doc, body)""")
+def citation_tables(spark, d):
+    """The stored citation part of an index: norms with their ranges, articles, cards and what documents cite."""
+    found = I.load_citations(spark, citing_index(spark, d))
+    none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
+    parts = (
+        ("norms", text, F.col("inicio"), F.col("fin")), ("articles", F.col("article"), F.col("chunk_id"), F.col("part").cast("long")),
+        ("cards", text, F.col("chunk_id"), none), ("cited", text, none, none))
+    out = [getattr(found, n).select(F.lit(n).alias("part"), "body", F.col("doc_id").alias("doc"), article.alias("article"), a.alias("a"), b.alias("b")) for n, article, a, b in parts]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+@query(f"""WITH {CITING_SQL}, q AS (SELECT item_id AS qid, item_id % (SELECT max(n) FROM f) + 1 AS n, item_id % 4 AS article FROM benchmark),
+a AS (SELECT qid, q.n, doc, chunk_id, 1 AS rank FROM q JOIN f ON f.n = q.n AND f.law = 1 AND f.article = q.article::varchar),
+c AS (SELECT qid, q.n, own.doc, CASE WHEN own.law = 0 THEN coalesce(min(chunk_id) FILTER (chunk_id % 3 = 1), min(chunk_id)) ELSE min(chunk_id) END AS chunk_id, 2 AS rank
+  FROM q JOIN own ON own.n = q.n JOIN f USING (doc) WHERE qid NOT IN (SELECT qid FROM a) GROUP BY qid, q.n, own.doc, own.law)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, doc) AS pos, doc, chunk_id FROM (SELECT * FROM a UNION ALL SELECT * FROM c)""")
+def stored_lookup(spark, d):
+    """Fragments that questions name by article, by norm, and by rulings without a year, from stored tables."""
+    path = citing_index(spark, d)
+    top = citing_fragments(spark, d).agg(F.max(F.floor(F.col("chunk_id") / 3)).alias("top"))
+    n, k = F.col("item_id") % F.col("top") + 1, F.col("item_id")
+    law = F.concat(F.lit("el artículo "), (k % 4).cast("string"), F.lit(" de la Ley "), n.cast("string"), F.lit(" de "), (1990 + n % 30).cast("string"))
+    asked = table(spark, d, "benchmark").crossJoin(F.broadcast(top)).select(
+        k.alias("qid"), F.concat(F.lit("¿Qué dispone "), F.when(n % 2 == 1, law).otherwise(F.concat(F.lit("la sentencia C-"), n.cast("string"))), F.lit("?")).alias("text"))
+    found = Q.named(asked, I.load_citations(spark, path), Q.Settings())
+    return found.select("qid", "pos", F.col("doc_id").alias("doc"), "chunk_id")
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 200 AS body FROM lineitem WHERE l_orderkey % 3 = 0),
+l AS (SELECT l_suppkey % 20 AS qid, l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos
+  FROM lineitem),
+mine AS (SELECT * FROM l WHERE doc_id % 3 = 0 AND pos <= 900), best AS (SELECT qid, doc_id, min(pos) AS rango, arg_min(chunk_id, pos) AS chunk_id FROM mine GROUP BY ALL),
+prim AS (SELECT qid, doc_id FROM l WHERE doc_id % 3 = 1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY pos) <= 5),
+core AS (SELECT DISTINCT p_size % 20 AS qid, p_partkey % 200 AS body FROM part WHERE p_size < 20 AND p_partkey % 9 = 0 UNION SELECT DISTINCT qid, doc_id % 200 FROM prim),
+i AS (SELECT body, ln((SELECT count(DISTINCT doc_id) FROM e)::double / count(*)) AS idf FROM e GROUP BY body),
+s AS (SELECT qid, doc_id, chunk_id, rango, round(sum(idf), 9) AS score FROM best JOIN e USING (doc_id) JOIN core USING (qid, body) JOIN i USING (body) GROUP BY ALL),
+r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rango, doc_id) AS pos, doc_id, chunk_id, round(score, 6) AS score FROM s WHERE score > 0)
+SELECT * FROM r WHERE pos <= 10""")
+def coupled_rulings(spark, d):
+    """One best fragment of each document listed, by what it shares with the core of the question, then by its place in the list."""
+    items = table(spark, d, "lineitem")
+    edges = items.filter("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 200).alias("body")).distinct()
+    lists = R.ranked(items.select((F.col("l_suppkey") % 20).alias("qid"), F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), "l_extendedprice"),
+                     None, [F.desc("l_extendedprice"), F.col("doc_id"), F.col("chunk_id")])
+    named = table(spark, d, "part").filter("p_size < 20 AND p_partkey % 9 = 0").select((F.col("p_size") % 20).alias("qid"), (F.col("p_partkey") % 200).alias("body"))
+    norms = items.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") % 200).alias("body")).distinct()
+    core = V.core_bodies(named, lists, norms, 5, F.col("doc_id") % 3 == 1)
+    return V.coupled(lists.filter("doc_id % 3 = 0 AND pos <= 900"), edges, core, 10).select("qid", "pos", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
