@@ -5,11 +5,14 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ragspark.functions import text as T
 from ragspark.operators import fragments as S
 from ragspark.plans.registry import query, table
+from ragspark.sources import lines as L
 from ragspark.sources import norms as N
+from ragspark.sources import pages as P
 from ragspark.sources import records as R
 from ragspark.sources import rulings as G
 from ragspark.sources.storage import scratch, stored
@@ -37,16 +40,16 @@ def run_log(spark, d):
     return R.finished(spark, path, rows.schema, trace)[0]
 
 
-@query("""SELECT p_partkey % 20 AS doc, p_partkey AS n, 'ARTÍCULO ' || p_partkey || '. ' || p_name AS texto FROM part""")
+@query("""SELECT p_partkey // 10 AS doc, p_partkey AS n, 'ARTÍCULO ' || p_partkey || '. ' || p_name AS texto FROM part""")
 def senate_articles(spark, d):
-    """Pages of ``part`` as articles, in order."""
+    """Pages of ten rows of ``part`` as articles, in order."""
     k = F.col("p_partkey")
     line = F.concat(F.lit('<p><a class="bookmarkaj">ARTÍCULO '), k.cast("string"), F.lit("o.</a> "), F.col("p_name"), F.lit("</p>"))
-    pages = table(spark, d, "part").groupBy((k % 20).alias("doc")).agg(F.array_sort(F.collect_list(F.struct(k, line.alias("h")))).alias("l")).select(
-        F.col("doc").cast("string").alias("doc_id"), F.lit("senado").alias("parser"), F.lit(0).alias("ord"), F.lit("p.html").alias("nombre"),
+    pages = table(spark, d, "part").groupBy(F.floor(k / 10).alias("doc")).agg(F.array_sort(F.collect_list(F.struct(k, line.alias("h")))).alias("l")).select(
+        F.col("doc").cast("string").alias("doc_id"), F.lit(0).alias("ord"),
         F.concat(F.lit("<!--Inicio documento-->"), F.array_join(F.transform("l", lambda x: x["h"]), ""), F.lit("<!--Fin documento-->")).alias("contenido"), F.lit(None).cast("string").alias("notas_js"))
-    found = N.parsed(pages).select(F.col("doc_id").cast("long").alias("doc"), F.explode("articulos").alias("a"))
-    return found.select("doc", F.col("a.articulo").cast("long").alias("n"), F.regexp_replace(F.element_at("a.parrafos", 1), r"^(ARTÍCULO \d+)o", "$1").alias("texto"))
+    found = N.senate(pages)
+    return found.select(F.col("doc_id").cast("long").alias("doc"), F.col("articulo").cast("long").alias("n"), F.regexp_replace("texto", r"^(ARTÍCULO \d+)o", "$1").alias("texto"))
 
 
 @query("SELECT o_orderkey AS id, 'Sala: X' AS x, o_custkey::varchar AS tipo, 't ' || o_orderkey AS resto FROM orders")
@@ -141,6 +144,153 @@ def markdown_articles(spark, d):
 
 
 def _articles(rows, key, parser, name, text):
-    pages = rows.select(key.alias("doc_id"), F.lit(parser).alias("parser"), F.lit(0).alias("ord"), F.lit(name).alias("nombre"), text.alias("contenido"), F.lit(None).cast("string").alias("notas_js"))
-    found = N.parsed(pages).select(F.col("doc_id").cast("long").alias("id"), F.explode("articulos").alias("a"))
+    pages = rows.select(key.alias("doc_id"), F.lit(0).alias("ord"), F.lit(name).alias("nombre"), text.alias("contenido"))
+    found = N.documents(N.READERS[parser](pages)).select(F.col("doc_id").cast("long").alias("id"), F.explode("articulos").alias("a"))
     return found.select("id", "a.articulo", F.array_join("a.parrafos", "|").alias("texto"))
+
+
+#: Lines of a document, each under a title that its length chooses.
+TITLES = ("I. ANTECEDENTES", "II. PRUEBAS", "III. CONSIDERACIONES", "2. ANTECEDENTES", "IV. DECISIÓN", "SALVAMENTO DE VOTO", "ANEXO 1", "3.1 El caso")
+TITLE_OF = ("antecedentes", "pruebas", "consideraciones", "antecedentes", "decision", "salvamento_voto", "anexo", None)
+LINES_SQL = """l AS (SELECT doc_id, i, length(x) AS size, (length(x) + doc_id) % 8 AS k FROM (
+  SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)))"""
+
+
+def document_lines(spark, d):
+    """(doc_id, i, size, k) of the lines of ``documents``, ``i`` from 1."""
+    rows = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    size = F.length("x")
+    return rows.select("doc_id", (F.col("i") + 1).alias("i"), size.alias("size"), ((size + F.col("doc_id")) % 8).cast("int").alias("k"))
+
+
+@query(f"""WITH {LINES_SQL},
+r AS (SELECT doc_id, 2 * i AS pos, ['{"', '".join(TITLES)}'][k + 1] AS texto, ['{"', '".join(x or "-" for x in TITLE_OF)}'][k + 1] AS s FROM l
+  UNION ALL SELECT doc_id, 2 * i + 1, CASE WHEN size % 11 = 0 THEN 'Notifíquese y cúmplase.' WHEN size % 13 = 0 THEN 'EL SUSCRITO SECRETARIO' ELSE 'línea de ' || size || ' letras.' END, NULL FROM l),
+o AS (SELECT *, CASE s WHEN 'antecedentes' THEN 2 WHEN 'pruebas' THEN 7 WHEN 'consideraciones' THEN 8 WHEN 'decision' THEN 9 WHEN 'salvamento_voto' THEN 10 WHEN 'anexo' THEN 11 END AS o FROM r),
+m AS (SELECT *, coalesce(max(CASE WHEN o < 11 THEN o END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS far FROM o),
+b AS (SELECT *, coalesce(CASE o WHEN 11 THEN far >= 9 WHEN 10 THEN true ELSE o > far END, false) AS opens FROM m),
+n AS (SELECT *, sum(opens::int) OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM b),
+c AS (SELECT *, coalesce(max(CASE WHEN opens THEN s END) OVER (PARTITION BY doc_id, n), 'cuerpo') AS seccion FROM n),
+e AS (SELECT *, min(CASE WHEN NOT opens AND (texto = 'EL SUSCRITO SECRETARIO' OR (seccion = 'decision' AND texto LIKE 'Notif%')) THEN pos END) OVER (PARTITION BY doc_id, n) AS stop FROM c),
+kept AS (SELECT *, CASE WHEN NOT opens AND seccion <> 'decision' AND (texto IN ('2. ANTECEDENTES', '3.1 El caso', 'I. ANTECEDENTES', 'II. PRUEBAS', 'III. CONSIDERACIONES', 'IV. DECISIÓN')) THEN texto END AS sub
+  FROM e WHERE opens OR ((stop IS NULL OR pos <= stop) AND texto <> 'EL SUSCRITO SECRETARIO'))
+SELECT doc_id AS id, n::bigint AS n, seccion, count(*) AS parrafos, md5(string_agg(texto, '|' ORDER BY pos)) AS hash, count(DISTINCT sub) AS subtitulos FROM kept GROUP BY doc_id, n, seccion""")
+def rulings_by_section(spark, d):
+    """Pages made of the lines of ``documents``, with notes at the foot, by sections that only go forward."""
+    title = F.element_at(F.array(*[F.lit(x) for x in TITLES]), F.col("k") + 1)
+    said = F.when(F.col("size") % 11 == 0, "Notifíquese y cúmplase.").when(F.col("size") % 13 == 0, "EL SUSCRITO SECRETARIO").otherwise(
+        F.concat(F.lit("l&iacute;nea&nbsp;de "), F.col("size").cast("string"), F.lit(' letras.<a href="#_ftn1" name="_ftnref1">[1]</a>')))
+    html = F.concat(F.lit("<p class=MsoNormal>"), title, F.lit("</p>\n<p>"), said, F.lit("</p>"))
+    pages = document_lines(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", html.alias("h")))).alias("l")).select(
+        F.col("doc_id").alias("id"), F.concat(F.lit("<html><head><style>p {}</style></head><body><p>SENTENCIA</p>"), F.array_join(F.transform("l", lambda x: x["h"]), "\n"),
+                                              F.lit("<div id=ftn1><p>[1] Nota al pie.</p></div></body></html>")).alias("html"))
+    rows = G.sections(G.paragraphs(pages, "id", "html"), "id")
+    listed = F.array_sort(F.collect_list(F.struct("pos", "texto")))
+    return rows.groupBy("id", "n", "seccion").agg(F.count(F.lit(1)).alias("parrafos"), F.md5(F.array_join(F.transform(listed, lambda x: x["texto"]), "|")).alias("hash"), F.countDistinct("sub").alias("subtitulos"))
+
+
+@query("""WITH h AS (SELECT o_orderkey AS id, o_custkey AS c, o_orderkey % 4 AS k FROM orders)
+SELECT id, CASE k WHEN 0 THEN 'Ana Gil|Luz de la Paz' WHEN 1 THEN 'Eva Mar' ELSE '' END AS ponentes, CASE WHEN k = 3 THEN 'fallo de mayo de ' || (1990 + c % 30) ELSE 'Bogotá, D.C., ' || (1 + c % 28) || ' de mayo de 2010' END AS fecha,
+  CASE WHEN k <> 2 THEN 'Expediente D-' || c END AS referencia, CASE WHEN k = 2 THEN 'Actor: X' ELSE 'Actor: X|otra línea ' || c END AS otros,
+  CASE WHEN k = 3 THEN 'fallo de mayo de ' || (1990 + c % 30) || '|' ELSE '' END || 'DERECHO-' || c || CASE WHEN k = 2 THEN '|otra línea ' || c ELSE '' END AS descriptores FROM h""")
+def ruling_cards(spark, d):
+    """Judges, date, reference, the rest and the descriptors of pages made of ``orders``."""
+    k, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    judges = F.when(k == 0, "<p>Magistrada ponente:</p><p>Dra. Ana Gil</p><p>Luz de la Paz</p>").when(k == 1, "<p>Magistrado sustanciador: Eva Mar.</p>").otherwise("")
+    reference = F.when(k != 2, F.concat(F.lit("<p>Expediente D-"), c, F.lit("</p>"))).otherwise("")
+    date = F.when(k == 3, "").otherwise(F.concat(F.lit("<p>Bogotá, D.C., "), (1 + F.col("o_custkey") % 28).cast("string"), F.lit(" de mayo de 2010.</p>")))
+    old = F.when(k == 3, F.concat(F.lit("<p>fallo de mayo de "), (1990 + F.col("o_custkey") % 30).cast("string"), F.lit("</p>"))).otherwise("")
+    html = F.concat(F.lit("<body><p>CORTE CONSTITUCIONAL</p><p>DERECHO-"), c, F.lit("</p>"), F.lit("<p>Sentencia C-1/20</p>"), reference, judges, date,
+                    F.lit("<p>Actor: X</p><p>La Sala ha proferido</p><p>otra línea "), c, F.lit("</p><p>SENTENCIA</p><p>texto</p></body>"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(k == 3, F.replace(html, F.lit("<p>CORTE CONSTITUCIONAL</p>"), old)).otherwise(html).alias("html"))
+    found = G.cards(G.paragraphs(rows, "id", "html"), "id")
+    return found.select("id", *[F.array_join(x, "|").alias(x) if x in ("ponentes", "otros", "descriptores") else F.col(x) for x in ("ponentes", "fecha", "referencia", "otros", "descriptores")])
+
+
+@query(r"""WITH cut AS (SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\b.*?</script|style\b.*?</style|head\b.*?</head)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'),
+    '(?i)<(p|h[1-6]|li|ol|ul|table|tr|td|th|div|blockquote|center|body|/table|/ol|/ul|/div)\b', chr(1) || '<\1', 'g'), chr(1)) AS ps FROM pages),
+piece AS (SELECT page_id, generate_subscripts(ps, 1) AS k, unnest(ps) AS piece FROM cut),
+shut AS (SELECT page_id, k, lower(regexp_extract(piece, '^<(/?[A-Za-z][A-Za-z0-9]*)', 1)) AS tag,
+  regexp_replace(regexp_replace(regexp_replace(piece, '(?is)^(<p\b.*?</p\s*>).*$', '\1'), '(?is)^(<h1\b.*?</h1\s*>).*$', '\1'), '(?is)^(<li\b.*?</li\s*>).*$', '\1') AS piece FROM piece),
+said AS (SELECT page_id, k, tag, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(piece, '<[^>]*>?', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[\s\x0B\x{00A0}]+', ' ', 'g')) AS texto FROM shut),
+rows AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS pos, length(texto) % 6 AS rango FROM said WHERE texto <> ''),
+seen AS (SELECT a.page_id, a.pos, b.rango, left(b.texto, 12) AS label FROM rows a JOIN rows b ON a.page_id = b.page_id AND b.pos <= a.pos AND b.rango < 5
+  WHERE NOT EXISTS (SELECT 1 FROM rows c WHERE c.page_id = b.page_id AND c.pos > b.pos AND c.pos <= a.pos AND c.rango <= b.rango))
+SELECT r.page_id, r.pos, r.tag, md5(r.texto) AS hash, coalesce(string_agg(label, ' > ' ORDER BY s.rango), '') AS ruta
+FROM rows r LEFT JOIN seen s ON s.page_id = r.page_id AND s.pos = r.pos GROUP BY r.page_id, r.pos, r.tag, r.texto""")
+def page_heading_paths(spark, d):
+    """Blocks of ``pages`` by column functions, and the path of headings at each, where the length of a block makes its rank."""
+    rows = P.blocks(table(spark, d, "pages"), ["page_id"], P.without(F.col("html"), *P.NOISE[:3]))
+    rank = F.length("texto") % 6
+    rows = rows.withColumns({"rango": F.when(rank < 5, rank.cast("double")), "etiqueta": F.substring("texto", 1, 12)})
+    found = P.paths(rows, (0.0, 1.0, 2.0, 3.0, 4.0), ["page_id"])
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
+    return found.select("page_id", pos.alias("_pos"), "tag", F.md5("texto").alias("hash"), F.array_join("ruta", " > ").alias("ruta")).withColumnRenamed("_pos", "pos")
+
+
+DOTTED_SQL = """n AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey % 3 + 1 AS a, o_orderkey % 12 + 1 AS b, o_orderkey % 7 = 0 AS colon,
+  o_orderkey % 29 = 0 AS ancla FROM orders), q AS (SELECT *, [2, 2, a, b] AS clave, coalesce(lag(colon) OVER (PARTITION BY doc ORDER BY i), false) AS quoted FROM n)"""
+
+
+@query(f"""WITH RECURSIVE {DOTTED_SQL},
+f(doc, i, last, taken) AS (
+  SELECT doc, 0, NULL::BIGINT[], false FROM (SELECT DISTINCT doc FROM q)
+  UNION ALL
+  SELECT g.doc, g.i, CASE WHEN ok THEN clave ELSE last END, ok
+  FROM (SELECT q.doc, q.i, q.clave, f.last, q.ancla OR (NOT q.quoted AND (f.last IS NULL OR q.clave > f.last)) AS ok FROM f JOIN q ON q.doc = f.doc AND q.i = f.i + 1) g
+)
+SELECT q.doc, '2.2.' || a || '.' || b AS articulo, q.i AS lugar FROM f JOIN q ON q.doc = f.doc AND q.i = f.i WHERE taken""")
+def dotted_articles(spark, d):
+    """Articles with dotted numbers, in pages made of ``orders``; quoted ones (behind a colon) and those that step back stay text."""
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    number = F.concat_ws(".", F.lit("2.2"), (k % 3 + 1).cast("string"), (k % 12 + 1).cast("string"))
+    tail = F.when(k % 7 == 0, "Este artículo quedará así:").otherwise("Texto del artículo que rige.")
+    line = F.concat(F.lit("<p>"), F.when(k % 29 == 0, '<a id="x"></a>').otherwise(""), F.lit("ARTÍCULO "), number, F.lit(". "), tail, F.lit("</p>"))
+    pages = o.groupBy(F.col("o_custkey").alias("doc")).agg(F.array_sort(F.collect_list(F.struct(k, line.alias("h")))).alias("l")).select(
+        F.col("doc").cast("string").alias("doc_id"), F.lit(0).alias("ord"),
+        F.concat(F.lit('<div class="descripcion-contenido">'), F.array_join(F.transform("l", lambda x: x["h"]), ""), F.lit("</div>")).alias("contenido"))
+    rows = N.manager(pages)
+    place = rows.withColumns({"lugar": F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")), "_first": F.row_number().over(Window.partitionBy("doc_id", "n").orderBy("pos"))})
+    return place.filter("n > 0 AND _first = 1").select(F.col("doc_id").cast("long").alias("doc"), "articulo", "lugar")
+
+
+@query(f"""WITH {LINES_SQL},
+t AS (SELECT doc_id, i, CASE k WHEN 0 THEN '' WHEN 1 THEN 'a)' WHEN 2 THEN '- ' || size % 100 || ' -' WHEN 3 THEN 'Artículo ' || i || '.- De ' || size WHEN 4 THEN 'palabra parti-' WHEN 5 THEN 'da y ' || size ELSE 'texto ' || size || '.' END AS x FROM l),
+u AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM t WHERE x NOT LIKE '- %'),
+g AS (SELECT *, sum((x <> '' AND (x LIKE 'Art%' OR x = 'a)' OR coalesce(b, '') IN ('', 'a)')))::int) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM u),
+p AS (SELECT doc_id, k, regexp_replace(string_agg(x, ' ' ORDER BY i), '([a-záéíóúñ])- ([a-záéíóúñ])', '\\1\\2', 'g') AS x FROM g WHERE x <> '' GROUP BY doc_id, k),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM p),
+m AS (SELECT *, n - coalesce(max(CASE WHEN x <> 'a)' THEN n END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS before FROM r),
+q AS (SELECT *, sum((before % 2 = 0)::int) OVER (PARTITION BY doc_id ORDER BY n) AS pos FROM m)
+SELECT doc_id, pos::bigint AS pos, string_agg(x, ' ' ORDER BY n) AS texto FROM q GROUP BY doc_id, pos""")
+def law_lines(spark, d):
+    """Paragraphs of a line table made of ``documents``: page numbers out, broken words joined, lone markers glued to what follows."""
+    size, k = F.col("size").cast("string"), F.col("k")
+    text = (F.when(k == 0, "").when(k == 1, "a)").when(k == 2, F.concat(F.lit("- "), (F.col("size") % 100).cast("string"), F.lit(" -"))).when(k == 3, F.concat(F.lit("Artículo "), F.col("i").cast("string"), F.lit(".- De "), size))
+            .when(k == 4, "palabra parti-").when(k == 5, F.concat(F.lit("da y "), size)).otherwise(F.concat(F.lit("texto "), size, F.lit("."))))
+    return L.law_paragraphs(document_lines(spark, d).select("doc_id", F.floor(F.col("i") / 10).alias("pagina"), F.col("i").alias("linea"), text.alias("texto")))
+
+
+@query(f"""WITH {LINES_SQL},
+t AS (SELECT doc_id, i // 5 AS pagina, 2 * i AS linea, CASE WHEN k < 2 THEN 'sigue en la línea ' || size WHEN k < 6 THEN 'termina ' || size || '.' ELSE 'cierra (SC' || size % 1000 || '-2018; 1/2/2019)' END AS x FROM l
+  UNION ALL SELECT doc_id, i // 5, 2 * i + 1, CASE WHEN doc_id % 2 = 0 THEN 'Cabecera de la relatoría' ELSE 'Pie.' END FROM l WHERE i % 5 = 1 OR (i % 5 = 2 AND k = 0)),
+n AS (SELECT doc_id, count(DISTINCT pagina) AS pages FROM t GROUP BY doc_id),
+h AS (SELECT doc_id, x FROM t JOIN n USING (doc_id) GROUP BY doc_id, x, pages HAVING count(DISTINCT pagina) >= 0.6 * pages),
+u AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY linea) AS b FROM t ANTI JOIN h USING (doc_id, x)),
+g AS (SELECT *, sum((b IS NULL OR b LIKE '%.' OR b LIKE '%)')::int) OVER (PARTITION BY doc_id ORDER BY linea) AS pos FROM u),
+p AS (SELECT doc_id, pos, string_agg(x, ' ' ORDER BY linea) AS x FROM g GROUP BY doc_id, pos),
+c AS (SELECT *, coalesce(sum((x LIKE '%2019)')::int) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS e, sum((x LIKE '%2019)')::int) OVER (PARTITION BY doc_id) AS total FROM p),
+f AS (SELECT *, least(e, total) AS n FROM c WHERE total > 0)
+SELECT doc_id, n::bigint AS n, max(regexp_extract(x, '\\((SC\\d+-2018); 1/2/2019\\)$', 1)) AS titulo, count(*) AS parrafos, md5(string_agg(x, '|' ORDER BY pos)) AS hash FROM f GROUP BY doc_id, n""")
+def digest_extracts(spark, d):
+    """Extracts of a digest made of the lines of ``documents``: headers by their share of the pages, extracts over page ends, the tail with the last."""
+    rows, size, k = document_lines(spark, d), F.col("size").cast("string"), F.col("k")
+    said = F.when(k < 2, F.concat(F.lit("sigue en la línea "), size)).when(k < 6, F.concat(F.lit("termina "), size, F.lit("."))).otherwise(
+        F.concat(F.lit("cierra (SC"), (F.col("size") % 1000).cast("string"), F.lit("-2018; 1/2/2019)")))
+    page = F.floor(F.col("i") / 5)
+    text = rows.select("doc_id", page.alias("pagina"), (2 * F.col("i")).alias("linea"), said.alias("texto"))
+    head = F.when(F.col("doc_id") % 2 == 0, "Cabecera de la relatoría").otherwise("Pie.")
+    more = rows.filter("i % 5 = 1 OR (i % 5 = 2 AND k = 0)").select("doc_id", page.alias("pagina"), (2 * F.col("i") + 1).alias("linea"), head.alias("texto"))
+    found = L.digest_sections(text.union(more))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "texto")))
+    return found.groupBy("doc_id", "n").agg(F.max("titulo").alias("titulo"), F.count(F.lit(1)).alias("parrafos"), F.md5(F.array_join(F.transform(listed, lambda x: x["texto"]), "|")).alias("hash"))
