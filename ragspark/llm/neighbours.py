@@ -32,9 +32,7 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """Rows that take part: ``id``, ``v`` (doubles) and the vector's two hashes ``h1`` and ``h2``.
 
     A null id, and a vector that is null, empty, all zero, or has a null or
-    non-finite component, take no part; nor do vectors of another length than
-    the commonest one (ties: the shorter). An id with several vectors has the
-    smallest of them, compared component by component.
+    non-finite component, take no part. Rows with the same id and vector count once.
     """
     doubles = F.transform(vector, lambda x: x.cast("double") + F.lit(0.0))
     good = rows.select(F.col(key).cast("long").alias("id"), doubles.alias("v")).filter(
@@ -42,10 +40,7 @@ def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    size = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.filter(F.size("v") == (size["n"] if size else 0)).groupBy("id").agg(F.min("v").alias("v")).withColumns(
-        {"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit("second"))}
-    )
+    return good.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit("second"))}).dropDuplicates(["id", "h1", "h2"])
 
 
 def classes_of(good: DataFrame, keep: int) -> DataFrame:
@@ -93,13 +88,32 @@ def search(
     smallest ids, which is exact for any number of copies. All other vectors are
     in the index; blocks are of BLOCK vectors, whatever the partitions, and
     queries meet all blocks, in chunks, so a task holds one block and one chunk.
-    Of each block at least 2 (k + 1) vectors are measured. Rows repeated with one
-    id count once; see ``usable`` for what takes no part. Empty tables give an
+    Of each block at least 2 (k + 1) vectors are measured. An id with several
+    vectors is a candidate with each of them, and asks with the smallest,
+    compared component by component. Vectors of each length are searched among
+    their own kind. See ``usable`` for what takes no part. Empty tables give an
     empty result.
     """
     good = usable(rows, key, vector)
+    lengths = sorted(r["n"] for r in good.groupBy(F.size("v").alias("n")).count().collect()) or [0]
+    if len(lengths) == 1:
+        return _search(good, is_query, k, pivots, prefix, share)
+    good, out = materialise(good, "usable-vectors"), None
+    # Of an id's vectors of several lengths, those of the smallest length ask.
+    asking = good.filter(is_query).groupBy("id").agg(F.min(F.size("v")).alias("_n"))
+    for n in lengths:
+        own = good.filter(F.size("v") == n)
+        here = asking.filter(F.col("_n") == n).select("id")
+        one = _search(own, is_query, k, pivots, prefix, share).join(here.withColumnRenamed("id", "query_id"), "query_id", "left_semi")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _search(good: DataFrame, is_query, k: int, pivots: int, prefix: int, share: float) -> DataFrame:
+    """``search`` among usable vectors of one length."""
     stored = materialise(classes_of(good, k + 1), "vectors")
-    wanted = materialise(good.filter(is_query).select("id", "h1", "h2", "v"), "queries")
+    smallest = good.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
+    wanted = materialise(smallest.select("id", F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit("second")).alias("h2"), "v"), "queries")
     top = stored.select("v").orderBy(F.xxhash64("v", F.lit("pivot")), "v").limit(pivots).collect()
     points = np.array([r["v"] for r in top]) if top else np.zeros((1, 1))
     prefix = min(prefix, len(points))

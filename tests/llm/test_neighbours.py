@@ -66,9 +66,14 @@ def test_recall_of_several_whole_blocks(spark, monkeypatch):
     assert hits / 200 >= 0.9
 
 
-def test_an_id_with_several_vectors_has_the_smallest(spark):
+def test_an_id_with_several_vectors_asks_with_the_smallest_and_is_found_by_each(spark):
     got = found(spark, [(0, [2.0, 0.0]), (0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 3.0]), (2, [5.0, 0.0]), (2, [9.0, 0.0])])
-    assert got == {0: [(1, 3.0), (2, 4.0)]}
+    assert got == {0: [(1, 3.0), (2, 4.0), (2, 8.0)]}
+
+
+def test_vectors_of_each_length_are_searched_among_their_own(spark):
+    got = found(spark, [(0, [1.0, 1.0]), (1, [1.0, 2.0]), (2, [4.0]), (3, [6.0]), (10, [5.5]), (20, [3.0, 3.0, 3.0])])
+    assert got == {0: [(1, 1.0)], 10: [(3, 0.5), (2, 1.5)]}
 
 
 def test_empty_table(spark):
