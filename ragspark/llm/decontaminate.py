@@ -91,7 +91,7 @@ class Matcher:
             self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
-        """(item key, distance, end) of the best occurrence of each item found."""
+        """(item key, distance, end, the item's length) of the best occurrence of each item found; items may share a key."""
         if not self.items:
             return []
         windows: dict[int, set[int]] = {}
@@ -116,7 +116,7 @@ class Matcher:
                 score, at = best_match(bits, m, text[low : max(0, seen)])
                 best = min(best, (score, low + at))
             if best[0] <= budget:
-                found.append((key, *best))
+                found.append((key, *best, m))
         return found
 
 
@@ -181,15 +181,14 @@ def _cleaner(held: tuple[tuple[int, str], ...], rate: float, text: int, min_char
 
 
 def _seeker(held: tuple[tuple[int, str], ...], rate: float, key: str, item_key: str, min_chars: int):
-    token, sizes = uuid.uuid4().hex, {k: len(t) for k, t in held}
+    token = uuid.uuid4().hex
 
     def seek(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = _matcher(token, held, rate, min_chars)
         for batch in batches:
             rows = [(i, *hit) for i, t in enumerate(batch["_text"]) if t for hit in matcher.find(normalised(t))]
-            found = pd.DataFrame(rows, columns=["_row", item_key, "distance", "end"])
+            found = pd.DataFrame(rows, columns=["_row", item_key, "distance", "end", "n_chars"])
             found[key] = batch[key].array.take(found["_row"].to_numpy(int))
-            found["n_chars"] = found[item_key].map(sizes)
             yield found[[key, item_key, "distance", "end", "n_chars"]]
 
     return seek

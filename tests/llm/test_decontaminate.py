@@ -79,3 +79,17 @@ def test_short_items_match_exactly_at_word_bounds(spark, docs):
     got = {(r["doc_id"], r["item_id"], r["distance"], r["end"], r["n_chars"]) for r in D.find_items(docs(rows), items).collect()}
     assert got == {(1, 1, 0, 18, 15), (4, 2, 0, 13, 3)}
     assert sorted(r["doc_id"] for r in D.drop_contaminated(docs(rows), items).collect()) == [2, 3, 5, 6, 7]
+
+
+def test_items_that_share_an_id_keep_their_own_lengths(spark):
+    docs = spark.createDataFrame([(1, "x the quick brown fox jumps over the dog y"), (2, "an entirely different benchmark item of some length here")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the quick brown fox jumps over the dog"), (7, "an entirely different benchmark item of some length here")], "item_id long, text string")
+    rows = D.find_items(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["n_chars"]) for r in rows) == [(1, 7, 38), (2, 7, 56)]
+
+
+def test_very_long_text(spark):
+    text = "lorem ipsum dolor " * 60_000 + "the quick brown fox jumps over the dog " + "sit amet " * 60_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "the quick brown fox jumps over the dog")], "item_id long, text string")
+    assert [r["distance"] for r in D.find_items(docs, items).collect()] == [0]
