@@ -87,7 +87,7 @@ def sentences(c: Column) -> Column:
         return F.when(F.size(acc) == 0, F.array(piece)).otherwise(grown)
 
     pieces = sentence_pieces(F.coalesce(c, F.lit("")))
-    return F.transform(F.aggregate(pieces, F.array().cast("array<string>"), add), F.trim)
+    return F.transform(F.aggregate(pieces, F.array().cast("array<string>"), add), lambda p: F.trim(p))
 
 
 def capped(parts: Column, max_sentences: int, max_words: int) -> Column:

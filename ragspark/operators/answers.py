@@ -11,11 +11,19 @@ from pyspark.sql.window import Window
 from ragspark.functions import citations as C
 from ragspark.functions import text as T
 from ragspark.operators.answering import choose_diverse, with_gaps
+from ragspark.operators.index import body_text
+from ragspark.sources.storage import stored
 
 #: Letters of a closed question, sources outside the rerank score, passages that back citations.
 LETTERS = ("A", "B", "C", "D")
 UNSCORED = ("lookup", "valores")
 BACKING = 10
+#: Uses of words that read as a citation and are none: the body, the pattern, what replaces it.
+FALSE_USES = (
+    ("constitucion", r"(?U)\bconstituci([oó])n\b(?!\s+(?:pol[ií]tica|nacional))", "conformaci$1n"),
+    ("estatuto_tributario", r"(?iU)\bet\s+al\.?", "y otros"),
+)
+UNBACKED, OK = "cita_sin_respaldo", "ok"
 
 
 def compressed(passages: DataFrame, budget: int, keys: list[str]) -> DataFrame:
@@ -45,6 +53,66 @@ def without_unbacked(sentences: DataFrame, backed: DataFrame) -> DataFrame:
         "removed", F.coalesce("_bad", F.lit(False))).drop("_bad")
 
 
+def cited_bodies(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, body) that rows(keys, texto) cite; texts without a mark of a citation do not leave the JVM."""
+    return rows.select(*keys, F.explode(C.bodies(C.citations(F.col("texto")))).alias("b")).select(*keys, body_text(F.col("b")).alias("body")).distinct()
+
+
+def verified(fields: DataFrame, backed: DataFrame, fills: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Answers whose every citation is backed: fields(qid, campo, ord, texto, rellenado), and verdicts(qid, veredicto, quitadas).
+
+    Three steps of anti joins on bodies. Of fields(qid, campo, ord, texto), with
+    words that only look like a citation rewritten where their body is not among
+    backed(qid, body), each sentence that cites another body goes. Then the
+    fields are read as one text, in their order: a field that cites what is
+    still not backed is emptied. If the text still does, as a citation may span
+    two fields, all fields are. A field that is empty after a step takes its
+    text from fills(qid, campo, texto), which cites nothing that is not backed.
+    """
+    known = backed.select("qid", "body").distinct()
+    flags = known.groupBy("qid").agg(*[F.max(F.col("body") == body).alias(f"_has{i}") for i, (body, _, _) in enumerate(FALSE_USES)])
+    rows = fields.select("qid", "campo", "ord", F.coalesce("texto", F.lit("")).alias("texto")).join(flags, "qid", "left")
+    text = F.col("texto")
+    for i, (_, pattern, instead) in enumerate(FALSE_USES):
+        text = F.when(F.coalesce(F.col(f"_has{i}"), F.lit(False)), text).otherwise(F.regexp_replace(text, pattern, instead))
+    rows = stored(rows.select("qid", "campo", "ord", text.alias("texto")), "rewritten")
+    filling = fills.select("qid", "campo", F.col("texto").alias("_fill"))
+
+    def unbacked(of: DataFrame, *keys: str) -> DataFrame:
+        return cited_bodies(of, "qid", *keys).join(known, ["qid", "body"], "left_anti")
+
+    def whole(of: DataFrame) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct("ord", "texto")))
+        return of.groupBy("qid").agg(F.array_join(F.transform(listed, lambda x: x["texto"]), " ").alias("texto"))
+
+    def refilled(of: DataFrame, done: Column) -> DataFrame:
+        empty = F.trim("texto") == ""
+        filled = of.join(filling, ["qid", "campo"], "left")
+        return filled.withColumn("rellenado", done | (empty & F.col("_fill").isNotNull())).withColumn("texto", F.when(empty, F.coalesce("_fill", F.lit(""))).otherwise(F.col("texto"))).drop("_fill")
+
+    pieces = stored(rows.select("qid", "campo", F.posexplode(T.sentences(F.col("texto"))).alias("pos", "texto")), "sentences")
+    bad = stored(unbacked(pieces, "campo", "pos"), "unbacked")
+    kept = pieces.join(bad.select("qid", "campo", "pos").distinct(), ["qid", "campo", "pos"], "left_anti")
+    listed = F.array_sort(F.collect_list(F.struct("pos", "texto")))
+    joined = kept.groupBy("qid", "campo").agg(T.joined_parts(F.transform(listed, lambda x: x["texto"])).alias("texto"))
+    first = refilled(rows.drop("texto").join(joined, ["qid", "campo"], "left").withColumn("texto", F.coalesce("texto", F.lit(""))), F.lit(False))
+    first = stored(first, "checked-sentences")
+
+    rest = stored(unbacked(whole(first)), "unbacked-whole")
+    holds = cited_bodies(first.join(rest.select("qid").distinct(), "qid", "left_semi"), "qid", "campo").join(rest, ["qid", "body"], "left_semi").select("qid", "campo").distinct()
+    second = first.join(holds.withColumn("_gone", F.lit(True)), ["qid", "campo"], "left").withColumn("texto", F.when(F.col("_gone"), F.lit("")).otherwise(F.col("texto"))).drop("_gone")
+    second = stored(refilled(second, F.col("rellenado")), "checked-fields")
+
+    still = unbacked(whole(second.join(rest.select("qid").distinct(), "qid", "left_semi"))).select("qid").distinct()
+    third = second.join(still.withColumn("_gone", F.lit(True)), "qid", "left").withColumn("texto", F.when(F.col("_gone"), F.lit("")).otherwise(F.col("texto"))).drop("_gone")
+    third = refilled(third, F.col("rellenado"))
+
+    removed = bad.select("qid", "body").union(rest.select("qid", "body")).groupBy("qid").agg(F.array_sort(F.collect_set("body")).alias("quitadas"))
+    verdicts = fields.select("qid").distinct().join(removed, "qid", "left").select(
+        "qid", F.when(F.col("quitadas").isNotNull(), F.lit(UNBACKED)).otherwise(F.lit(OK)).alias("veredicto"), F.coalesce("quitadas", F.array().cast("array<string>")).alias("quitadas"))
+    return third.select("qid", "campo", "ord", "texto", "rellenado"), verdicts
+
+
 def backing_bodies(passages: DataFrame, first: int = BACKING) -> DataFrame:
     """Bodies(qid, body) cited by the first passages of each query."""
     return passages.filter(F.col("pos") <= first).select("qid", F.explode("bodies").alias("body")).distinct()

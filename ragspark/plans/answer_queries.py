@@ -355,3 +355,56 @@ def discard_map(spark, d):
     """Exactly the letters not chosen."""
     m = A.discards(F.array().cast("array<string>"), F.chr(65 + F.col("o_orderkey") % 4))
     return table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(F.map_keys(m)), "").alias("letras"))
+
+
+#: Answers of two fields; the second may complete a citation that the first begins.
+FIELDS_SQL = """b AS (SELECT item_id AS q, length(text) AS n FROM benchmark),
+backed AS (SELECT q AS qid, 'ley/' || (10 + (q + d) % 5) || '/2001' AS body FROM b, (SELECT unnest([0, 1]) AS d)),
+said AS (SELECT q AS qid, 'respuesta' AS campo, 0 AS ord, 0 AS pos, 'Rige la Ley ' || (10 + n % 5) || ' de 2001.' AS x FROM b
+  UNION ALL SELECT q, 'respuesta', 0, 1, 'Texto ' || n || ' sin norma.' FROM b WHERE n % 3 > 0 UNION ALL SELECT q, 'respuesta', 0, 2, 'Véase la Ley 12' FROM b WHERE q % 4 = 0
+  UNION ALL SELECT q, 'referencia', 1, 0, CASE WHEN q % 4 = 0 THEN 'de 2001 y otras.' ELSE 'Ley ' || (10 + q % 7) || ' de 2001.' END FROM b)"""
+
+
+@query(f"""WITH {FIELDS_SQL},
+s AS (SELECT *, CASE WHEN regexp_matches(x, 'Ley \\d+ de 2001') THEN 'ley/' || regexp_extract(x, 'Ley (\\d+) de 2001', 1) || '/2001' END AS body FROM said),
+bad AS (SELECT qid, campo, pos, body FROM s WHERE body IS NOT NULL AND (qid, body) NOT IN (SELECT qid, body FROM backed)),
+one AS (SELECT qid, campo, ord, coalesce(string_agg(x, ' ' ORDER BY pos) FILTER ((qid, campo, pos) NOT IN (SELECT qid, campo, pos FROM bad)), '') AS texto FROM s GROUP BY ALL),
+f1 AS (SELECT qid, campo, ord, CASE WHEN texto = '' THEN 'Relleno ' || qid || '.' ELSE texto END AS texto, texto = '' AS filled FROM one),
+whole AS (SELECT qid, string_agg(texto, ' ' ORDER BY ord) AS texto FROM f1 GROUP BY qid),
+rest AS (SELECT qid, 'ley/' || unnest(regexp_extract_all(texto, 'Ley (\\d+) de 2001', 1)) || '/2001' AS body FROM whole),
+left_ AS (SELECT DISTINCT qid, body FROM rest WHERE (qid, body) NOT IN (SELECT qid, body FROM backed)),
+f3 AS (SELECT qid, campo, CASE WHEN qid IN (SELECT qid FROM left_) THEN 'Relleno ' || qid || '.' ELSE texto END AS texto, filled OR qid IN (SELECT qid FROM left_) AS rellenado FROM f1),
+gone AS (SELECT qid, string_agg(DISTINCT body, ',' ORDER BY body) AS quitadas FROM (SELECT qid, body FROM bad UNION SELECT * FROM left_) GROUP BY qid)
+SELECT qid, campo, f3.texto, rellenado, CASE WHEN quitadas IS NULL THEN 'ok' ELSE 'cita_sin_respaldo' END AS veredicto, coalesce(quitadas, '') AS quitadas FROM f3 LEFT JOIN gone USING (qid)""")
+def verified_answers(spark, d):
+    """Sentences, fields and whole answers checked by anti joins on bodies, refilled after each step."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.length("text").alias("n"))
+    q, n = F.col("qid"), F.col("n")
+
+    def law(x):
+        return F.concat(F.lit("Ley "), x.cast("string"), F.lit(" de 2001."))
+
+    first = F.concat_ws(" ", F.concat(F.lit("Rige la "), law(10 + n % 5)), F.when(n % 3 > 0, F.concat(F.lit("Texto "), n.cast("string"), F.lit(" sin norma."))), F.when(q % 4 == 0, "Véase la Ley 12"))
+    second = F.when(q % 4 == 0, "de 2001 y otras.").otherwise(law(10 + q % 7))
+    fields = b.select("qid", F.explode(F.array(F.struct(F.lit("respuesta").alias("campo"), F.lit(0).alias("ord"), first.alias("texto")), F.struct(F.lit("referencia").alias("campo"), F.lit(1).alias("ord"), second.alias("texto")))).alias("f")).select("qid", "f.*")
+    backed = b.select("qid", F.explode(F.array(*[F.concat(F.lit("ley/"), (10 + (q + i) % 5).cast("string"), F.lit("/2001")) for i in (0, 1)])).alias("body"))
+    fills = fields.select("qid", "campo", F.concat(F.lit("Relleno "), q.cast("string"), F.lit(".")).alias("texto"))
+    found, verdicts = A.verified(fields, backed, fills)
+    return found.join(verdicts, "qid").select("qid", "campo", "texto", "rellenado", "veredicto", F.array_join("quitadas", ",").alias("quitadas"))
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES ('fr', 'ere'), ('fr', 'eau\\w'), ('en', 'th\\w*h'), ('en', 'er e'), ('de', 'u\\w*ch'), ('es', '(?:cion|aci)+')) AS t(lang, patron)),
+t AS (SELECT doc_id, d.lang, strip_accents(lower(text)) AS o, patron FROM documents d JOIN p USING (lang)),
+m AS (SELECT doc_id, patron, string_split_regex(o, patron) AS ps, regexp_extract_all(o, patron) AS ms FROM t),
+l AS (SELECT doc_id, patron, unnest(list_transform(ps[:len(ms)], lambda x: length(x))) AS gap, unnest(list_transform(ms, lambda x: length(x))) AS size, generate_subscripts(ms, 1) AS i FROM m WHERE len(ms) > 0),
+s AS (SELECT doc_id, sum(gap + size) OVER w - size AS a, sum(gap + size) OVER w AS b FROM l WINDOW w AS (PARTITION BY doc_id, patron ORDER BY i)),
+g AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM s),
+i AS (SELECT *, sum(fresh::int) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT doc_id, min(a)::bigint AS desde, max(b)::bigint AS hasta FROM i GROUP BY doc_id, k""")
+def highlighted_spans(spark, d):
+    """Spans of patterns for normalised text in the whole texts of ``documents``, mapped back to the original and merged."""
+    from ragspark.functions import highlights as H
+
+    wanted = (("fr", "ere"), ("fr", r"eau\w"), ("en", r"th\w*h"), ("en", "er e"), ("de", r"u\w*ch"), ("es", "(?:cion|aci)+"))
+    patterns = spark.createDataFrame(list(wanted), "lang string, patron string")
+    return H.highlights(table(spark, d, "documents").select("doc_id", "lang", F.col("text").alias("texto")), patterns, ["doc_id"], ["lang"])

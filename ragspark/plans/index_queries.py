@@ -14,6 +14,7 @@ from ragspark.plans import answering_queries as W
 from ragspark.plans.registry import query, table
 from ragspark.plans.retrieval_queries import BM25_SQL, WORDS
 from ragspark.sources.storage import scratch
+from ragspark.streaming import resume
 
 
 def fragments(spark, d):
@@ -110,23 +111,46 @@ def citation_tables(spark, d):
     return out[0].union(out[1]).union(out[2]).union(out[3])
 
 
-@query(f"""WITH {CITING_SQL}, q AS (SELECT item_id AS qid, item_id % (SELECT max(n) FROM f) + 1 AS n, item_id % 4 AS article FROM benchmark),
+LOOKUP_SQL = f"""WITH {CITING_SQL}, q AS (SELECT item_id AS qid, item_id % (SELECT max(n) FROM f) + 1 AS n, item_id % 4 AS article FROM benchmark),
 a AS (SELECT qid, q.n, doc, chunk_id, 1 AS rank FROM q JOIN f ON f.n = q.n AND f.law = 1 AND f.article = q.article::varchar),
 c AS (SELECT qid, q.n, own.doc, CASE WHEN own.law = 0 THEN coalesce(min(chunk_id) FILTER (chunk_id % 3 = 1), min(chunk_id)) ELSE min(chunk_id) END AS chunk_id, 2 AS rank
   FROM q JOIN own ON own.n = q.n JOIN f USING (doc) WHERE qid NOT IN (SELECT qid FROM a) GROUP BY qid, q.n, own.doc, own.law)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, doc) AS pos, doc, chunk_id FROM (SELECT * FROM a UNION ALL SELECT * FROM c)""")
-def stored_lookup(spark, d):
-    """Fragments that questions name by article, by norm, and by rulings without a year, from stored tables."""
-    path = citing_index(spark, d)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY rank, doc) AS pos, doc, chunk_id FROM (SELECT * FROM a UNION ALL SELECT * FROM c)"""
+
+
+def naming_questions(spark, d):
+    """Questions(qid, text) that name a norm each, by article, whole, or without its year."""
     top = citing_fragments(spark, d).agg(F.max(F.floor(F.col("chunk_id") / 3)).alias("top"))
     n, k = F.col("item_id") % F.col("top") + 1, F.col("item_id")
     law = F.concat(F.lit("el artículo "), (k % 4).cast("string"), F.lit(" de la Ley "), n.cast("string"), F.lit(" de "), (1990 + n % 30).cast("string"))
-    asked = table(spark, d, "benchmark").crossJoin(F.broadcast(top)).select(
+    return table(spark, d, "benchmark").crossJoin(F.broadcast(top)).select(
         k.alias("qid"), F.concat(F.lit("¿Qué dispone "), F.when(n % 2 == 1, law).otherwise(F.concat(F.lit("la sentencia C-"), n.cast("string"))), F.lit("?")).alias("text"))
-    found = Q.named(asked, I.load_citations(spark, path), Q.Settings())
+
+
+@query(LOOKUP_SQL)
+def stored_lookup(spark, d):
+    """Fragments that questions name by article, by norm, and by rulings without a year, from stored tables."""
+    found = Q.named(naming_questions(spark, d), I.load_citations(spark, citing_index(spark, d)), Q.Settings())
     return found.select("qid", "pos", F.col("doc_id").alias("doc"), "chunk_id")
 
 
+@query(LOOKUP_SQL)
+def streamed_lookup(spark, d):
+    """Questions stream through the stored index batch by batch, each answered once though they come twice; a second run finds nothing to do."""
+    base, path = scratch(spark, f"asked-{uuid.uuid4().hex}"), citing_index(spark, d)
+    asked = naming_questions(spark, d).coalesce(1)
+    asked.write.parquet(f"{base}/in")
+    asked.filter("qid % 2 = 0").write.mode("append").parquet(f"{base}/in")
+    index = I.load_citations(spark, path)
+
+    def answer(batch):
+        return Q.named(batch, index, Q.Settings())
+
+    for _ in range(2):
+        resume.answer_batches(spark, f"{base}/in", asked.schema, answer, f"{base}/out", f"{base}/checkpoint", "qid", files_at_once=1)
+    return resume.answers(spark, f"{base}/out").select("qid", "pos", F.col("doc_id").alias("doc"), "chunk_id")
+
+
 @query("""WITH e AS (SELECT DISTINCT l_orderkey AS doc_id, l_partkey % 200 AS body FROM lineitem WHERE l_orderkey % 3 = 0),
 l AS (SELECT l_suppkey % 20 AS qid, l_orderkey AS doc_id, l_orderkey * 10 + l_linenumber AS chunk_id, row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS pos
   FROM lineitem),

@@ -118,3 +118,19 @@ def stream_resume(spark, d):
     for _ in range(2):
         resume.answer_stream(spark, f"{d}/events*.parquet", events.schema, answer, f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out")
+
+
+@query("""WITH b AS (SELECT event_id % 3 AS k, ts FROM events), w AS (SELECT max(ts) FILTER (k = 0) - INTERVAL 10 MINUTE AS one, max(ts) - INTERVAL 10 MINUTE AS two FROM b),
+e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type FROM events, w WHERE event_id % 3 < 2 OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > one)
+SELECT epoch_ms(start) // 1000 AS start, event_type, count(*) AS n FROM e, w WHERE start + INTERVAL 1 HOUR <= two GROUP BY ALL""")
+def streamed_event_counts(spark, d):
+    """Windows of a real stream of three batches: events of the third that come behind the watermark of the first are left out, and open windows are not told."""
+    base, events = scratch(spark, f"late-{uuid.uuid4().hex}"), table(spark, d, "events")
+    source, out = f"{base}/in", f"{base}/out"
+    for k in (0, 1, 2):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    counts = resume.windowed_counts(stream, "ts", ["event_type"], "1 hour", "10 minutes").select(F.unix_seconds("start").alias("start"), "event_type", "n")
+    query = counts.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)
