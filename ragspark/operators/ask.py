@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import citations as C
 from ragspark.functions import text as T
-from ragspark.operators import answering as G
+from ragspark.operators import chain as G
 from ragspark.operators import index as I
 from ragspark.operators import models as M
 from ragspark.operators import ranking as R

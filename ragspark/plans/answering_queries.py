@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
 from ragspark.operators import answering as G
+from ragspark.operators import chain as H
 from ragspark.plans import retrieval_queries as V
 from ragspark.plans.registry import query, table
 
@@ -101,7 +102,7 @@ def evidence(spark, d, k=5):
 @query()
 def answer_chain(spark, d):
     """From passages to verified answers, errors by item."""
-    found = G.answered(questions(spark, d), evidence(spark, d), G.Policy(least_score=0.5, mentions=2))
+    found = H.answered(questions(spark, d), evidence(spark, d), H.Policy(least_score=0.5, mentions=2))
     reasons = F.array_join(F.transform(F.array_sort(F.map_entries("descarte_opciones")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), "|")
     return found.withColumn("descarte", reasons).withColumn("claves", F.array_join("palabras_clave", "|")).withColumn("fuera", F.array_join("quitadas", "|")).drop(
         "descarte_opciones", "palabras_clave", "quitadas", "rellenados")
@@ -113,12 +114,38 @@ def answers_are_backed(spark, d):
     from ragspark.operators.answers import unbacked_citations
 
     p = evidence(spark, d)
-    found = G.answered(questions(spark, d), p)
+    found = H.answered(questions(spark, d), p)
     texts = found.select("id", "error", G.answer_text(F.col("formato"), F.col).alias("texto"))
     bad = unbacked_citations(texts, p.select(F.col("qid").alias("id"), "pos", "texto")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     return texts.join(bad, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("sin_respaldo"), F.col("error").isNotNull().alias("con_error"))
 
 
+ANSWER_PASSAGES_SQL = PASSAGES_SQL.replace("'texto ' || o_orderkey AS texto", "o_orderkey AS k").replace("(o_orderkey % 7)", "(o_orderkey % 7 + 1)")
+
+
+@query(f"""WITH {ANSWER_PASSAGES_SQL}, first AS (SELECT *, norma || coalesce(', artículo ' || articulo, '') AS cite FROM ps WHERE pos = 1),
+f AS (SELECT qid, norma, articulo, min(pos) AS pos FROM ps GROUP BY ALL),
+g AS (SELECT qid, norma, min(pos) AS pos, coalesce(list(articulo ORDER BY pos) FILTER (WHERE articulo IS NOT NULL), []) AS a FROM f GROUP BY ALL),
+c AS (SELECT g.qid, g.pos, g.norma || CASE len(a) WHEN 0 THEN '' WHEN 1 THEN ', artículo ' || a[1] ELSE ', artículos ' || array_to_string(a[:-2], ', ') || ' y ' || a[-1] END AS cita,
+  g.norma = first.norma AND a = CASE WHEN first.articulo IS NULL THEN [] ELSE [first.articulo] END AS own FROM g JOIN first USING (qid)),
+r AS (SELECT qid, coalesce(string_agg(cita, '; ' ORDER BY pos) FILTER (NOT own), '') AS more FROM c GROUP BY qid),
+ld AS (SELECT qid, string_agg(cite, '; ' ORDER BY pos) AS normas FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS n
+  FROM (SELECT qid, norma, min(pos) AS pos, arg_min(norma || coalesce(', artículo ' || articulo, ''), pos) AS cite FROM ps GROUP BY qid, norma)) WHERE n <= 3 GROUP BY qid)
+SELECT qid AS id, CASE WHEN qid % 2 = 0 THEN 'semi_open' ELSE 'open_ended' END AS formato, CASE WHEN qid % 2 = 0 THEN 'Conforme a lo dispuesto en ' || cite || ': Frase uno de ' || k || '. Frase dos sigue.' ELSE '' END AS respuesta,
+  CASE WHEN qid % 2 = 0 THEN concat_ws('; ', cite, nullif(more, '')) ELSE '' END AS referencia_legal,
+  CASE WHEN qid % 2 = 1 THEN 'Conforme a lo dispuesto en ' || cite || ': Frase uno de ' || k || '. Frase dos sigue.' ELSE '' END AS analisis,
+  CASE WHEN qid % 2 = 1 THEN 'La solución del caso se rige por ' || cite || '.' ELSE '' END AS conclusion, CASE WHEN qid % 2 = 1 THEN normas ELSE '' END AS empieza, 'ok' AS veredicto FROM first JOIN r USING (qid) JOIN ld USING (qid)""")
+def answer_fields(spark, d):
+    """What the evidence says in each field, and the references that are added, without a model."""
+    k = F.col("o_orderkey")
+    rows = passages(spark, d).select("qid", "pos", k.cast("string").alias("doc_id"), "norma", F.when(k % 4 != 0, (k % 7 + 1).cast("string")).alias("articulo"),
+                                     F.concat("norma", F.lit(". Frase uno de "), k.cast("string"), F.lit(". Frase dos sigue.")).alias("texto"), F.lit(1.0).alias("score"), F.lit("rerank").alias("fuente"))
+    asked = rows.select(F.col("qid").alias("id")).distinct().select("id", F.when(F.col("id") % 2 == 0, "semi_open").otherwise("open_ended").alias("formato"), F.lit("pregunta").alias("pregunta"), F.lit(None).cast("map<string,string>").alias("opciones"))
+    found = H.answered(asked, rows, H.Policy(extend=False))
+    starts = F.when(F.col("marco_normativo") != "", F.regexp_extract("marco_normativo", r"^((?:Ley \d+ de 2001(?:, artículo \d+)?(?:; |\.?$)?){0,3})", 1)).otherwise("")
+    return found.select("id", "formato", "respuesta", "referencia_legal", "analisis", "conclusion", F.rtrim(starts, F.lit("; .")).alias("empieza"), "veredicto")
+
+
 @query("""WITH o AS (SELECT o_custkey AS id, o_orderkey AS k, (o_orderkey % 9 + 100)::varchar AS n, (o_orderkey % 7 + 1)::varchar AS a FROM orders),
 own AS (SELECT DISTINCT id, n, CASE WHEN k % 3 = 0 THEN NULL ELSE a END AS a FROM o WHERE k % 2 = 0), s AS (SELECT id, n FROM own WHERE a IS NOT NULL),
 kept AS (SELECT * FROM own WHERE a IS NOT NULL OR (id, n) NOT IN (SELECT (id, n) FROM s)),
