@@ -171,3 +171,55 @@ def coupled_rulings(spark, d):
     norms = items.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") % 200).alias("body")).distinct()
     core = V.core_bodies(named, lists, norms, 5, F.col("doc_id") % 3 == 1)
     return V.coupled(lists.filter("doc_id % 3 = 0 AND pos <= 900"), edges, core, 10).select("qid", "pos", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+ASKED_SQL = BM25_SQL.replace("doc_id, unnest", "chunk AS doc_id, unnest").replace("SELECT doc_id, len(", "SELECT chunk AS doc_id, len(").replace("lower(text)", "lower(texto)").replace("FROM documents", "FROM f").replace(
+    "SELECT DISTINCT item_id AS qid", "SELECT DISTINCT qid").replace("FROM benchmark", "FROM q")
+
+
+@query(f"""WITH f AS (SELECT doc_id AS chunk, 'd' || doc_id // 2 AS doc, doc_id // 2 AS n, CASE doc_id // 2 % 5 WHEN 0 THEN 'sentencia' WHEN 1 THEN 'voto' ELSE 'norma' END AS clase,
+  CASE WHEN doc_id % 3 = 0 THEN 0.5::double ELSE 1.0::double END AS factor, doc_id % 2 AS art, 'Ley ' || doc_id // 2 || ' de ' || (1990 + doc_id // 2 % 30) || '. ' || coalesce(text, '') AS texto FROM documents),
+q AS (SELECT item_id AS qid, item_id * 3 + 1 AS n, item_id % 2 = 0 AS names, text || CASE WHEN item_id % 2 = 0 THEN ' artículo 1 de la Ley ' || (item_id * 3 + 1) || ' de ' || (1990 + (item_id * 3 + 1) % 30) ELSE '' END AS texto FROM benchmark),
+{ASKED_SQL},
+cand AS (SELECT qid, chunk, clase, row_number() OVER (PARTITION BY qid, clase = 'voto' ORDER BY round(s, 6) DESC, chunk) AS pos, row_number() OVER (PARTITION BY qid, clase ORDER BY round(s, 6) DESC, chunk) AS own
+  FROM sc JOIN f ON chunk = doc_id WHERE s > 0),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY qid, clase ORDER BY pos) AS rk FROM cand WHERE clase <> 'voto' AND pos <= 18),
+t1 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY (clase <> 'sentencia' OR rk <= 2) DESC, pos) AS turn FROM c1),
+pre AS (SELECT qid, chunk, clase, pos FROM t1 WHERE turn <= 6),
+miss AS (SELECT qid, chunk, own AS pos FROM cand WHERE clase = 'norma' AND own <= 2 AND (qid, chunk) NOT IN (SELECT qid, chunk FROM pre)),
+size AS (SELECT qid, count(*) + coalesce((SELECT count(*) FROM miss m WHERE m.qid = pre.qid), 0) - 6 AS over FROM pre GROUP BY qid),
+kept AS (SELECT *, row_number() OVER (PARTITION BY qid, clase = 'norma' ORDER BY pos DESC) AS back FROM pre),
+g AS (SELECT qid, chunk FROM (SELECT qid, chunk, pos, 0 AS part FROM kept JOIN size USING (qid) WHERE clase = 'norma' OR back > over UNION ALL SELECT qid, chunk, pos, 1 FROM miss)
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY part, pos) <= 6),
+w AS (SELECT qid, list_distinct(regexp_extract_all(lower(texto), '[a-z0-9_]+')) AS t FROM q),
+r AS (SELECT qid, g.chunk, doc, clase, round(len(list_intersect(t, regexp_extract_all(lower(texto), '[a-z0-9_]+'))) / len(t), 6) AS score, factor FROM g JOIN w USING (qid) JOIN f ON f.chunk = g.chunk),
+o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score * factor, 6) DESC, doc, chunk) AS pos FROM r),
+d1 AS (SELECT *, row_number() OVER (PARTITION BY qid, doc ORDER BY pos) AS rk FROM o),
+listed AS (SELECT * FROM d1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY (rk <= 1) DESC, pos) <= 4),
+looked AS (SELECT qid, chunk FROM q JOIN f ON f.n = q.n AND names AND (f.art = 1 OR (f.art = 0 AND NOT EXISTS (SELECT 1 FROM f x WHERE x.n = q.n AND x.art = 1)))),
+long AS (SELECT qid, chunk, true AS named, 0 AS pos FROM looked UNION ALL SELECT qid, chunk, false, pos FROM listed WHERE (qid, chunk) NOT IN (SELECT qid, chunk FROM looked)),
+quota AS (SELECT long.*, clase, sum((NOT named AND clase = 'sentencia')::int) OVER (PARTITION BY qid, clase ORDER BY pos ROWS UNBOUNDED PRECEDING) AS rk FROM long JOIN f USING (chunk)),
+cut AS (SELECT * FROM quota QUALIFY row_number() OVER (PARTITION BY qid ORDER BY (named OR clase <> 'sentencia' OR rk <= 1) DESC, pos) <= 4)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY pos) AS pos, chunk AS chunk_id, CASE WHEN named THEN 'lookup' ELSE 'rerank' END AS fuente FROM cut""")
+def ask_passages(spark, d):
+    """The passages of questions through the whole way: mask, preselection by class, primaries, reranking, status, document cap, lookup, quota."""
+    path, k = scratch(spark, f"index-{uuid.uuid4().hex}"), F.col("doc_id")
+    n = F.floor(k / 2)
+    norm = F.concat(F.lit("Ley "), n.cast("string"), F.lit(" de "), (1990 + n % 30).cast("string"))
+    rows = table(spark, d, "documents").select(
+        F.concat(F.lit("d"), n.cast("string")).alias("doc_id"), k.alias("chunk_id"), norm.alias("norma"), (k % 2).cast("string").alias("articulo"),
+        F.concat(norm, F.lit(". "), F.coalesce("text", F.lit(""))).alias("texto"), F.when(n % 5 == 0, "sentencia").when(n % 5 == 1, "voto").otherwise("norma").alias("clase"),
+        F.when(k % 3 == 0, "derogado").otherwise("vigente").alias("vigencia"))
+    I.store_fragments(rows, path)
+    I.build_lexical(spark, path, _words)
+    I.build_citations(spark, path)
+    q, law = F.col("item_id"), F.col("item_id") * 3 + 1
+    named = F.concat(F.lit(" artículo 1 de la Ley "), law.cast("string"), F.lit(" de "), (1990 + law % 30).cast("string"))
+    asked = table(spark, d, "benchmark").select(q.alias("qid"), F.concat("text", F.when(q % 2 == 0, named).otherwise("")).alias("text"))
+
+    def share(query, passage):
+        words = F.array_distinct(_words(query))
+        return F.size(F.array_intersect(words, _words(passage))) / F.size(words)
+
+    settings = Q.Settings(candidates=6, passages=4, lookup_hits=2, parts_of_article=1, caps={"sentencia": 1}, factors={"derogado": 0.5}, harvested=("voto",), per_document=1, primaries=2, terms=_words)
+    return Q.retrieve(asked, path, settings, scorer=share).select("qid", "pos", "chunk_id", "fuente")
