@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragspark.functions import text as T
-from ragspark.operators.ranking import ranked
+from ragspark.operators.ranking import ranked, rounded
 
 Scorer = Callable[[Column, Column], Column]
 
@@ -25,7 +25,7 @@ def token_overlap(query: Column, passage: Column) -> Column:
 
 def reranked(candidates: DataFrame, queries: DataFrame, scorer: Scorer = token_overlap, k: int | None = None) -> DataFrame:
     """candidates(qid, texto, ...) in the order of ``scorer`` on queries(qid, text); any scorer may be plugged in."""
-    scored = candidates.join(queries.select("qid", F.col("text").alias("_asked")), "qid").withColumn("score", F.round(scorer(F.col("_asked"), F.col("texto")), 6))
+    scored = candidates.join(queries.select("qid", F.col("text").alias("_asked")), "qid").withColumn("score", rounded(scorer(F.col("_asked"), F.col("texto"))))
     return ranked(scored.drop("_asked"), k)
 
 

@@ -20,9 +20,18 @@ def _by(*cols: str | Column, partition: Sequence[str] = ("qid",)):
     return Window.partitionBy(*partition).orderBy(*cols)
 
 
+def rounded(c: str | Column, digits: int = 6) -> Column:
+    """A double to so many digits as SQL engines round it: the scaled double to a whole number, halves away from zero.
+
+    Spark's own ``round`` goes by the shortest decimal instead and parts from that at halves.
+    """
+    scale = float(10**digits)
+    return F.round((F.col(c) if isinstance(c, str) else c).cast("double") * scale) / scale
+
+
 def canonical_order(score: str | Column = "score", digits: int = 6) -> list[Column]:
     """Rounded score downwards, then document and chunk upwards."""
-    return [F.round(score, digits).desc(), F.col("doc_id"), F.col("chunk_id")]
+    return [rounded(score, digits).desc(), F.col("doc_id"), F.col("chunk_id")]
 
 
 def ranked(df: DataFrame, k: int | None = None, order: list[Column] | None = None) -> DataFrame:

@@ -170,7 +170,7 @@ def coupled_rulings(spark, d):
     named = table(spark, d, "part").filter("p_size < 20 AND p_partkey % 9 = 0").select((F.col("p_size") % 20).alias("qid"), (F.col("p_partkey") % 200).alias("body"))
     norms = items.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_orderkey") % 200).alias("body")).distinct()
     core = V.core_bodies(named, lists, norms, 5, F.col("doc_id") % 3 == 1)
-    return V.coupled(lists.filter("doc_id % 3 = 0 AND pos <= 900"), edges, core, 10).select("qid", "pos", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+    return V.coupled(lists.filter("doc_id % 3 = 0 AND pos <= 900"), edges, core, 10).select("qid", "pos", "doc_id", "chunk_id", R.rounded("score").alias("score"))
 
 
 ASKED_SQL = BM25_SQL.replace("doc_id, unnest", "chunk AS doc_id, unnest").replace("SELECT doc_id, len(", "SELECT chunk AS doc_id, len(").replace("lower(text)", "lower(texto)").replace("FROM documents", "FROM f").replace(

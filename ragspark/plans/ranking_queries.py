@@ -25,7 +25,7 @@ def base(spark, d):
         F.col("o_orderpriority") == "3-MEDIUM", "regulatoria").otherwise("primaria")
     vigencia = F.when(F.col("o_orderstatus") == "F", "derogado").when(F.col("o_orderstatus") == "P", "inexequible").otherwise("vigente")
     return o.select(F.col("o_custkey").alias("qid"), (F.col("o_orderkey") % 7).alias("doc_id"), F.col("o_orderkey").alias("chunk_id"),
-                    F.round(F.col("o_totalprice") / 1e6, 6).alias("score"), clase.alias("clase"), vigencia.alias("vigencia"))
+                    R.rounded(F.col("o_totalprice") / 1e6).alias("score"), clase.alias("clase"), vigencia.alias("vigencia"))
 
 
 def cand(spark, d):
@@ -101,7 +101,7 @@ RRF_SQL = "SELECT qid, doc_id, chunk_id, sum(1.0::double / (60 + pos)) AS s FROM
 @query(f"WITH {BASE_SQL}, {LISTS_SQL}, f AS ({RRF_SQL}) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(s, 6) DESC, doc_id, chunk_id) AS pos, doc_id, chunk_id, round(s, 6) AS score FROM f")
 def rrf_fusion(spark, d):
     """R06, A03."""
-    return R.rrf(lists(spark, d)).select("qid", "pos", "doc_id", "chunk_id", F.round("score", 6).alias("score"))
+    return R.rrf(lists(spark, d)).select("qid", "pos", "doc_id", "chunk_id", R.rounded("score").alias("score"))
 
 
 @query(f"""WITH {BASE_SQL}, {LISTS_SQL}, f AS ({RRF_SQL}),

@@ -101,7 +101,7 @@ def rrf_hybrid(spark, d):
     cols = ["qid", "doc_id", "chunk_id", "score", "pos"]
     both = V.dense_topk(q, x, 40).select(*cols).withColumn("list_ord", F.lit(0)).unionByName(
         bm25(spark, d, 40).select(*cols).withColumn("list_ord", F.lit(1)))
-    return R.rrf(both).filter("pos <= 10").select("qid", "pos", "doc_id", F.round("score", 6).alias("score"))
+    return R.rrf(both).filter("pos <= 10").select("qid", "pos", "doc_id", R.rounded("score").alias("score"))
 
 
 RULES = ((1, "(?i)tion", 7, 1), (2, "(?i)\\bthe\\b", 3, 2), (3, "(?i)que", 9, 1), (4, "(?i)ing\\b", 7, 1))

@@ -108,3 +108,9 @@ def test_windows_are_partitioned_by_query(spark):
     both = ranked_list(spark, ["a:1", "b:1"]).unionByName(ranked_list(spark, ["a:1"], qid=2))
     plan = R.ranked(both, 1)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "WindowGroupLimit" in plan
+
+
+def test_rounding_is_that_of_sql_at_halves(spark):
+    prices = [64645.5, 258481.5, 252678.5, 51239.25, -64645.5]
+    found = spark.createDataFrame([(p / 1e6,) for p in prices], "x double").select("x", R.rounded("x").alias("r")).collect()
+    assert [r["r"] for r in found] == [0.064645, 0.258481, 0.252678, 0.051239, -0.064645]
