@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,22 +135,15 @@ def year_range(spec: Column) -> Column:
 
 def chained(starts: DataFrame, links: DataFrame, most: int = 400) -> DataFrame:
     """Pages that starts(doc_id, url) reach over links(url, next), with their ``paso``; a page that was seen ends a chain, as do ``most`` pages."""
-    spark = starts.sparkSession
-    names = [f"_{n}_{uuid.uuid4().hex}" for n in ("starts", "links")]
-    limit = spark.conf.get("spark.sql.cteRecursionLevelLimit")
-    for name, frame in zip(names, (starts.select("doc_id", "url"), links.select("url", "next")), strict=True):
-        frame.createOrReplaceTempView(name)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(most + 2))
-    try:
-        found = spark.sql(f"""
-            WITH RECURSIVE chain(doc_id, url, paso, seen) AS (
-              SELECT doc_id, url, 0, array(url) FROM {names[0]}
-              UNION ALL
-              SELECT c.doc_id, l.next, c.paso + 1, array_append(c.seen, l.next) FROM chain c JOIN {names[1]} l ON l.url = c.url
-              WHERE l.next IS NOT NULL AND NOT array_contains(c.seen, l.next) AND c.paso + 1 < {most})
-            SELECT doc_id, url, paso FROM chain""")
-        return stored(found, "chain")
-    finally:
-        spark.conf.set("spark.sql.cteRecursionLevelLimit", limit)
-        for name in names:
-            spark.catalog.dropTempView(name)
+    edges = stored(links.filter("next IS NOT NULL").select("url", "next"), "links")
+    first = starts.select("doc_id", "url", F.lit(0).alias("paso"), F.array("url").alias("seen"))
+    levels = [stored(first, "chain")]
+    # Each step is one join over the chains that still go on, so no number of pages is a limit.
+    while len(levels) < most:
+        on = levels[-1].join(edges, "url").filter(~F.array_contains("seen", F.col("next"))).select(
+            "doc_id", F.col("next").alias("url"), (F.col("paso") + 1).alias("paso"), F.array_append("seen", F.col("next")).alias("seen"))
+        level = stored(on, "chain")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    return reduce(DataFrame.unionByName, [level.select("doc_id", "url", "paso") for level in levels])
