@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``pos`` from 1 and ``texto`` of each line with words."""
     parts = F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")
@@ -33,12 +34,11 @@ def dense_ids(rows: DataFrame, order: list[str], name: str = "chunk_id") -> Data
     cuts = sorted(set(rows.approxQuantile(order[0], [i / parts for i in range(1, parts)], 0.25 / parts))) if parts > 1 else []
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order[0]))) if cuts else F.lit(0)
     ranged = rows.withColumn("_range", bucket)
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    base = sizes.select("_range", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    sizes = {r["_range"]: r["n"] for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # As many numbers as ranges. A join on the range instead lets Spark infer filters on columns that its other side lacks.
+    first = [F.lit(x).cast("long") for x in accumulate((sizes.get(i, 0) for i in range(len(cuts))), initial=0)]
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_row", within).join(F.broadcast(base), "_range").withColumn(
-        name, (F.col("_base") + F.col("_row") - 1).cast("long")).drop("_range", "_row", "_base")
+    return ranged.withColumn("_row", within).withColumn(name, F.get(F.array(*first), F.col("_range")) + F.col("_row") - 1).drop("_range", "_row")
 
 
 def parts_of(rows: DataFrame, keys: list[str]) -> DataFrame:

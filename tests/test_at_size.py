@@ -16,3 +16,21 @@ def test_chains_pass_the_row_limit_of_recursive_sql(spark):
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", was)
     assert found == {(u, u // 10 * 10 + (u + p) % 10, p) for u in range(40) for p in range(10)} and cut == 120
+
+
+def test_rows_meet_their_range_without_a_join(spark):
+    step = 1 << 16
+    ranges = spark.createDataFrame([("a", 0, 3), ("b", 3, 5), ("c", 7, 2 * step + 4), ("d", 2 * step + 4, 2 * step + 6), ("e", 9, 9)], "doc_id string, inicio long, fin long")
+    asked = [0, 2, 2, 3, 4, 5, 6, 7, 9, step - 1, step, 2 * step + 3, 2 * step + 4, 2 * step + 5, 2 * step + 6]
+    found = V.rows_in_ranges(spark.createDataFrame([(i, f"x{i}") for i in asked], "chunk_id long, x string"), ranges)
+    want = [(0, "x0", "a"), (2, "x2", "a"), (2, "x2", "a"), (3, "x3", "b"), (4, "x4", "b")] + [(i, f"x{i}", "c") for i in (7, 9, step - 1, step, 2 * step + 3)]
+    assert sorted(tuple(r) for r in found.collect()) == want + [(2 * step + 4, f"x{2 * step + 4}", "d"), (2 * step + 5, f"x{2 * step + 5}", "d")]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_articles_are_cut_before_they_meet_their_questions(spark):
+    cited = spark.createDataFrame([(q, "b", a) for q in (1, 1, 2) for a in ("1", None)] + [(3, "c", "9")], "qid long, body string, article string")
+    articles = spark.createDataFrame([("b", "1", "d", c) for c in (12, 10, 11)], "body string, article string, doc_id string, chunk_id long")
+    cards = spark.createDataFrame([("c", "e", 7)], "body string, doc_id string, chunk_id long")
+    found = V.lookup_hits(cited, articles, cards, 2, 4)
+    assert sorted((r.qid, r.pos, r.chunk_id) for r in found.collect()) == [(1, 1, 10), (1, 2, 11), (2, 1, 10), (2, 2, 11), (3, 1, 7)]
