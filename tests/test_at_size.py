@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ragspark.operators import ingest as E
 from ragspark.operators import retrieval as V
+from ragspark.sources import rulings as G
 
 
 def test_chains_pass_the_row_limit_of_recursive_sql(spark):
@@ -34,3 +35,11 @@ def test_articles_are_cut_before_they_meet_their_questions(spark):
     cards = spark.createDataFrame([("c", "e", 7)], "body string, doc_id string, chunk_id long")
     found = V.lookup_hits(cited, articles, cards, 2, 4)
     assert sorted((r.qid, r.pos, r.chunk_id) for r in found.collect()) == [(1, 1, 10), (1, 2, 11), (2, 1, 10), (2, 2, 11), (3, 1, 7)]
+
+
+def test_pages_of_rulings_are_dealt_once(spark):
+    pages = spark.range(3).select(F.col("id"), F.lit("<p>Actor: X</p><p>SENTENCIA</p><p>I. ANTECEDENTES</p><p>uno</p>").alias("html"))
+    rows = G.paragraphs(pages, "id", "html")
+    for found in (G.cards(rows, "id"), G.sections(rows, "id")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
