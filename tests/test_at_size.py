@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ragspark.operators import fragments as S
 from ragspark.operators import ingest as E
 from ragspark.operators import retrieval as V
 from ragspark.sources import rulings as G
@@ -43,3 +44,13 @@ def test_pages_of_rulings_are_dealt_once(spark):
     for found in (G.cards(rows, "id"), G.sections(rows, "id")):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_arrays_of_articles_and_pieces_are_built_once(spark):
+    none = F.create_map().cast("map<string,array<string>>")
+    article = lambda i: F.struct(i.cast("string").alias("articulo"), F.array().cast("array<string>").alias("ruta"), F.array(F.concat(F.lit("built-here "), i.cast("string"))).alias("parrafos"), none.alias("notas"))
+    laws = spark.range(2).select(
+        F.concat(F.lit("l"), F.col("id").cast("string")).alias("doc_id"), F.lit("Ley 1 de 2000").alias("nombre"), F.array().cast("array<string>").alias("alias"), F.array(F.lit("x")).alias("preambulo"),
+        none.alias("notas_preambulo"), F.transform(F.sequence(F.lit(1).cast("long"), F.col("id") + 1), article).alias("articulos"))
+    found = S.law_fragments(laws)
+    assert found.count() == 5 and found._jdf.queryExecution().optimizedPlan().toString().count("built-here") == 1
