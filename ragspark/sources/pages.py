@@ -65,7 +65,7 @@ def pieces(pages: DataFrame, keys: Sequence[str], html: Column) -> DataFrame:
     """(keys, k, tag, marca, texto): the page cut where block elements begin; ``marca`` is the markup of the piece's tags."""
     cut = F.split(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), rf"(?i)(?=<(?:{CUTS})\b)")
     # Whole pages are dealt by their document, before anything is read: the windows behind need no other shuffle, and a table in few files has all cores.
-    rows = pages.repartition(keys[0]).select(*keys, F.posexplode(cut).alias("k", "piece"))
+    rows = pages.repartition(keys[0]).select(*keys, F.posexplode_outer(cut).alias("k", "piece")).filter("k IS NOT NULL")
     # What stands behind the end of a paragraph, an item or a cell belongs to none.
     rows = rows.withColumn("piece", F.regexp_replace("piece", r"(?is)^(<(p|h[1-6]|li|td|th|center)\b.*?</\2\s*>).*$", "$1"))
     return rows.select(
