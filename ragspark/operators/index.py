@@ -17,8 +17,8 @@ from ragspark.functions import text as T
 from ragspark.operators.retrieval import MOST_TERMS, LexicalIndex, document_ranges, lexical_index, reuse_vectors
 from ragspark.sources.storage import stored
 
-#: Version of the tokens that the lexical part holds.
-TOKENS_VERSION = 1
+#: Version of the tokens that the lexical part holds, and of its tables.
+TOKENS_VERSION = 2
 #: Version of the patterns that the citation part was read with.
 CITATIONS_VERSION = 1
 PARTS = ("lexical", "dense", "citations")
@@ -87,7 +87,9 @@ def store_fragments(fragments: DataFrame, path: str) -> None:
 def build_lexical(spark: SparkSession, path: str, terms: Callable[[Column], Column] = T.index_terms) -> None:
     """Postings by ranges of terms, so that a query's terms prune files and row groups, and the statistics."""
     index = lexical_index(spark.read.parquet(f"{path}/fragments"), terms(F.col("texto")), "chunk_id")
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    # A frequent term has a row in each block of documents, so it is dealt by both.
+    index.postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    index.blocks.write.mode("overwrite").parquet(f"{path}/blocks")
     index.stats.write.mode("overwrite").parquet(f"{path}/stats")
     _note(spark, path, "lexical", fingerprint=notes(spark, path, "fragments")["fingerprint"], tokens=TOKENS_VERSION)
 
@@ -241,7 +243,8 @@ def load_lexical(spark: SparkSession, path: str, vocabulary: DataFrame | None =
     if found["tokens"] != str(TOKENS_VERSION):
         raise ValueError(f"the lexical part has tokens of version {found['tokens']}, not {TOKENS_VERSION}: rebuild the index")
     postings = spark.read.parquet(f"{path}/postings")
-    return LexicalIndex(postings if vocabulary is None else postings.join(vocabulary, "term", "left_semi"), spark.read.parquet(f"{path}/stats"))
+    postings = postings if vocabulary is None else postings.join(vocabulary, "term", "left_semi")
+    return LexicalIndex(spark.read.parquet(f"{path}/blocks"), postings, spark.read.parquet(f"{path}/stats"))
 
 
 def load_dense(spark: SparkSession, path: str) -> DataFrame:

@@ -32,8 +32,7 @@ def terms():
 
 def bm25(spark, d, k=10, only=None):
     asked = V.query_terms(table(spark, d, "benchmark"), terms(), "item_id")
-    n_terms = F.regexp_count(F.lower("text"), F.lit(WORDS))
-    index = V.lexical_index(table(spark, d, "documents"), terms(), vocabulary=V.vocabulary_of(asked), n_terms=n_terms)
+    index = V.lexical_index(table(spark, d, "documents"), terms(), vocabulary=V.vocabulary_of(asked))
     return V.bm25_topk(index, asked, k, only=only)
 
 

@@ -1,5 +1,9 @@
 """Steps whose intermediate rows must not outgrow what they read and return."""
 
+import math
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ragspark.operators import fragments as S
@@ -54,3 +58,56 @@ def test_arrays_of_articles_and_pieces_are_built_once(spark):
         none.alias("notas_preambulo"), F.transform(F.sequence(F.lit(1).cast("long"), F.col("id") + 1), article).alias("articulos"))
     found = S.law_fragments(laws)
     assert found.count() == 5 and found._jdf.queryExecution().optimizedPlan().toString().count("built-here") == 1
+
+
+def plainly(texts, asked, k, only=None):
+    """BM25 of all pairs, one by one."""
+    split = {d: t.split() for d, t in texts}
+    mean, df = sum(map(len, split.values())) / len(split), Counter(w for words in split.values() for w in set(words))
+    out = []
+    for q in sorted({q for q, _ in asked}):
+        scores = {}
+        for d, words in split.items():
+            n = Counter(words)
+            for w in {w for x, w in asked if x == q} & n.keys():
+                idf = math.log(1 + (len(split) - df[w] + 0.5) / (df[w] + 0.5))
+                scores[d] = scores.get(d, 0) + idf * n[w] / (n[w] + 1.5 * (0.25 + 0.75 * len(words) / mean))
+        best = sorted((-round(s, 6), d) for d, s in scores.items() if only is None or d in only)[:k]
+        out += [(q, pos, d, -s) for pos, (s, d) in enumerate(best, 1)]
+    return out
+
+
+def test_pairs_of_query_and_document_are_scored_where_their_block_is(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 7)
+    texts = [(d, " ".join(["common"] + [f"w{d % 5}"] * (d % 4) + [f"v{d % 3}"] + (["rare"] if d in (3, 30) else []))) for d in range(50)] + [(50, "")]
+    asked = [(q, w) for q in range(9) for w in ("common", f"w{q % 5}", "rare" if q == 4 else f"v{q % 3}", "absent")]
+    docs, terms = spark.createDataFrame([*texts, (51, None)], "doc_id long, text string").repartition(3), F.filter(F.split("text", " "), lambda w: w != "")
+    wanted = spark.createDataFrame(asked, "qid long, term string")
+    all_of, some = [*texts, (51, "")], {d for d in range(50) if d % 2}
+    for vocabulary in (None, V.vocabulary_of(wanted)):
+        index = V.lexical_index(docs, terms, vocabulary=vocabulary)
+        found = V.bm25_topk(index, wanted, 4)
+        assert sorted((r.qid, r.pos, r.doc_id, r.score) for r in found.collect()) == plainly(all_of, asked, 4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not any("hashpartitioning(qid" in line and "doc_id" in line for line in plan.splitlines())
+        only = spark.createDataFrame([(d,) for d in some], "doc_id long")
+        assert sorted((r.qid, r.pos, r.doc_id, r.score) for r in V.bm25_topk(index, wanted, 4, only=only).collect()) == plainly(all_of, asked, 4, some)
+
+
+def test_best_rows_are_kept_over_blocks_with_ties_by_document():
+    best, rng = V.Best(3), np.random.default_rng(1)
+    scores, docs = rng.integers(-3, 4, (5, 60)) / 1e3, rng.permutation(60)
+    scores[4] = -np.inf
+    for at in range(0, 60, 11):
+        best.add(np.arange(5), scores[:, at:at + 11], docs[at:at + 11])
+    want = {q: sorted(zip(-scores[q], docs.tolist()))[:3] for q in range(4)}
+    assert {q: list(zip(-s, d.tolist())) for q, (s, d) in best.held.items()} == want
+
+
+def test_vectors_are_read_once_for_many_queries(spark):
+    q = spark.range(1500).select(F.col("id").alias("qid"), F.array(F.col("id").cast("double") % 7 - 3, F.lit(1.0)).alias("v"))
+    x = spark.range(40).select(F.col("id").alias("doc_id"), F.array(F.col("id").cast("double") % 5, -F.col("id").cast("double") % 3).alias("v"))
+    found = V.dense_topk(q, x, 2)
+    want = [(i, sorted((-((i % 7 - 3) * (d % 5) - d % 3), d) for d in range(40))[:2]) for i in range(1500)]
+    assert sorted((r.qid, r.pos, r.doc_id, -r.score) for r in found.collect()) == [(i, n, d, s) for i, best in want for n, (s, d) in enumerate(best, 1)]
+    assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
