@@ -149,7 +149,7 @@ r AS (SELECT qid, doc_id, round(s, 6) AS score, row_number() OVER (PARTITION BY
 SELECT qid::bigint AS qid, pos, doc_id, score FROM r WHERE pos <= 10""")
 def citation_coupling_idf(spark, d):
     """R19, A02, J16."""
-    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 200).alias("body")).distinct()
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_partkey") % 200).alias("body"))
     core = table(spark, d, "part").select(F.col("p_size").alias("qid"), (F.col("p_partkey") % 200).alias("body"))
     return listed(V.coupling(edges, core, 10))
 

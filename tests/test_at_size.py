@@ -111,3 +111,16 @@ def test_vectors_are_read_once_for_many_queries(spark):
     want = [(i, sorted((-((i % 7 - 3) * (d % 5) - d % 3), d) for d in range(40))[:2]) for i in range(1500)]
     assert sorted((r.qid, r.pos, r.doc_id, -r.score) for r in found.collect()) == [(i, n, d, s) for i, best in want for n, (s, d) in enumerate(best, 1)]
     assert "Union" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coupled_documents_are_scored_where_their_block_is(spark):
+    edges = spark.range(60).select((F.col("id") % 20).alias("doc_id"), (F.col("id") % 12).alias("body"))
+    edges = edges.union(edges).union(spark.range(20).select("id", F.lit(99).cast("long")))
+    core = spark.createDataFrame([(q, b) for q in (1, 2) for b in (q, 4, 5, 99)] * 2, "qid long, body long")
+    found = V.coupling(edges, core, 5)
+    own = {d: {i % 12 for i in range(60) if i % 20 == d} for d in range(20)}
+    df = Counter(b for bodies in own.values() for b in bodies)
+    best = {q: sorted((-round(s, 6), d) for d, bodies in own.items() if (s := sum(math.log(20 / df[b]) for b in bodies & {q, 4, 5})) > 0)[:5] for q in (1, 2)}
+    assert sorted((r.qid, r.pos, r.doc_id, -r.score) for r in found.collect()) == [(q, n, d, s) for q in (1, 2) for n, (s, d) in enumerate(best[q], 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(qid" in line and "doc_id" in line for line in plan.splitlines())
