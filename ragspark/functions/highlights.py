@@ -31,9 +31,11 @@ def spans(c: Column, pattern: Column) -> Column:
     A span ends behind the last character matched, so marks that follow it stay outside.
     """
     out = normalised(c)
-    found = F.regexp_extract_all(out, pattern, F.lit(0))
-    # What stands between the matches tells where each begins.
-    between = F.split(out, pattern)
+    return _in_original(_places(F.split(out, pattern), F.regexp_extract_all(out, pattern, F.lit(0))), offset_map(c))
+
+
+def _places(between: Column, found: Column) -> Column:
+    """array of (a, b) of the matches ``found`` in normalised text; what stands between them tells where each begins."""
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -41,12 +43,16 @@ def spans(c: Column, pattern: Column) -> Column:
         end = start + F.char_length(x["match"])
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("a"), end.alias("b")))).alias("spans"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("between"), m.alias("match")))
-    raw = F.filter(F.aggregate(pairs, zero, step)["spans"], lambda s: s["b"] > s["a"])
-    places = offset_map(c)
+    # Behind the last match stands one more piece, which has no match.
+    pairs = F.filter(F.zip_with(between, found, lambda b, m: F.struct(b.alias("between"), m.alias("match"))), lambda x: x["match"].isNotNull())
+    return F.filter(F.aggregate(pairs, zero, step)["spans"], lambda s: s["b"] > s["a"])
+
+
+def _in_original(raw: Column, places: Column) -> Column:
+    """Spans of normalised text mapped back by ``offset_map``."""
     mapped = F.transform(raw, lambda s: F.struct(F.get(places, s["a"]).alias("desde"), (F.get(places, s["b"] - 1) + 1).alias("hasta")))
     plain = F.transform(raw, lambda s: F.struct(s["a"].alias("desde"), s["b"].alias("hasta")))
-    return F.when(F.size(found) > 0, F.when(places.isNull(), plain).otherwise(mapped)).otherwise(F.array().cast("array<struct<desde:int,hasta:int>>"))
+    return F.when(places.isNull(), plain).otherwise(mapped)
 
 
 def highlights(rows: DataFrame, patterns: DataFrame, keys: Sequence[str], on: Sequence[str]) -> DataFrame:
@@ -54,6 +60,11 @@ def highlights(rows: DataFrame, patterns: DataFrame, keys: Sequence[str], on: Se
 
     Patterns meet only the rows that share the columns ``on`` with them. Null texts and patterns mark nothing.
     """
-    asked = rows.join(patterns.filter("patron IS NOT NULL"), list(on)).filter("texto IS NOT NULL")
-    one = asked.select(*keys, F.explode(spans(F.col("texto"), F.col("patron"))).alias("s")).select(*keys, "s.desde", "s.hasta")
+    # Each step stands in a column, so a text is normalised once, not in every place that uses it.
+    text, kept = F.col("texto"), list(dict.fromkeys([*keys, *on]))
+    texts = rows.filter("texto IS NOT NULL").select(*kept, normalised(text).alias("_out"), offset_map(text).alias("_map"))
+    asked = texts.join(patterns.filter("patron IS NOT NULL").select(*on, "patron"), list(on))
+    cut = asked.select(*keys, "_map", F.split("_out", F.col("patron")).alias("_between"), F.regexp_extract_all("_out", F.col("patron"), F.lit(0)).alias("_found"))
+    raw = cut.select(*keys, "_map", _places(F.col("_between"), F.col("_found")).alias("_raw"))
+    one = raw.select(*keys, F.explode(_in_original(F.col("_raw"), F.col("_map"))).alias("s")).select(*keys, "s.desde", "s.hasta")
     return merged_intervals(one, list(keys), "desde", "hasta")

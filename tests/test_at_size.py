@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from ragspark.functions import highlights as H
 from ragspark.operators import fragments as S
 from ragspark.operators import ingest as E
 from ragspark.operators import retrieval as V
@@ -124,3 +125,9 @@ def test_coupled_documents_are_scored_where_their_block_is(spark):
     assert sorted((r.qid, r.pos, r.doc_id, -r.score) for r in found.collect()) == [(q, n, d, s) for q in (1, 2) for n, (s, d) in enumerate(best[q], 1)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not any("hashpartitioning(qid" in line and "doc_id" in line for line in plan.splitlines())
+
+
+def test_texts_are_normalised_once_for_their_patterns(spark):
+    rows = spark.createDataFrame([(1, "es", "la ley 100")], "id int, lang string, texto string")
+    found = H.highlights(rows, spark.createDataFrame([("es", "ley"), ("es", "100")], "lang string, patron string"), ["id"], ["lang"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("İ") == 1
