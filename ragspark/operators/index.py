@@ -46,7 +46,13 @@ class Model:
 def hashed_roots(dim: int = 64) -> Model:
     """The encoder that needs no model: counts of hashed roots. Its vectors are lexical, not semantic."""
     def counts(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.bincount([zlib.crc32(r.encode()) % dim for r in T.roots(t)] or [0], minlength=dim).astype(float) * bool(T.roots(t)))
+        stems: dict[str, str] = {}
+
+        def one(text: str) -> np.ndarray:
+            found = T.roots(text, stems)
+            return np.bincount([zlib.crc32(r.encode()) % dim for r in found] or [0], minlength=dim).astype(float) * bool(found)
+
+        return texts.map(one)
 
     return Model(f"hashed-roots-{dim}", lambda c: F.pandas_udf(counts, "array<double>")(F.coalesce(c, F.lit(""))))
 
@@ -105,7 +111,8 @@ def build_dense(spark: SparkSession, path: str, model: Model, reuse: bool = True
                 kept = spark.read.parquet(f"{path}/vectors/{old['version']}").select("id", "text", "v")
         except FileNotFoundError:
             kept = None
-    known = reuse_vectors(rows, kept) if kept is not None else rows.withColumns({"v": F.lit(None).cast("array<double>"), "from_id": F.lit(None).cast("long")})
+    # Texts meet the older vectors once, and are counted and encoded from there.
+    known = stored(reuse_vectors(rows, kept), "known-vectors") if kept is not None else rows.withColumns({"v": F.lit(None).cast("array<double>"), "from_id": F.lit(None).cast("long")})
     # Only texts without a vector reach the encoder.
     encoded = known.filter("v IS NULL").withColumn("v", model.encode(F.concat(F.lit(head), F.substring("text", 1, model.max_chars))))
     both = known.filter("v IS NOT NULL").select("id", "text", "v").union(encoded.select("id", "text", normalised(F.col("v")).alias("v")))
@@ -114,8 +121,7 @@ def build_dense(spark: SparkSession, path: str, model: Model, reuse: bool = True
     version = spark.range(1).select(version.alias("v")).first()["v"][:16]
     if kept is None or old["version"] != version:
         both.write.mode("overwrite").parquet(f"{path}/vectors/{version}")
-    reused = known.filter("v IS NOT NULL").count()
-    total = known.count()
+    reused, total = known.filter("v IS NOT NULL").count() if kept is not None else 0, int(notes(spark, path, "fragments")["n"])
     _note(spark, path, "dense", fingerprint=own, encoder=model.name, max_chars=model.max_chars, prefix=head, version=version, n=total)
     return {"reused": reused, "encoded": total - reused}
 

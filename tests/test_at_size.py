@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ragspark.functions import highlights as H
+from ragspark.functions import text as T
 from ragspark.operators import fragments as S
 from ragspark.operators import ingest as E
 from ragspark.operators import retrieval as V
@@ -131,3 +132,11 @@ def test_texts_are_normalised_once_for_their_patterns(spark):
     rows = spark.createDataFrame([(1, "es", "la ley 100")], "id int, lang string, texto string")
     found = H.highlights(rows, spark.createDataFrame([("es", "ley"), ("es", "100")], "lang string, patron string"), ["id"], ["lang"])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("İ") == 1
+
+
+def test_a_word_is_stemmed_once_for_many_texts(monkeypatch):
+    stemmed = []
+    monkeypatch.setattr(T, "stem", lambda w: stemmed.append(w) or w[:3])
+    stems = {}
+    assert [T.roots(t, stems) for t in ("leyes nuevas leyes", "nuevas", None)] == [["ley", "nue", "ley"], ["nue"], []]
+    assert stemmed == ["leyes", "nuevas"]
