@@ -177,7 +177,7 @@ SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS
 def rerank_stand_in(spark, d):
     """The reranker's plug with its lexical stand-in."""
     c = bm25(spark, d, 20).select("qid", "doc_id", "chunk_id")
-    c = c.join(table(spark, d, "documents").select("doc_id", F.col("text").alias("texto")), "doc_id")
+    c = V.beside(c, table(spark, d, "documents").select("doc_id", F.col("text").alias("texto")), "doc_id")
     return listed(M.reranked(c, table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")))
 
 

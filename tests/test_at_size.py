@@ -140,3 +140,14 @@ def test_a_word_is_stemmed_once_for_many_texts(monkeypatch):
     stems = {}
     assert [T.roots(t, stems) for t in ("leyes nuevas leyes", "nuevas", None)] == [["ley", "nue", "ley"], ["nue"], []]
     assert stemmed == ["leyes", "nuevas"]
+
+
+def test_few_rows_meet_a_large_table_that_is_not_shuffled(spark):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = V.beside(spark.range(3).withColumnRenamed("id", "doc_id"), spark.range(100).select(F.col("id").alias("doc_id"), F.lit("x").alias("texto")), "doc_id")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 3 and "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
