@@ -11,6 +11,7 @@ from ragspark.functions import citations as C
 from ragspark.functions import text as T
 from ragspark.operators import answers as A
 from ragspark.operators import evaluation as E
+from ragspark.operators.retrieval import beside
 from ragspark.plans import ranking_queries as K
 from ragspark.plans import retrieval_queries as V
 from ragspark.plans.registry import query, table
@@ -345,7 +346,7 @@ def projection_by_format(spark, d):
 def mmr_select(spark, d):
     """Sentences of each item's best documents under a budget of characters, a mark for each gap."""
     top = V.bm25(spark, d, 3).select("qid", "doc_id")
-    pieces = top.join(table(spark, d, "documents"), "doc_id").select("qid", "doc_id", F.posexplode(T.sentence_pieces(F.col("text"))).alias("pos", "piece"))
+    pieces = beside(top, table(spark, d, "documents"), "doc_id").select("qid", "doc_id", F.posexplode(T.sentence_pieces(F.col("text"))).alias("pos", "piece"))
     scored = pieces.withColumn("relevance", F.size(F.array_distinct(F.split("piece", " "))).cast("double"))
     return A.compressed(scored, 300, ["qid", "doc_id"]).select("qid", "doc_id", "pos", F.length("piece").alias("chars"), F.length("vista").alias("vista"))
 
