@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ragspark.functions import text as T
 from ragspark.operators import answering as G
 from ragspark.operators import chain as H
+from ragspark.operators.retrieval import beside
 from ragspark.plans import retrieval_queries as V
 from ragspark.plans.registry import query, table
+from ragspark.sources.storage import stored
 
 PASSAGES_SQL = """ps AS (SELECT o_custkey % 200 AS qid, row_number() OVER (PARTITION BY o_custkey % 200 ORDER BY o_orderkey) AS pos,
  'Ley ' || (o_orderkey % 5 + 100) || ' de 2001' AS norma, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey % 7)::varchar END AS articulo,
@@ -96,7 +98,7 @@ def evidence(spark, d, k=5):
     norm = F.concat(F.lit("Ley "), (doc % 900 + 100).cast("string"), F.lit(" de "), (F.lit(1990) + doc % 30).cast("string"))
     docs = table(spark, d, "documents").select(doc, norm.alias("norma"), F.when(doc % 2 == 0, (doc % 50).cast("string")).alias("articulo"),
                                                  F.concat(norm, F.lit(". "), F.coalesce("text", F.lit(""))).alias("texto"))
-    return V.bm25(spark, d, k).join(docs, "doc_id").withColumn("fuente", F.lit("rerank"))
+    return stored(beside(V.bm25(spark, d, k), docs, "doc_id").withColumn("fuente", F.lit("rerank")), "passages")
 
 
 @query()
