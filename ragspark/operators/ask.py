@@ -98,7 +98,7 @@ def preselected(questions: DataFrame, path: str, fragments: DataFrame, s: Settin
 
     def held(n: int, only: DataFrame | None) -> DataFrame:
         found = candidates(questions, path, n, model, only, s.terms).select("qid", "pos", F.col("doc_id").alias("chunk_id"))
-        return found.join(fragments.select(*about), "chunk_id").withColumn("score", F.lit(0.0))
+        return V.beside(found, fragments.select(*about), "chunk_id").withColumn("score", F.lit(0.0))
 
     mask = allowed(fragments, s)
     first = stored(R.type_quota(held(3 * s.candidates, mask), s.caps, s.candidates, factor=s.candidates / s.passages), "preselected")
@@ -115,7 +115,7 @@ def by_coupling(questions: DataFrame, path: str, fragments: DataFrame, index: I.
     asks = questions.filter(T.norm(F.col("text")).rlike(CASE_LAW)).join(cites.filter("tipo = 'jurisprudencia'").select("qid").distinct(), "qid", "left_anti")
     harvested = fragments.filter(F.col("clase").isin(*s.harvested))
     lists = candidates(asks, path, s.coupled_list, None, harvested.select(F.col("chunk_id").alias("doc_id")), s.terms)
-    lists = lists.select("qid", "pos", F.col("doc_id").alias("chunk_id")).join(harvested.select("doc_id", "chunk_id"), "chunk_id")
+    lists = V.beside(lists.select("qid", "pos", F.col("doc_id").alias("chunk_id")), harvested.select("doc_id", "chunk_id"), "chunk_id")
     norms = index.norms.filter(~F.col("body").startswith("jurisprudencia/"))
     core = V.core_bodies(cites.filter("tipo <> 'jurisprudencia'"), first, norms, s.core, F.col("clase") == s.primary)
     edges = index.cited.join(harvested.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "body")
@@ -135,7 +135,7 @@ def retrieve(questions: DataFrame, path: str, s: Settings = Settings(), model: I
     first = preselected(questions, path, fragments, s, model)
     if s.coupled and s.harvested:
         more = by_coupling(questions, path, fragments, cites, first, s).select("qid", "doc_id", "chunk_id", F.col("pos").alias("_more"))
-        fresh = more.join(first.select("qid", *R.KEY), ["qid", *R.KEY], "left_anti").join(fragments.select("doc_id", "chunk_id", "clase", "vigencia", "texto"), ["doc_id", "chunk_id"])
+        fresh = V.beside(more.join(first.select("qid", *R.KEY), ["qid", *R.KEY], "left_anti"), fragments.select("doc_id", "chunk_id", "clase", "vigencia", "texto"), ["doc_id", "chunk_id"])
         behind = fresh.select("qid", (F.col("_more") + 4 * s.candidates).alias("pos"), "doc_id", "chunk_id", "clase", "vigencia", "texto", F.lit(0.0).alias("score"))
         first = first.select(*behind.columns).unionByName(behind)
     ranked = R.penalise(M.reranked(first, questions, scorer), s.factors)
@@ -144,13 +144,13 @@ def retrieve(questions: DataFrame, path: str, s: Settings = Settings(), model: I
     columns = ["qid", "pos", "doc_id", "chunk_id", "score", "clase", "fuente"]
     listed = stored(ranked.withColumn("fuente", F.lit("rerank")).select(*columns).withColumn("list_ord", F.lit(0)), "reranked")
     about = fragments.select("chunk_id", "clase")
-    looked = named(questions, cites, s).join(about, "chunk_id").withColumns({"score": F.lit(1.0), "fuente": F.lit("lookup")}).select(*columns)
+    looked = V.beside(named(questions, cites, s), about, "chunk_id").withColumns({"score": F.lit(1.0), "fuente": F.lit("lookup")}).select(*columns)
     looked = stored(looked, "lookup")
-    fixed = V.rule_hits(questions, rules, s.passages).join(about, "chunk_id").withColumns({"score": F.lit(1.0), "fuente": F.lit("valores")}).select(*columns) if rules is not None else looked.limit(0)
+    fixed = V.beside(V.rule_hits(questions, rules, s.passages), about, "chunk_id").withColumns({"score": F.lit(1.0), "fuente": F.lit("valores")}).select(*columns) if rules is not None else looked.limit(0)
     long = R.fuse(looked, listed, fixed.limit(0), s.lookup_hits + 4 * s.candidates + s.coupled)
     capped = stored(R.type_quota(long, s.caps, s.passages, F.col("fuente") == "lookup"), "capped")
     final = R.fuse(capped.limit(0), capped.withColumn("list_ord", F.lit(0)), fixed, s.passages)
-    return final.drop("clase").join(fragments, ["doc_id", "chunk_id"])
+    return V.beside(final.drop("clase"), fragments, ["doc_id", "chunk_id"])
 
 
 def ask(
