@@ -84,3 +84,46 @@ def test_tail_is_cut_into_powers_of_two():
         assert len(ids) == 4 * n
         lengths[s] = lengths.get(s, 0) + n
     assert [lengths[k] for k in sorted(lengths)] == [1024, 256, 16, 8, 1]
+
+
+PLAIN_CHARS = "aábçdeéËfgÑoöstmrvlßȺȾŉİǅ×÷_'''\"-.,<|>0123456789 \t\n\r\x0b\0²"
+
+
+@pytest.mark.parametrize("chars", [PLAIN_CHARS, PLAIN_CHARS[:-3].replace("İ", "").replace("|", "")])
+@pytest.mark.parametrize("block, cache", [(40, 20), (300, 100), (4_000_000, 400_000)])
+def test_blocks_give_the_tokenizers_own_ids(direct, monkeypatch, chars, block, cache):
+    rng = random.Random(4)
+    monkeypatch.setattr(packing, "BLOCK_CHARS", block)
+    monkeypatch.setattr(packing, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(packing, "CACHE_WORDS", cache)
+    contractions = ["don't", "we'LL", "I'd've", "'S", "''s", ".'s", "x'", "'", "'l", "'r e", "'re", "'rest", "'ss9", "'s×"]
+    texts = [t or "" for t in TEXTS] + contractions
+    texts += ["".join(rng.choices([*chars, *contractions], k=rng.randint(0, 90))) for _ in range(1500)]
+    words = packing.Words(PATH)
+    assert [ids.tolist() for ids in words.encode_all(texts)] == [direct(t) for t in texts]
+
+
+def test_every_plain_character_is_cut_as_the_tokenizer_does(direct):
+    texts = [f"a{c}{c}b {c}1" for c in map(chr, range(0x250)) if packing.is_plain(c)]
+    assert len(texts) > 400
+    assert [ids.tolist() for ids in packing.Words(PATH).encode_all(texts)] == [direct(t) for t in texts]
+
+
+def test_the_model_sees_a_word_once_and_many_at_a_time(direct, monkeypatch):
+    words, seen = packing.Words(PATH), []
+    by_model = words.by_model
+    monkeypatch.setattr(words, "by_model", lambda some: (seen.append(some.to_pylist()), by_model(some))[1])
+    texts = [f"Word{chr(97 + i % 26)}, and word{chr(97 + i % 7)} don't" for i in range(500)]
+    for _ in range(2):
+        assert [ids.tolist() for ids in words.encode_all(texts)] == [direct(t) for t in texts]
+    assert len(seen) == 1
+    assert sorted(seen[0]) == sorted([",", "and", "don", "'t", *(f"word{chr(97 + i)}" for i in range(26))])
+
+
+def test_a_key_is_that_of_the_document_alone(direct):
+    rng = random.Random(5)
+    docs = [np.array(direct(" ".join(rng.choices(["red", "green", "blue", "naïve", "7"], k=rng.randint(0, 50))))) for _ in range(600)]
+    keys = packing.curve_keys(docs)
+    assert keys == [packing.curve_key(d) for d in docs]
+    assert keys[::-1] == packing.curve_keys(docs[::-1])
+    assert packing.curve_keys([]) == []
